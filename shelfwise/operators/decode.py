@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize_location
-from ..model import BALANCE_TABLE, MOVEMENT_TABLE, MOVEMENT_TYPES, OPERATIONS
+from ..model import BALANCE, BALANCE_TABLE, MOVEMENT, MOVEMENT_TABLE, MOVEMENT_TYPES, OPERATIONS
 from .quality import balance_invariants_hold
 
 # Reject classes and accepted text forms.
@@ -23,188 +23,275 @@ _UUID = (
 _TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:?\d{2})$"
 # End of fixed values.
 
-_MOVEMENT_FIELDS = {
-    "movement_id": "uuid", "source_event_id": "uuid", "sku_id": "int", "location_code": "text",
-    "order_id": "int?", "movement_type": "movement", "quantity": "int", "occurred_at": "time",
-    "recorded_at": "time", "balance_version_after": "long", "reason": "text?",
-}
-_BALANCE_FIELDS = {
-    "sku_id": "int", "location_code": "text", "on_hand": "int", "reserved": "int",
-    "safety_stock": "int", "reorder_point": "int", "max_stock": "int", "version": "long",
-    "updated_at": "time",
-}
-
-
-def _kind(node: Column) -> Column:
-    return F.schema_of_variant(node)
-
-
-def _raw(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "variant")
-
-
-def _text(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "string")
-
-
-def _typed(doc: Column, path: str, kind: str) -> tuple[Column, Column]:
-    """(value, is valid) of one strictly typed field."""
-    base, optional = kind.rstrip("?"), kind.endswith("?")
-    node = _raw(doc, path)
-    shape = _kind(node)
-    if base in ("int", "long"):
-        value = F.try_variant_get(doc, path, base)
-        ok = (shape == "BIGINT") & value.isNotNull()
-    else:
-        value = _text(doc, path)
-        ok = shape == "STRING"
-        if base == "uuid":
-            ok = ok & value.rlike(_UUID)
-            bare = F.lower(F.regexp_replace(value, r"^urn:uuid:|[{}-]", ""))
-            value = F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-        elif base == "movement":
-            ok = ok & value.isin(*MOVEMENT_TYPES)
-        elif base == "time":
-            stamp = value.try_cast("timestamp")
-            ok = ok & value.rlike(_TIMESTAMP) & stamp.isNotNull()
-            value = stamp
-    ok = F.coalesce(ok, F.lit(False))
-    if optional:
-        ok = ok | node.isNull() | F.coalesce(shape == "VOID", F.lit(False))
-    return value, ok
-
-
-def _image(doc: Column, path: str, fields: dict[str, str]) -> tuple[Column, Column, Column]:
-    """(row struct, is present, is absent or fully typed) of a before/after image."""
-    node = _raw(doc, path)
-    present = node.isNotNull() & (_kind(node) != "VOID")
-    values, valid = {}, F.lit(True)
-    for name, kind in fields.items():
-        value, ok = _typed(doc, f"{path}.{name}", kind)
-        values[name] = value
-        valid = valid & ok
-    row = F.struct(*[v.alias(n) for n, v in values.items()])
-    return row, F.coalesce(present, F.lit(False)), ~F.coalesce(present, F.lit(False)) | valid
+# Row images. Integers are typed, so a quoted or fractional number makes the record corrupt; text
+# that has no pattern of its own is read as a variant, so that a bare number is not taken for text.
+_MOVEMENT_ROW = (
+    "movement_id string, source_event_id string, sku_id int, location_code variant, order_id int, "
+    "movement_type string, quantity int, occurred_at string, recorded_at string, "
+    "balance_version_after bigint, reason variant"
+)
+_BALANCE_ROW = (
+    "sku_id int, location_code variant, on_hand int, reserved int, safety_stock int, "
+    "reorder_point int, max_stock int, version bigint, updated_at string"
+)
 
 
-def decode_changes(log: DataFrame) -> DataFrame:
-    """Adds event_kind, operation, movement, balance, source_lsn, deleted ids and decode_error.
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The reject order is JSON, table, row shape, operation, then the operation's own rule. A null
-    value is a tombstone. Location codes are normalized here, once.
-    """
-    outer = F.try_parse_json(F.col("value").cast("string"))
-    inner = F.try_variant_get(F.col("_outer"), "$.payload", "variant")
-    df = log.withColumn("_outer", outer).withColumn("_doc", F.coalesce(inner, F.col("_outer")))
-    doc = F.col("_doc")
-
-    table_node = _raw(doc, "$.source.table")
-    table = F.when(_kind(table_node) == "STRING", _text(doc, "$.source.table"))
-    lsn_node = _raw(doc, "$.source.lsn")
-    lsn_ok = lsn_node.isNull() | _kind(lsn_node).isin("BIGINT", "VOID")
-    op_ok = F.coalesce(_kind(_raw(doc, "$.op")) == "STRING", F.lit(False))
-    op = _text(doc, "$.op")
-
-    parts = {}
-    for label, fields in (("m", _MOVEMENT_FIELDS), ("b", _BALANCE_FIELDS)):
-        for side in ("before", "after"):
-            row, present, shaped = _image(doc, f"$.{side}", fields)
-            parts[f"_{label}_{side}"] = F.when(present & shaped, row)
-            parts[f"_{label}_{side}_ok"] = shaped
-    is_movement = F.col("_table") == MOVEMENT_TABLE
-    df = df.withColumns({"_table": table, "_op": op, "_op_ok": op_ok & lsn_ok})
-    # Only the images of the record's own table are parsed.
-    df = df.withColumns(
-        {
-            name: F.when(is_movement if name.startswith("_m") else F.col("_table") == BALANCE_TABLE, c)
-            for name, c in parts.items()
-        }
-    )
 
-    balance = F.struct(
-        F.col("_b_after.sku_id").alias("sku_id"),
-        normalize_location("_b_after.location_code").alias("location_code"),
-        F.col("_b_after.on_hand").alias("on_hand"),
-        F.col("_b_after.reserved").alias("reserved"),
-        (F.col("_b_after.on_hand") - F.col("_b_after.reserved")).alias("available"),
-        F.col("_b_after.safety_stock").alias("safety_stock"),
-        F.col("_b_after.reorder_point").alias("reorder_point"),
-        F.col("_b_after.max_stock").alias("max_stock"),
-        F.col("_b_after.version").alias("version"),
-        F.col("_b_after.updated_at").alias("updated_at"),
+def _envelope(row: str) -> str:
+    fields = row.replace(" ", ":").replace(",:", ",")
+    return (
+        f"before struct<{fields}>, after struct<{fields}>, source struct<lsn:bigint>, "
+        "_corrupt_record string"
     )
-    movement = F.struct(
-        F.col("_m_after.movement_id").alias("movement_id"),
-        F.col("_m_after.source_event_id").alias("source_event_id"),
-        F.col("_m_after.sku_id").alias("sku_id"),
-        normalize_location("_m_after.location_code").alias("location_code"),
-        F.col("_m_after.order_id").alias("order_id"),
-        F.col("_m_after.movement_type").alias("movement_type"),
-        F.col("_m_after.quantity").alias("quantity"),
-        F.col("_m_after.occurred_at").alias("occurred_at"),
-        F.col("_m_after.recorded_at").alias("recorded_at"),
-        F.col("_m_after.balance_version_after").alias("resulting_balance_version"),
-        F.col("_m_after.reason").alias("reason"),
+
+
+def _parse(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+
+
+def _is_text(node: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(node) == "STRING", F.lit(False))
+
+
+def _text(node: Column) -> Column:
+    return F.when(_is_text(node), F.try_variant_get(node, "$", "string"))
+
+
+def _uuid(value: Column) -> Column:
+    bare = F.lower(F.regexp_replace(value, r"^urn:uuid:|[{}-]", ""))
+    return F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def _instant(value: Column) -> Column:
+    return F.when(value.rlike(_TIMESTAMP), value.try_cast("timestamp"))
+
+
+def _all(*conditions: Column) -> Column:
+    result = conditions[0]
+    for condition in conditions[1:]:
+        result = result & condition
+    return F.coalesce(result, F.lit(False))
+
+
+def _movement_row(raw: Column) -> Column:
+    return F.struct(
+        _uuid(raw["movement_id"]).alias("movement_id"),
+        _uuid(raw["source_event_id"]).alias("source_event_id"),
+        raw["sku_id"].alias("sku_id"),
+        normalize_location(_text(raw["location_code"])).alias("location_code"),
+        raw["order_id"].alias("order_id"),
+        raw["movement_type"].alias("movement_type"),
+        raw["quantity"].alias("quantity"),
+        _instant(raw["occurred_at"]).alias("occurred_at"),
+        _instant(raw["recorded_at"]).alias("recorded_at"),
+        raw["balance_version_after"].alias("resulting_balance_version"),
+        _text(raw["reason"]).alias("reason"),
     )
-    shape_ok = F.when(is_movement, F.col("_m_before_ok") & F.col("_m_after_ok")).otherwise(
-        F.col("_b_before_ok") & F.col("_b_after_ok")
+
+
+def _movement_valid(raw: Column, row: Column) -> Column:
+    """The required fields are there and every text has its form."""
+    reason = raw["reason"]
+    return _all(
+        raw["movement_id"].rlike(_UUID),
+        raw["source_event_id"].rlike(_UUID),
+        raw["movement_type"].isin(*MOVEMENT_TYPES),
+        reason.isNull() | F.is_variant_null(reason) | _is_text(reason),
+        *[
+            row[c].isNotNull()
+            for c in ("sku_id", "location_code", "quantity", "occurred_at", "recorded_at",
+                      "resulting_balance_version")
+        ],
     )
-    wants_before = F.col("_op") == "d"
-    row_missing = F.when(
-        is_movement,
-        F.when(wants_before, F.col("_m_before").isNull()).otherwise(F.col("_m_after").isNull()),
-    ).otherwise(
-        F.when(wants_before, F.col("_b_before").isNull()).otherwise(F.col("_b_after").isNull())
+
+
+def _balance_row(raw: Column) -> Column:
+    return F.struct(
+        raw["sku_id"].alias("sku_id"),
+        normalize_location(_text(raw["location_code"])).alias("location_code"),
+        raw["on_hand"].alias("on_hand"),
+        raw["reserved"].alias("reserved"),
+        (raw["on_hand"] - raw["reserved"]).alias("available"),
+        raw["safety_stock"].alias("safety_stock"),
+        raw["reorder_point"].alias("reorder_point"),
+        raw["max_stock"].alias("max_stock"),
+        raw["version"].alias("version"),
+        _instant(raw["updated_at"]).alias("updated_at"),
     )
-    error = (
-        F.when(F.col("value").isNull(), None)
-        .when(F.col("_outer").isNull() | F.col("_table").isNull(), MALFORMED)
-        .when(~F.col("_table").isin(MOVEMENT_TABLE, BALANCE_TABLE), UNSUPPORTED_TABLE)
-        .when(~F.col("_op_ok") | ~shape_ok, MALFORMED)
-        .when(~F.col("_op").isin(*OPERATIONS), UNSUPPORTED_OPERATION)
-        .when(is_movement & (F.col("_op") == "u"), MOVEMENT_UPDATE)
-        .when(row_missing, MISSING_ROW)
-        .when(~is_movement & ~wants_before & ~balance_invariants_hold("_balance"), INVALID_BALANCE)
+
+
+def _balance_valid(raw: Column, row: Column) -> Column:
+    names = (
+        "sku_id", "location_code", "on_hand", "reserved", "safety_stock", "reorder_point",
+        "max_stock", "version", "updated_at",
     )
-    df = df.withColumn("_balance", balance).withColumn("decode_error", error)
-
-    good = F.col("decode_error").isNull() & F.col("value").isNotNull()
-    kind = F.when(F.col("value").isNull(), "tombstone").when(
-        good,
-        F.concat(
-            F.when(is_movement, "movement").otherwise("balance"),
-            F.when(wants_before, "_delete").otherwise(""),
-        ),
+    return _all(*[row[c].isNotNull() for c in names])
+
+
+def _absent(schema: str) -> Column:
+    return F.lit(None).cast(schema)
+
+
+_RESULT = (
+    "event_kind", "operation", "movement", "balance", "deleted_movement_id", "source_lsn", "decode_error"
+)
+_MOVEMENT_TYPE, _BALANCE_TYPE = MOVEMENT.simpleString(), BALANCE.simpleString()
+
+
+def _result(**given: Column) -> Column:
+    empty = {
+        "event_kind": "string", "operation": "string", "movement": _MOVEMENT_TYPE,
+        "balance": _BALANCE_TYPE, "deleted_movement_id": "string", "source_lsn": "bigint",
+        "decode_error": "string",
+    }
+    return F.struct(
+        *[given.get(n, F.lit(None)).cast(empty[n]).alias(n) for n in _RESULT]
     )
-    operation = F.lit(None).cast("string")
+
+
+def _operation(op: Column) -> Column:
+    result = F.lit(None).cast("string")
     for code, name in OPERATIONS.items():
-        operation = F.when(F.col("_op") == code, name).otherwise(operation)
-    df = df.withColumn("event_kind", kind)
-    is_kind = lambda name: F.col("event_kind") == name
-    return df.select(
-        *log.columns,
-        "event_kind",
-        F.when(F.col("value").isNull(), "TOMBSTONE").when(good, operation).alias("operation"),
-        F.when(is_kind("movement"), movement).alias("movement"),
-        F.when(is_kind("balance"), F.col("_balance"))
-        .when(
-            is_kind("balance_delete"),
-            F.struct(
-                F.col("_b_before.sku_id").alias("sku_id"),
-                normalize_location("_b_before.location_code").alias("location_code"),
-                *[F.lit(None).cast("int").alias(c) for c in (
-                    "on_hand", "reserved", "available", "safety_stock", "reorder_point", "max_stock")],
-                F.col("_b_before.version").alias("version"),
-                F.lit(None).cast("timestamp").alias("updated_at"),
+        result = F.when(op == code, name).otherwise(result)
+    return result
+
+
+def _decode_rows(text: Column, op: Column, schema: str, row, valid, finish) -> Column:
+    """Parses the two images of a record and applies the checks shared by both tables."""
+
+    def images(doc: Column) -> Column:
+        def checked(raw: Column) -> Column:
+            return _let(row(raw), lambda r: F.struct(raw.isNotNull().alias("present"), valid(raw, r).alias("ok"), r.alias("row")))
+
+        return _let(
+            F.struct(checked(doc["before"]).alias("before"), checked(doc["after"]).alias("after")),
+            lambda both: finish_checked(doc, both),
+        )
+
+    def finish_checked(doc: Column, both: Column) -> Column:
+        before, after = both["before"], both["after"]
+        shaped = (
+            doc["_corrupt_record"].isNull()
+            & op.isNotNull()
+            & (~before["present"] | before["ok"])
+            & (~after["present"] | after["ok"])
+        )
+        wanted = F.when(op == "d", before["present"]).otherwise(after["present"])
+        return finish(F.coalesce(shaped, F.lit(False)), wanted, before["row"], after["row"], doc["source"]["lsn"])
+
+    return _let(_parse(text, schema), images)
+
+
+def _decode_movement(text: Column, op: Column) -> Column:
+    def finish(shaped, wanted, before, after, lsn):
+        error = (
+            F.when(~shaped, MALFORMED)
+            .when(~op.isin(*OPERATIONS), UNSUPPORTED_OPERATION)
+            .when(op == "u", MOVEMENT_UPDATE)
+            .when(~wanted, MISSING_ROW)
+        )
+        deleting = op == "d"
+        return _let(
+            error,
+            lambda e: F.when(e.isNotNull(), _result(decode_error=e)).when(
+                deleting,
+                _result(
+                    event_kind=F.lit("movement_delete"), operation=_operation(op), source_lsn=lsn,
+                    deleted_movement_id=before["movement_id"],
+                ),
+            ).otherwise(
+                _result(event_kind=F.lit("movement"), operation=_operation(op), source_lsn=lsn, movement=after)
             ),
         )
-        .alias("balance"),
-        F.when(is_kind("movement_delete"), F.col("_m_before.movement_id")).alias("deleted_movement_id"),
-        F.when(good, F.try_variant_get(F.col("_doc"), "$.source.lsn", "long")).alias("source_lsn"),
-        "decode_error",
+
+    return _decode_rows(text, op, _envelope(_MOVEMENT_ROW), _movement_row, _movement_valid, finish)
+
+
+def _decode_balance(text: Column, op: Column) -> Column:
+    def finish(shaped, wanted, before, after, lsn):
+        deleting = op == "d"
+        error = (
+            F.when(~shaped, MALFORMED)
+            .when(~op.isin(*OPERATIONS), UNSUPPORTED_OPERATION)
+            .when(~wanted, MISSING_ROW)
+            .when(~deleting & ~balance_invariants_hold(after), INVALID_BALANCE)
+        )
+        key_only = F.struct(
+            before["sku_id"].alias("sku_id"), before["location_code"].alias("location_code"),
+            *[F.lit(None).cast("int").alias(c) for c in (
+                "on_hand", "reserved", "available", "safety_stock", "reorder_point", "max_stock")],
+            before["version"].alias("version"), F.lit(None).cast("timestamp").alias("updated_at"),
+        )
+        return _let(
+            error,
+            lambda e: F.when(e.isNotNull(), _result(decode_error=e)).when(
+                deleting,
+                _result(
+                    event_kind=F.lit("balance_delete"), operation=_operation(op), source_lsn=lsn,
+                    balance=key_only,
+                ),
+            ).otherwise(
+                _result(event_kind=F.lit("balance"), operation=_operation(op), source_lsn=lsn, balance=after)
+            ),
+        )
+
+    return _decode_rows(text, op, _envelope(_BALANCE_ROW), _balance_row, _balance_valid, finish)
+
+
+def _unwrapped(text: Column) -> Column:
+    """The change itself: the `payload` member where there is one, else the whole text."""
+    return F.when(~text.contains('"payload"'), text).otherwise(
+        _let(
+            F.from_json(text, "payload variant")["payload"],
+            lambda p: F.when(p.isNull(), text)
+            .when(F.is_variant_null(p), F.lit("null"))
+            .otherwise(p.cast("string")),
+        )
     )
 
 
+def _decode_text(text: Column) -> Column:
+    def routed(inner: Column) -> Column:
+        head = _parse(inner, "source struct<table:variant>, op variant, _corrupt_record string")
+        named = _let(
+            head,
+            lambda h: F.struct(
+                F.when(
+                    h["_corrupt_record"].isNull() & F.ltrim(inner).startswith("{"), _text(h["source"]["table"])
+                ).alias("table"),
+                _text(h["op"]).alias("op"),
+            ),
+        )
+        return _let(
+            named,
+            lambda n: F.when(n["table"].isNull(), _result(decode_error=F.lit(MALFORMED)))
+            .when(n["table"] == MOVEMENT_TABLE, _decode_movement(inner, n["op"]))
+            .when(n["table"] == BALANCE_TABLE, _decode_balance(inner, n["op"]))
+            .otherwise(_result(decode_error=F.lit(UNSUPPORTED_TABLE))),
+        )
+
+    return _let(_unwrapped(text), routed)
+
+
+def decode_changes(log: DataFrame) -> DataFrame:
+    """Adds event_kind, operation, movement, balance, source_lsn, deleted ids and decode_error.
+
+    The reject order is JSON, table, row shape, operation, then the operation's own rule. A null
+    value is a tombstone. Location codes are normalized here, once.
+
+    The result comes out of a generator, whose columns Catalyst cannot copy into later filters:
+    each record is parsed once, whatever is asked about it afterwards.
+    """
+    tombstone = _result(event_kind=F.lit("tombstone"), operation=F.lit("TOMBSTONE"))
+    text = F.col("value").cast("string")
+    decoded = F.when(F.col("value").isNull(), tombstone).otherwise(_decode_text(text))
+    return log.select("*", F.inline(F.array(decoded)))
+
+
 def movements_of(decoded: DataFrame) -> DataFrame:
     """Typed movement facts with their position in the log."""
     return decoded.filter(F.col("event_kind") == "movement").select(

@@ -10,12 +10,8 @@ from ..model import MOVEMENT_TYPES
 from .keyed import earliest
 
 
-def _at(prefix: str | None, name: str) -> Column:
-    return F.col(f"{prefix}.{name}" if prefix else name)
-
-
-def balance_invariants_hold(prefix: str | None = None) -> Column:
-    c = lambda name: _at(prefix, name)
+def balance_invariants_hold(row: Column | None = None) -> Column:
+    c = F.col if row is None else row.getField
     return (
         (c("reserved") >= 0)
         & (c("reserved") <= c("on_hand"))

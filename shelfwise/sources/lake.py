@@ -22,11 +22,16 @@ def stable_id(topic="topic", partition="partition", offset="offset") -> Column:
     return F.concat_ws(":", F.col(topic), F.col(partition), F.col(offset))
 
 
+def _base64(value: Column | str) -> Column:
+    """Unbroken base64 text: Spark may fold long lines."""
+    return F.translate(F.base64(value), "\r\n", "")
+
+
 def to_bronze(log: DataFrame, ingested_at: Column) -> DataFrame:
     """Every record as received, tombstones included, with its partition columns."""
     headers = F.transform(
         F.coalesce(F.col("headers"), F.array().cast(log.schema["headers"].dataType)),
-        lambda h: F.struct(h["key"].alias("key"), F.base64(h["value"]).alias("value_base64")),
+        lambda h: F.struct(h["key"].alias("key"), _base64(h["value"]).alias("value_base64")),
     )
     at = F.coalesce("event_timestamp", "ingestion_timestamp")
     return (
@@ -35,8 +40,8 @@ def to_bronze(log: DataFrame, ingested_at: Column) -> DataFrame:
         .select(
             *IDENTITY,
             "event_timestamp",
-            F.base64("key").alias("key_base64"),
-            F.base64("value").alias("value_base64"),
+            _base64("key").alias("key_base64"),
+            _base64("value").alias("value_base64"),
             F.col("value").isNull().alias("value_is_null"),
             F.to_json(headers, {"ignoreNullFields": "false"}).alias("headers_json"),
             "ingestion_timestamp",
