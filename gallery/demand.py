@@ -158,15 +158,16 @@ def demand_buckets(v):
     return d.demand_buckets(v.live, AS_OF)
 
 
-def fold_sql(source: str, keys: str, order: str, value: str) -> str:
-    """Decayed mean and variance by recursion over the observation number."""
-    return f"""seq AS (SELECT {keys}, {value}::DOUBLE AS x, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS i FROM {source}),
-fold AS (SELECT {keys}, i, x AS mean, 0.0::DOUBLE AS variance FROM seq WHERE i = 1
+def fold_sql(source: str, keys: str, order: str, value: str, p: str = "") -> str:
+    """Decayed mean and variance by recursion over the observation number; CTE names start with p."""
+    names = [k.strip() for k in keys.split(",")]
+    return f"""{p}seq AS (SELECT {keys}, {value}::DOUBLE AS x, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS i FROM {source}),
+{p}fold AS (SELECT {keys}, i, x AS mean, 0.0::DOUBLE AS variance FROM {p}seq WHERE i = 1
   UNION ALL
-  SELECT {', '.join('f.' + k.strip() for k in keys.split(','))}, s.i, f.mean + 0.2::DOUBLE * (s.x - f.mean),
+  SELECT {', '.join('f.' + k for k in names)}, s.i, f.mean + 0.2::DOUBLE * (s.x - f.mean),
     0.8::DOUBLE * (f.variance + 0.2::DOUBLE * (s.x - f.mean) * (s.x - f.mean))
-  FROM fold f JOIN seq s ON {' AND '.join(f's.{k.strip()} = f.{k.strip()}' for k in keys.split(','))} AND s.i = f.i + 1),
-last AS (SELECT {keys}, max(i) AS n, arg_max(mean, i) AS mean, arg_max(variance, i) AS variance FROM fold GROUP BY {keys})"""
+  FROM {p}fold f JOIN {p}seq s ON {' AND '.join(f's.{k} = f.{k}' for k in names)} AND s.i = f.i + 1),
+{p}last AS (SELECT {keys}, max(i) AS n, arg_max(mean, i) AS mean, arg_max(variance, i) AS variance FROM {p}fold GROUP BY {keys})"""
 
 
 @query(

@@ -11,7 +11,8 @@ _INT_MIN, _INT_MAX = -2147483648, 2147483647
 def clamp(value: Column, low, high) -> Column:
     low = low if isinstance(low, Column) else F.lit(low)
     high = high if isinstance(high, Column) else F.lit(high)
-    return F.least(F.greatest(value, low), high)
+    # greatest and least skip nulls; a null value stays null.
+    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
 
 
 def trunc_int(value: Column) -> Column:

@@ -269,13 +269,17 @@ def demand_model(movements: DataFrame, as_of, retention_days: int | None = RETEN
         )
         return decayed_stat(series, alpha, presorted=True)
 
-    weekdays = [
-        fold(lambda d, w=w: (F.weekday(d["ord"]) == w) & (d["day_units"] > 0), lambda d: d["day_units"])
-        for w in range(7)
-    ]
-    hours = [
-        fold(lambda d, h=h: d["hours"][h] > 0, lambda d, h=h: d["hours"][h]) for h in range(24)
-    ]
+    # Spark passes an index to two-argument lambdas, so the loop values come in by closure.
+    def of_weekday(w: int) -> Column:
+        return fold(
+            lambda d: (F.weekday(d["ord"]) == w) & (d["day_units"] > 0), lambda d: d["day_units"]
+        )
+
+    def of_hour(h: int) -> Column:
+        return fold(lambda d: d["hours"][h] > 0, lambda d: d["hours"][h])
+
+    weekdays = [of_weekday(w) for w in range(7)]
+    hours = [of_hour(h) for h in range(24)]
     return per_key.select(
         *KEY, F.array(*weekdays).alias("weekday_stats"), F.array(*hours).alias("hour_stats")
     )

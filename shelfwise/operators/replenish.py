@@ -33,7 +33,7 @@ def stockout_hours(available: Column, forecast: Column) -> Column:
 
 
 def stockout_eta(hours: Column, computed_at: Column) -> Column:
-    millis = F.floor(F.least(hours * 3_600_000.0, F.lit(4.0e15))).cast("long")
+    millis = F.floor(clamp(hours * 3_600_000.0, 0.0, 4.0e15)).cast("long")
     return F.timestamp_micros(F.unix_micros(computed_at) + millis * 1000)
 
 
