@@ -146,10 +146,12 @@ def recent_rate_at_evaluation(v):
 )
 def seasonal_baseline(v):
     model = demand_model(v.live, AS_OF)
-    days = F.array(*[
-        F.struct(F.lit(d).alias("day"), f.baseline(F.get("weekday_stats", F.lit(d)), F.get("hour_stats", F.lit(12))).alias("baseline"))
-        for d in range(7)
-    ])
+    days = F.transform(
+        F.sequence(F.lit(0), F.lit(6)),
+        lambda d: F.struct(
+            d.alias("day"), f.baseline(F.get("weekday_stats", d), F.get("hour_stats", F.lit(12))).alias("baseline")
+        ),
+    )
     return model.select(*KEY, F.inline(days))
 
 

@@ -5,11 +5,11 @@ from .keys import (
     weekday_index, weekday_name,
 )
 from .numeric import clamp, exact_mean, hours_between, to_int, trunc_int
-from .folds import decayed_stat, recent_rate_step
+from .folds import decayed_stat, let, recent_rate_step
 from .vectors import cosine_distance
 
 __all__ = [
     "normalize_location", "order_event_key", "sanitize_topic", "short_type_name", "sku_location_key",
     "uuid_v5", "weekday_index", "weekday_name", "clamp", "exact_mean", "hours_between", "to_int",
-    "trunc_int", "decayed_stat", "recent_rate_step", "cosine_distance",
+    "trunc_int", "decayed_stat", "let", "recent_rate_step", "cosine_distance",
 ]

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decayed_stat(ordered: Column, alpha: float = 0.2, presorted: bool = False) -> Column:
     """Exponentially decayed mean and variance of an array of struct<ord, v>.
 

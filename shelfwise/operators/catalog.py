@@ -85,7 +85,10 @@ def catalog_facets(items: DataFrame, type_ids: Sequence[int] | None = None,
 
 def semantic_top_k(items: DataFrame, query: Column, vector: str, id_column: str,
                    page_size: int = 10, page_index: int = 0) -> DataFrame:
-    """Nearest items by cosine distance, with the count of all items (null vectors included)."""
+    """Nearest items by cosine distance, with the count of all items (null vectors included).
+
+    `query` is an array literal: the one vector that is searched for.
+    """
     total = items.agg(F.count("*").alias("n")).select("n").scalar()
     return (
         items.filter(F.col(vector).isNotNull())

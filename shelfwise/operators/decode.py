@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import normalize_location
+from ..functions import let, normalize_location
 from ..model import BALANCE, BALANCE_TABLE, MOVEMENT, MOVEMENT_TABLE, MOVEMENT_TYPES, OPERATIONS
 from .quality import balance_invariants_hold
 
@@ -36,11 +36,6 @@ _BALANCE_ROW = (
 )
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _envelope(row: str) -> str:
     fields = row.replace(" ", ":").replace(",:", ",")
     return (
@@ -165,9 +160,9 @@ def _decode_rows(text: Column, op: Column, schema: str, row, valid, finish) -> C
 
     def images(doc: Column) -> Column:
         def checked(raw: Column) -> Column:
-            return _let(row(raw), lambda r: F.struct(raw.isNotNull().alias("present"), valid(raw, r).alias("ok"), r.alias("row")))
+            return let(row(raw), lambda r: F.struct(raw.isNotNull().alias("present"), valid(raw, r).alias("ok"), r.alias("row")))
 
-        return _let(
+        return let(
             F.struct(checked(doc["before"]).alias("before"), checked(doc["after"]).alias("after")),
             lambda both: finish_checked(doc, both),
         )
@@ -183,7 +178,7 @@ def _decode_rows(text: Column, op: Column, schema: str, row, valid, finish) -> C
         wanted = F.when(op == "d", before["present"]).otherwise(after["present"])
         return finish(F.coalesce(shaped, F.lit(False)), wanted, before["row"], after["row"], doc["source"]["lsn"])
 
-    return _let(_parse(text, schema), images)
+    return let(_parse(text, schema), images)
 
 
 def _decode_movement(text: Column, op: Column) -> Column:
@@ -195,7 +190,7 @@ def _decode_movement(text: Column, op: Column) -> Column:
             .when(~wanted, MISSING_ROW)
         )
         deleting = op == "d"
-        return _let(
+        return let(
             error,
             lambda e: F.when(e.isNotNull(), _result(decode_error=e)).when(
                 deleting,
@@ -226,7 +221,7 @@ def _decode_balance(text: Column, op: Column) -> Column:
                 "on_hand", "reserved", "available", "safety_stock", "reorder_point", "max_stock")],
             before["version"].alias("version"), F.lit(None).cast("timestamp").alias("updated_at"),
         )
-        return _let(
+        return let(
             error,
             lambda e: F.when(e.isNotNull(), _result(decode_error=e)).when(
                 deleting,
@@ -245,7 +240,7 @@ def _decode_balance(text: Column, op: Column) -> Column:
 def _unwrapped(text: Column) -> Column:
     """The change itself: the `payload` member where there is one, else the whole text."""
     return F.when(~text.contains('"payload"'), text).otherwise(
-        _let(
+        let(
             F.from_json(text, "payload variant")["payload"],
             lambda p: F.when(p.isNull(), text)
             .when(F.is_variant_null(p), F.lit("null"))
@@ -257,7 +252,7 @@ def _unwrapped(text: Column) -> Column:
 def _decode_text(text: Column) -> Column:
     def routed(inner: Column) -> Column:
         head = _parse(inner, "source struct<table:variant>, op variant, _corrupt_record string")
-        named = _let(
+        named = let(
             head,
             lambda h: F.struct(
                 F.when(
@@ -266,7 +261,7 @@ def _decode_text(text: Column) -> Column:
                 _text(h["op"]).alias("op"),
             ),
         )
-        return _let(
+        return let(
             named,
             lambda n: F.when(n["table"].isNull(), _result(decode_error=F.lit(MALFORMED)))
             .when(n["table"] == MOVEMENT_TABLE, _decode_movement(inner, n["op"]))
@@ -274,7 +269,7 @@ def _decode_text(text: Column) -> Column:
             .otherwise(_result(decode_error=F.lit(UNSUPPORTED_TABLE))),
         )
 
-    return _let(_unwrapped(text), routed)
+    return let(_unwrapped(text), routed)
 
 
 def decode_changes(log: DataFrame) -> DataFrame:

@@ -242,7 +242,6 @@ def demand_model(movements: DataFrame, as_of, retention_days: int | None = RETEN
 
     Sales are combined to one row per key and day before the first shuffle; the second gathers
     one entry per closed day, so a key's array is as long as the calendar, not as its sales.
-    Readers that index one weekday or hour with a literal make Catalyst drop the other folds.
     """
     end = at(as_of)
     sales = movements.filter(
@@ -269,17 +268,14 @@ def demand_model(movements: DataFrame, as_of, retention_days: int | None = RETEN
         )
         return decayed_stat(series, alpha, presorted=True)
 
-    # Spark passes an index to two-argument lambdas, so the loop values come in by closure.
-    def of_weekday(w: int) -> Column:
-        return fold(
+    weekdays = F.transform(
+        F.sequence(F.lit(0), F.lit(6)),
+        lambda w: fold(
             lambda d: (F.weekday(d["ord"]) == w) & (d["day_units"] > 0), lambda d: d["day_units"]
-        )
-
-    def of_hour(h: int) -> Column:
-        return fold(lambda d: d["hours"][h] > 0, lambda d: d["hours"][h])
-
-    weekdays = [of_weekday(w) for w in range(7)]
-    hours = [of_hour(h) for h in range(24)]
-    return per_key.select(
-        *KEY, F.array(*weekdays).alias("weekday_stats"), F.array(*hours).alias("hour_stats")
+        ),
+    )
+    hours = F.transform(
+        F.sequence(F.lit(0), F.lit(23)),
+        lambda h: fold(lambda d: F.get(d["hours"], h) > 0, lambda d: F.get(d["hours"], h)),
     )
+    return per_key.select(*KEY, weekdays.alias("weekday_stats"), hours.alias("hour_stats"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clamp, weekday_index, weekday_name
+from ..functions import let, weekday_index, weekday_name
 from ..functions.folds import stddev_of
 from ..model import KEY
 from .demand import RETENTION_DAYS, at, demand_model, live_rate, window_units, with_velocities
@@ -41,50 +41,75 @@ def baseline(weekday_stat: Column, hour_stat: Column, no_history: float = NO_HIS
 
 def adaptive_forecast(weekday_stat: Column, hour_stat: Column, live: Column, recent_rate: Column) -> Column:
     """Struct of the seven forecast values at one instant."""
-    base = F.greatest(baseline(weekday_stat, hour_stat), F.lit(0.0))
-    recent = F.when(live > 0, live).otherwise(F.coalesce(recent_rate, F.lit(0.0)))
-    stddev = F.coalesce(stddev_of(weekday_stat), F.lit(0.0))
-    ratio = recent / F.greatest(base, F.lit(RATIO_FLOOR))
-    score = F.greatest((recent - base) / F.greatest(stddev, F.lit(1.0)), F.lit(0.0))
-    weight = F.when(recent <= 0, F.lit(0.0)).otherwise(
-        clamp(
-            WEIGHT_MIN + F.greatest(ratio - WEIGHT_START, F.lit(0.0)) * WEIGHT_SLOPE,
-            WEIGHT_MIN, WEIGHT_MAX,
-        )
-    )
-    mixed = (1.0 - weight) * base + weight * recent
-    values = (
-        base, recent, F.greatest(mixed, F.lit(0.0)), stddev, ratio, score,
-        (ratio >= SPIKE_RATIO) & (score >= SPIKE_SCORE),
+    inputs = F.struct(
+        F.greatest(baseline(weekday_stat, hour_stat), F.lit(0.0)).alias("base"),
+        F.when(live > 0, live).otherwise(F.coalesce(recent_rate, F.lit(0.0))).alias("recent"),
+        F.coalesce(stddev_of(weekday_stat), F.lit(0.0)).alias("stddev"),
     )
-    return F.struct(*[v.alias(n) for v, n in zip(values, FORECAST_FIELDS)])
 
+    def scored(x: Column) -> Column:
+        base, recent = x["base"], x["recent"]
+        return let(
+            F.struct(
+                base.alias("base"), recent.alias("recent"), x["stddev"].alias("stddev"),
+                (recent / F.greatest(base, F.lit(RATIO_FLOOR))).alias("ratio"),
+                F.greatest((recent - base) / F.greatest(x["stddev"], F.lit(1.0)), F.lit(0.0)).alias("score"),
+            ),
+            mixed,
+        )
 
-def horizon_point(instant: Column, weekday_stats: Column, hour_stats: Column, live: Column,
-                  recent_rate: Column) -> Column:
-    point = adaptive_forecast(
-        F.get(weekday_stats, weekday_index(instant)), F.get(hour_stats, F.hour(instant)), live, recent_rate
-    )
-    return F.struct(
-        F.to_date(instant).alias("date"),
-        weekday_name(instant).alias("weekday"),
-        point["forecast_units_per_day"].alias("forecast_units"),
-        point["baseline_units_per_day"].alias("baseline_units"),
-        point["recent_units_per_day"].alias("recent_units"),
-        point["spike_detected"].alias("spike_detected"),
-    )
+    def mixed(x: Column) -> Column:
+        weight = F.when(x["recent"] <= 0, F.lit(0.0)).otherwise(
+            F.least(
+                F.greatest(
+                    WEIGHT_MIN + F.greatest(x["ratio"] - WEIGHT_START, F.lit(0.0)) * WEIGHT_SLOPE,
+                    F.lit(WEIGHT_MIN),
+                ),
+                F.lit(WEIGHT_MAX),
+            )
+        )
+        forecast = let(weight, lambda w: F.greatest((1.0 - w) * x["base"] + w * x["recent"], F.lit(0.0)))
+        values = (
+            x["base"], x["recent"], forecast, x["stddev"], x["ratio"], x["score"],
+            (x["ratio"] >= SPIKE_RATIO) & (x["score"] >= SPIKE_SCORE),
+        )
+        return F.struct(*[v.alias(n) for v, n in zip(values, FORECAST_FIELDS)])
 
+    return let(inputs, scored)
 
-def forecast_horizon(instant: Column, days: int, weekday_stats: Column, hour_stats: Column,
-                     live: Column, recent_rate: Column) -> Column:
-    """One point per day from `instant` on, same hour of day, velocities held."""
-    return F.array(
-        *[
-            horizon_point(
-                instant + F.expr(f"interval {d} days"), weekday_stats, hour_stats, live, recent_rate
-            )
-            for d in range(days)
-        ]
+
+def forecast_points(instant: Column, days: int, weekday_stats: Column, hour_stats: Column,
+                    live: Column, recent_rate: Column) -> Column:
+    """Array of (date, weekday, forecast) for each day from `instant` on.
+
+    Every point keeps the hour of day and the velocities and takes its own weekday's history.
+    """
+
+    def point(day: Column) -> Column:
+        then = instant + F.make_interval(days=day)
+        return F.struct(
+            F.to_date(then).alias("date"),
+            weekday_name(then).alias("weekday"),
+            adaptive_forecast(
+                F.get(weekday_stats, weekday_index(then)), F.get(hour_stats, F.hour(then)), live, recent_rate
+            ).alias("forecast"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(days - 1)), point)
+
+
+def forecast_horizon(points: Column) -> Column:
+    """The horizon as it is reported: one flat struct per day."""
+    return F.transform(
+        points,
+        lambda p: F.struct(
+            p["date"].alias("date"),
+            p["weekday"].alias("weekday"),
+            p["forecast"]["forecast_units_per_day"].alias("forecast_units"),
+            p["forecast"]["baseline_units_per_day"].alias("baseline_units"),
+            p["forecast"]["recent_units_per_day"].alias("recent_units"),
+            p["forecast"]["spike_detected"].alias("spike_detected"),
+        ),
     )
 
 
@@ -112,22 +137,22 @@ def sku_features(
         df = df.withColumn("recent_rate_ewma", F.col("_live"))
     else:
         df = df.join(recent_rates.select(*KEY, "recent_rate_ewma"), KEY, "left")
-    inputs = (F.col("_live"), F.col("recent_rate_ewma"))
-    weekdays, hours = F.col("weekday_stats"), F.col("hour_stats")
-    now = adaptive_forecast(
-        F.get(weekdays, weekday_index(instant)), F.get(hours, F.hour(instant)), *inputs
+    points = forecast_points(
+        instant, horizon_days, F.col("weekday_stats"), F.col("hour_stats"), F.col("_live"),
+        F.col("recent_rate_ewma"),
     )
-    return (
-        df.withColumn("computed_at", instant)
-        .withColumn("_now", now)
-        .withColumn("horizon", forecast_horizon(instant, horizon_days, weekdays, hours, *inputs))
-        .select(
-            *KEY, "computed_at", "on_hand", "reserved", "available",
-            F.col("version").alias("balance_version"), "safety_stock", "reorder_point", "max_stock",
-            *counts[3:4], *counts[:3],
-            *[f"sale_velocity_{w}" for w in ("5m", "15m", "1h")],
-            "daily_sales",
-            *[F.col(f"_now.{n}").alias(n) for n in FORECAST_FIELDS],
-            "horizon",
-        )
+    result = let(
+        points,
+        lambda p: F.struct(
+            *[F.get(p, F.lit(0))["forecast"][n].alias(n) for n in FORECAST_FIELDS],
+            forecast_horizon(p).alias("horizon"),
+        ),
+    )
+    velocities = [f"sale_velocity_{w}" for w in ("5m", "15m", "1h")]
+    # A generator's output is computed once, whatever later filters and decisions mention.
+    return df.withColumn("computed_at", instant).select(
+        *KEY, "computed_at", "on_hand", "reserved", "available",
+        F.col("version").alias("balance_version"), "safety_stock", "reorder_point", "max_stock",
+        "reserve_units_5m", "sale_units_5m", "sale_units_15m", "sale_units_1h", *velocities,
+        "daily_sales", F.inline(F.array(result)),
     )

@@ -76,14 +76,21 @@ class _Stretch:
                 before == 0.0, taken, NEW_WEIGHT * taken + (1.0 - NEW_WEIGHT) * before
             )
 
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "sku_id": np.int32(self.key[0]), "location_code": self.key[1], "start_us": self.start,
-                "entry_us": self.entry, "exit_us": self.last, "samples": self.count,
-                "scale": self.scale, "shift": self.shift, "fresh": self.fresh,
-            }
-        )
+    def columns(self) -> list[np.ndarray]:
+        n = len(self.entry)
+        return [
+            np.full(n, self.key[0], np.int32), np.full(n, self.key[1], object),
+            np.full(n, self.start, np.int64), self.entry, self.last, self.count,
+            self.scale, self.shift, self.fresh,
+        ]
+
+
+_NAMES = ["sku_id", "location_code", "start_us", "entry_us", "exit_us", "samples", "scale", "shift", "fresh"]
+
+
+def _frame(stretches: list[_Stretch]) -> pd.DataFrame:
+    columns = zip(*[s.columns() for s in stretches])
+    return pd.DataFrame({name: np.concatenate(parts) for name, parts in zip(_NAMES, columns)})
 
 
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,17 +105,17 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = (int(sku[low]), place[low])
             if current is None or current.key != key:
                 if current is not None:
-                    done.append(current.rows())
+                    done.append(current)
                 # Only the first key of a partition can have ticks in the partition before.
                 current, first = _Stretch(key, first, int(us[low])), False
             current.add(us[low:high], rate[low:high])
-        if len(done) > 256:
-            yield pd.concat(done, ignore_index=True)
+        if len(done) > 4096:
+            yield _frame(done)
             done = []
     if current is not None:
-        done.append(current.rows())
+        done.append(current)
     if done:
-        yield pd.concat(done, ignore_index=True)
+        yield _frame(done)
 
 
 def recent_rate_ewma(ticks: DataFrame, partitions: int | None = None) -> DataFrame:
