@@ -130,7 +130,10 @@ def sku_features(
     instant = at(as_of)
     windows = window_units(movements, as_of)
     model = demand_model(movements, as_of, retention_days)
-    df = balances.join(windows, KEY, "left").join(model, KEY, "left")
+    # Keyed like the aggregates it meets: the joins share this one shuffle of the balances, and the
+    # forecasts after them run on all tasks even when the other sides are broadcast.
+    keyed = balances.repartition(*KEY)
+    df = keyed.join(windows, KEY, "left").join(model, KEY, "left")
     counts = [c for c in windows.columns if c not in KEY]
     df = with_velocities(df.fillna(0, counts)).withColumn("_live", live_rate())
     if recent_rates is None:

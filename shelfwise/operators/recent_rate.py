@@ -9,10 +9,12 @@ entry tick to exit tick and an affine change of the average, and a key's stretch
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from ..model import KEY
 from .demand import RETENTION_DAYS, _retention_start, at, live_rate, rolling_units, with_velocities
 from .lookups import evaluated_movements
 
+# The fold travels with its job, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Least distance of two samples, weight of a new one.
 SAMPLE_GAP_US = 60_000_000
 NEW_WEIGHT = 0.35
@@ -88,34 +93,74 @@ class _Stretch:
 _NAMES = ["sku_id", "location_code", "start_us", "entry_us", "exit_us", "samples", "scale", "shift", "fresh"]
 
 
-def _frame(stretches: list[_Stretch]) -> pd.DataFrame:
-    columns = zip(*[s.columns() for s in stretches])
-    return pd.DataFrame({name: np.concatenate(parts) for name, parts in zip(_NAMES, columns)})
+def _whole_keys(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Folds keys that begin and end inside one batch, all of them side by side."""
+    us, rate = batch["at_us"].to_numpy(), batch["rate"].to_numpy()
+    # One rising number per row: the key's ordinal, then its time, leaves room for the gap.
+    base = us[starts[0]:ends[-1]].min()
+    span = us[starts[0]:ends[-1]].max() - base + 2 * SAMPLE_GAP_US
+    ordinal = np.repeat(np.arange(len(starts)), ends - starts)
+    line = ordinal * span + (us[starts[0]:ends[-1]] - base)
+    begin = starts - starts[0]
+    stop = ends - starts[0]
+    times, rates = us[starts[0]:ends[-1]], rate[starts[0]:ends[-1]]
+    place, fresh = begin.copy(), rates[begin].copy()
+    count = np.ones(len(starts), np.int64)
+    scale = np.full(len(starts), 1.0 - NEW_WEIGHT)
+    shift = NEW_WEIGHT * fresh
+    active = np.arange(len(starts))
+    while len(active):
+        following = np.searchsorted(line, line[place[active]] + SAMPLE_GAP_US, side="left")
+        inside = following < stop[active]
+        active, following = active[inside], following[inside]
+        taken = rates[following]
+        place[active] = following
+        count[active] += 1
+        scale[active] *= 1.0 - NEW_WEIGHT
+        shift[active] = NEW_WEIGHT * taken + (1.0 - NEW_WEIGHT) * shift[active]
+        fresh[active] = np.where(
+            fresh[active] == 0.0, taken, NEW_WEIGHT * taken + (1.0 - NEW_WEIGHT) * fresh[active]
+        )
+    sku, location = batch["sku_id"].to_numpy(), batch["location_code"].to_numpy(object)
+    return [
+        sku[starts], location[starts], times[begin], times[begin], times[place], count, scale, shift, fresh,
+    ]
+
+
+def _frame(parts: list[list[np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({name: np.concatenate(column) for name, column in zip(_NAMES, zip(*parts))})
 
 
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, first, done = None, True, []
+    current = None
     for batch in batches:
         if batch.empty:
             continue
-        sku, place = batch["sku_id"].to_numpy(), batch["location_code"].to_numpy()
+        sku, place = batch["sku_id"].to_numpy(), batch["location_code"].to_numpy(object)
         us, rate = batch["at_us"].to_numpy(), batch["rate"].to_numpy()
         change = np.flatnonzero((sku[1:] != sku[:-1]) | (place[1:] != place[:-1])) + 1
-        for low, high in zip([0, *change], [*change, len(batch)]):
-            key = (int(sku[low]), place[low])
-            if current is None or current.key != key:
-                if current is not None:
-                    done.append(current)
-                # Only the first key of a partition can have ticks in the partition before.
-                current, first = _Stretch(key, first, int(us[low])), False
-            current.add(us[low:high], rate[low:high])
-        if len(done) > 4096:
-            yield _frame(done)
-            done = []
+        starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(batch)]])
+        finished = []
+        first_key = (int(sku[0]), place[0])
+        if current is None:
+            # Only the first key of a partition can have ticks in the partition before.
+            current = _Stretch(first_key, True, int(us[0]))
+        elif current.key != first_key:
+            finished.append(current.columns())
+            current = _Stretch(first_key, False, int(us[0]))
+        current.add(us[: ends[0]], rate[: ends[0]])
+        if len(starts) > 1:
+            finished.append(current.columns())
+            if len(starts) > 2:
+                finished.append(_whole_keys(batch, starts[1:-1], ends[1:-1]))
+            # The last key may go on in the next batch.
+            low = starts[-1]
+            current = _Stretch((int(sku[low]), place[low]), False, int(us[low]))
+            current.add(us[low:], rate[low:])
+        if finished:
+            yield _frame(finished)
     if current is not None:
-        done.append(current)
-    if done:
-        yield _frame(done)
+        yield _frame([current.columns()])
 
 
 def recent_rate_ewma(ticks: DataFrame, partitions: int | None = None) -> DataFrame:
