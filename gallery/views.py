@@ -52,6 +52,14 @@ def event_type() -> Column:
     return result
 
 
+def cents() -> Column:
+    """The price keeps apart the few lines that share order, number, part and supplier."""
+    return F.round(F.col("l_extendedprice") * 100).cast("long")
+
+
+SQL_CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+
+
 def minutes(count: Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), count.cast("int"))
 
@@ -81,7 +89,7 @@ class Views:
                 ),
             )
             .select(
-                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("movement_id"),
+                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents()).alias("movement_id"),
                 F.concat(F.lit("evt-"), F.col("l_orderkey")).alias("source_event_id"),
                 (F.col("l_partkey") + 1).cast("int").alias("sku_id"),
                 loc(F.col("l_suppkey")).alias("location_code"),
@@ -103,7 +111,7 @@ class Views:
             + F.col("l_linenumber") * 31 + F.col("l_suppkey") * 13
         ) % 20160
         return self.table("lineitem").select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("movement_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents()).alias("movement_id"),
             (F.col("l_partkey") + 1).cast("int").alias("sku_id"),
             loc(F.col("l_suppkey")).alias("location_code"),
             (F.col("l_orderkey") + 1).cast("int").alias("order_id"),
@@ -249,7 +257,7 @@ class Views:
             (F.floor(F.col("l_extendedprice") * 4 / F.col("l_quantity")) / 4).alias("unit_price"),
             (F.col("l_discount") * 100).alias("discount"),
             F.col("l_linenumber").alias("line_number"),
-            F.concat_ws("-", "l_partkey", "l_suppkey").alias("line_id"),
+            F.concat_ws("-", "l_partkey", "l_suppkey", cents()).alias("line_id"),
         )
 
     @cached_property
@@ -333,14 +341,14 @@ CTES = {
     "v_movement": f"""
   SELECT *, occurred_at + INTERVAL 5 SECOND AS recorded_at,
          CAST(floor(epoch(occurred_at) / 60) AS BIGINT) - 13148640 AS resulting_balance_version
-  FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS movement_id,
+  FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {SQL_CENTS}) AS movement_id,
                'evt-' || l_orderkey AS source_event_id, CAST(l_partkey + 1 AS INTEGER) AS sku_id,
                {sql_loc('l_suppkey')} AS location_code, CAST(l_orderkey + 1 AS INTEGER) AS order_id,
                {SQL_LINEITEM_TYPE} AS movement_type, CAST(floor(l_quantity) AS INTEGER) AS quantity,
                l_shipdate + to_hours(l_linenumber) + to_minutes(l_suppkey) AS occurred_at
         FROM lineitem)""",
     "v_live": f"""
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS movement_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {SQL_CENTS}) AS movement_id,
          CAST(l_partkey + 1 AS INTEGER) AS sku_id, {sql_loc('l_suppkey')} AS location_code,
          CAST(l_orderkey + 1 AS INTEGER) AS order_id, {SQL_LINEITEM_TYPE} AS movement_type,
          CAST(floor(l_quantity) AS INTEGER) AS quantity,
@@ -436,11 +444,11 @@ CTES = {
          o_orderdate AS order_date,
          CASE o_orderstatus WHEN 'F' THEN 'Shipped' WHEN 'P' THEN 'Paid' ELSE 'Submitted' END AS status
   FROM orders""",
-    "v_order_item": """
+    "v_order_item": f"""
   SELECT CAST(l_orderkey + 1 AS INTEGER) AS order_id, CAST(l_partkey % 40 + 1 AS INTEGER) AS product_id,
          'product-' || (l_partkey % 40 + 1) AS product_name, CAST(floor(l_quantity) AS INTEGER) AS units,
          floor(l_extendedprice * 4 / l_quantity) / 4 AS unit_price, l_discount * 100 AS discount,
-         l_linenumber AS line_number, concat_ws('-', l_partkey, l_suppkey) AS line_id
+         l_linenumber AS line_number, concat_ws('-', l_partkey, l_suppkey, {SQL_CENTS}) AS line_id
   FROM lineitem""",
     "v_buyer": "SELECT CAST(c_custkey + 1 AS INTEGER) AS buyer_id, c_name AS buyer_name FROM customer",
     "v_source_item": """

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sanitize_topic
 from ..model import (
@@ -69,7 +70,7 @@ def write_bronze(bronze: DataFrame, path: str) -> None:
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BRONZE.add("topic_dir", "string")).parquet(path).drop("topic_dir")
+    return spark.read.schema(T.StructType([*BRONZE.fields, T.StructField("topic_dir", T.StringType())])).parquet(path).drop("topic_dir")
 
 
 def to_silver(decoded: DataFrame) -> DataFrame:
@@ -123,9 +124,18 @@ def write_silver(silver: DataFrame, path: str, ingested_at: Column) -> None:
     )
 
 
-def read_silver(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """All silver rows below `path`; a null in a required column fails the job."""
-    silver = spark.read.schema(SILVER).parquet(path)
+def read_silver(
+    spark: SparkSession, path: str, strict: bool = True, days: tuple[str, str] | None = None
+) -> DataFrame:
+    """All silver rows below `path`; a null in a required column fails the job.
+
+    `days` (first, last) reads only those date partitions.
+    """
+    partitioned = T.StructType([*SILVER.fields, T.StructField("date", T.DateType()), T.StructField("hour", T.IntegerType())])
+    silver = spark.read.schema(partitioned).parquet(path)
+    if days is not None:
+        silver = silver.filter(F.col("date").between(*[F.lit(d).cast("date") for d in days]))
+    silver = silver.drop("date", "hour")
     return required_not_null(silver, SILVER_REQUIRED) if strict else silver
 
 
