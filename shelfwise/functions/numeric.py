@@ -20,14 +20,5 @@ def trunc_int(value: Column) -> Column:
     return clamp(value, float(_INT_MIN), float(_INT_MAX)).cast("int")
 
 
-def to_int(value: Column) -> Column:
-    """Narrow a whole number into a 32-bit integer, saturating at its ends."""
-    return clamp(value.cast("long"), _INT_MIN, _INT_MAX).cast("int")
-
-
-def hours_between(end: Column, start: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(3.6e9)
-
-
 def exact_mean(total: Column, count: Column) -> Column:
     return F.when(count > 0, total.cast("double") / count).otherwise(F.lit(0.0))

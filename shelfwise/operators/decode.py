@@ -20,6 +20,7 @@ _UUID = (
     r"^(urn:uuid:)?\{?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\}?$"
     r"|^[0-9a-fA-F]{32}$"
 )
+_CANONICAL_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:?\d{2})$"
 # End of fixed values.
 
@@ -57,8 +58,10 @@ def _text(node: Column) -> Column:
 
 
 def _uuid(value: Column) -> Column:
+    """Lower-case hyphenated form; text that has it already is passed on."""
     bare = F.lower(F.regexp_replace(value, r"^urn:uuid:|[{}-]", ""))
-    return F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    spelled = F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(value.rlike(_CANONICAL_UUID), value).otherwise(spelled)
 
 
 def _instant(value: Column) -> Column:

@@ -1,11 +1,10 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults for tests and benches."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "shelfwise", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -21,15 +20,3 @@ def local_session(app: str = "shelfwise", cores: int | str = "*", partitions: in
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local folder only where none is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not _checkpoint_dir_is_set(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def _checkpoint_dir_is_set(spark: SparkSession) -> bool:
-    return spark.sparkContext.getCheckpointDir() is not None
