@@ -58,11 +58,6 @@ class ServingTable:
         rows = self.deltas()
         return None if rows is None else self.merge(rows).drop("batch")
 
-    def before(self, batch_id: int) -> DataFrame | None:
-        """Rows as they were before a batch; a retried batch must not meet its own first attempt."""
-        rows = self.deltas()
-        return None if rows is None else self.merge(rows.filter(F.col("batch") < batch_id)).drop("batch")
-
     def compact(self) -> None:
         batches = _numbered_dirs(self.spark, f"{self.path}/deltas", "batch=")
         rows = self.deltas()
