@@ -3,29 +3,47 @@
 Both vocabularies split a text before each space that precedes a non-space character, whatever stands
 around it: byte_bpe_50k's pattern binds that space to what follows, word_bpe_49k drops white space.
 So a text's ids are the ids of those chunks in a row, and a chunk seen before needs no new encoding.
+A chunk of letters is one word to either pattern and goes to the library's model directly.
 A text with a special token's string, whose neighbours are split differently, is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
 _CHUNKS = re.compile(r" (?=\S)")
-_OPEN: dict[tuple, ChunkEncoder] = {}
+_MARKS = ".,;:!?"
+_OPEN: dict[str, ChunkEncoder] = {}
+
+
+def byte_letters() -> dict[int, int]:
+    """str.translate table of the byte-level alphabet: printable bytes are themselves, others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
 
 
 class _Cache(dict):
     """Chunk without its leading space -> little-endian ids; None where a chunk isn't a chunk."""
 
-    def __init__(self, encode, entries: int):
-        self.encode, self.entries = encode, entries
+    def __init__(self, encoder: ChunkEncoder, entries: int):
+        self.encoder, self.entries = encoder, entries
+        self.marks = {m: encoder.whole(m) for m in _MARKS}
 
     def __missing__(self, chunk: str):
         if not chunk or chunk[0].isspace():
             return None
-        found = self.encode(" " + chunk)
+        word, mark = chunk[:-1], chunk[-1]
+        if chunk.isalpha():
+            found = self.encoder.word(chunk)
+        elif mark in _MARKS and word.isalpha() and word[-1].lower().isalpha():
+            # The patterns split letters from the mark behind them, so a known word is enough.
+            found = self[word] + self.marks[mark]
+        else:
+            found = self.encoder.whole(" " + chunk)
         if len(self) < self.entries and len(chunk) <= 64:
             self[chunk] = found
         return found
@@ -34,21 +52,36 @@ class _Cache(dict):
 class ChunkEncoder:
     """`ids(text)`: the text's ids as little-endian unsigned 32-bit bytes; null counts as empty."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = _Cache(self.whole, entries)
+        # A vocabulary of lower-case words: texts are lower-cased first, so that fewer different words are met.
+        self.lower = '"Lowercase"' in self.tokenizer.to_str()[:4096]
+        self.letters = byte_letters()
+        self.cache = _Cache(self, entries)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, letters: str) -> bytes:
+        """Ids of a space and letters."""
+        if self.lower and (letters != letters.lower() or not unicodedata.is_normalized("NFC", letters)):
+            return self.whole(" " + letters)
+        spelled = letters if self.lower else " " + letters
+        tokens = self.model.tokenize(spelled.encode("utf-8").decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
+        # Case is folded character by character there, after composition; where Python's way differs, it is left.
+        if self.lower and "Σ" not in text and unicodedata.is_normalized("NFC", text):
+            text = text.lower()
         known = self.cache.__getitem__
         head, *rest = text.split(" ")
         first = self.whole(head) if head else b""

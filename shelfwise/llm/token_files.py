@@ -219,11 +219,12 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
 def token_spans(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each stored document; start counts over all files in order."""
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    # One row a file.
     base = manifest.select("shard", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
     read = read_token_files(manifest).select(
         "shard", "doc_id", "before", F.octet_length("ids").alias("n_bytes"), F.crc32("ids").alias("ids_crc32")
     )
-    return read.join(base, "shard").select(
+    return read.join(F.broadcast(base), "shard").select(
         "doc_id",
         (F.col("base") + F.col("before")).alias("start"),
         (F.col("n_bytes") / 4).cast("long").alias("n_tokens"),
