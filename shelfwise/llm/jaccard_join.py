@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +82,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length as byte planes: equal high bytes lie side by side, which the shuffle compresses."""
+    """Columns of equal length as compressed byte planes: the like high bytes of sorted numbers lie side by side."""
     head = np.array([len(columns), len(columns[0]), *(c.itemsize for c in columns)], "<u4").tobytes()
-    return head + b"".join(np.ascontiguousarray(c.view("u1").reshape(-1, c.itemsize).T).tobytes() for c in columns)
+    planes = (np.ascontiguousarray(c.view("u1").reshape(-1, c.itemsize).T).tobytes() for c in columns)
+    return _SQUEEZE.compress(head + b"".join(planes))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
+    data = _EXPAND.decompress(data)
     count, n = np.frombuffer(data, "<u4", 2).tolist()
     sizes = np.frombuffer(data, "<u4", count, 8).tolist()
     at, out = 8 + 4 * count, []
@@ -265,74 +271,104 @@ def jaccard_links(docs: DataFrame, percent: int = 75, n: int = N) -> tuple[DataF
     return members, links
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    reach = 1 - percent / 100
+def _lists(member_of: DataFrame, percent: int) -> DataFrame:
+    """h, class, head, n: posting lists of prefix shingles over groups; of lists with the same members, one.
+
+    class: sizes whose ratio is below the threshold are at most one class apart.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    entries = member_of.filter("key = head").select("head", "n", size_class.alias("class"), F.explode("prefix").alias("h"))
+    sums = [F.sum(F.xxhash64("head", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    signed = entries.groupBy("h").agg(F.count(F.lit(1)).alias("many"), *sums).filter("many > 1")
+    chosen = signed.groupBy("many", "s1", "s2").agg(F.min("h").alias("h")).select("h")
+    return entries.join(chosen, "h", "left_semi")
+
+
+def _links(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    slack = 1 - percent / 100 + 1e-9
     prefixes = sets.select("key", "n", F.slice("items", F.lit(1), F.col("q")).alias("prefix"))
     grouped = prefixes.select("key", "n", "prefix", F.xxhash64("n", "prefix").alias("gid"))
     heads = grouped.groupBy("gid").agg(F.min("key").alias("head"))
-    member_of = materialized(grouped.join(heads, "gid").select("key", "n", "head", F.when(F.col("key") == F.col("head"), F.col("prefix")).alias("prefix")), "jaccard-groups")
-    # Sizes whose ratio is below the threshold are at most one class apart.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    entries = member_of.filter("key = head").select("head", "n", size_class.alias("class"), F.explode("prefix").alias("h"))
-    pivots = entries.groupBy("h", "class").agg(F.min("head").alias("pivot"), F.count(F.lit(1)).alias("many"))
-    starred = entries.join(pivots.filter("many > 1"), ["h", "class"])
-    pairs = starred.filter("head != pivot").select(F.col("pivot").alias("a"), F.col("head").alias("b"))
+    of_group = grouped.join(heads, "gid").select("key", "n", "head", F.when(F.col("key") == F.col("head"), F.col("prefix")).alias("prefix"))
+    member_of = materialized(of_group, "jaccard-groups")
+    entries = materialized(_lists(member_of, percent), "jaccard-entries")
+
+    # Pairs of a list's groups with its pivot group, and of a group's members with its head, are verified first.
+    pivots = entries.groupBy("h", "class").agg(F.min("head").alias("pivot"))
+    starred = entries.join(pivots, ["h", "class"]).filter("head != pivot").select(F.col("pivot").alias("a"), F.col("head").alias("b"))
     inside = member_of.filter("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    first = materialized(_verified(pairs.unionByName(inside).distinct(), sets, percent), "jaccard-first")
-    edges = first.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = components(edges)
+    first = materialized(_verified(starred.unionByName(inside).distinct(), sets, percent), "jaccard-first")
 
-    # What is left: members of different classes that share a prefix shingle, by their distance from its pivot.
+    # The lists by members, each with the bounds of its distance from the list's pivot.
     to_head = first.select(F.col("a").alias("head"), F.col("b").alias("key"), F.col("distance").alias("off"))
     to_pivot = first.select(F.col("a").alias("pivot"), F.col("b").alias("head"), F.col("distance").alias("far"))
-    labelled = (
-        member_of.select("key", "n", "head")
-        .join(labels.withColumnRenamed("node", "key"), "key", "left")
-        .join(to_head, ["head", "key"], "left")
-        .select("key", "n", "head", F.coalesce("component", "key").alias("comp"), F.coalesce("off", F.lit(0.0)).alias("off"))
-    )
-    near = F.when(F.col("head") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far"))
+    members = member_of.select("key", "n", "head").join(to_head, ["head", "key"], "left").na.fill(0.0, ["off"])
+    far = F.when(F.col("head") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far"))
     lists = (
         entries.select("h", "class", "head")
         .join(pivots, ["h", "class"])
         .join(to_pivot, ["pivot", "head"], "left")
-        .select("h", "class", "head", near.alias("far"))
-        .join(labelled, "head")
+        .select("h", "class", "head", far.alias("far"))
+        .join(members, "head")
         .select(
-            "h", "class", "key", "n", "comp",
+            "h", "class", "key", "n",
             F.greatest(F.col("far") - F.col("off"), F.col("off") - F.col("far"), F.lit(0.0)).alias("lo"),
             (F.col("far") + F.col("off")).alias("hi"),
         )
     )
-    mixed = lists.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("h")
-    lists = materialized(lists.join(mixed, "h", "left_semi"), "jaccard-lists")
-    classes = lists.groupBy("h", "class", "comp").agg(
+    lists, done = materialized(lists, "jaccard-lists"), first.select("a", "b", "linked")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Lists that still hold more than one class, with the class of each member."""
+        edges = done.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = components(edges).withColumnRenamed("node", "key")
+        named = rows.drop("comp").join(labels, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+        mixed = named.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("h")
+        return materialized(named.join(mixed, "h", "left_semi"), "jaccard-mixed")
+
+    def compatible(x: str, y: str, least: str = "n", most: str = "n"):
+        """Sizes and distances from a common pivot that don't rule a link out."""
+        c = lambda side, name: F.col(f"{side}{name}")
+        sizes = (100 * c(x, most) >= percent * c(y, least)) & (100 * c(y, most) >= percent * c(x, least))
+        near = (c(x, "lo") - c(y, "hi") <= slack) & (c(y, "lo") - c(x, "hi") <= slack)
+        return sizes & ((c(x, "class") != c(y, "class")) | near)
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return pairs.join(known, ["a", "b"], "left_anti")
+
+    # A few other pivots for each list: whoever is near its classes is connected soon.
+    mixed = labelled(lists)
+    for r in range(rounds):
+        draw = F.xxhash64("key", F.pmod("h", F.lit(4)), F.lit(r))
+        center = mixed.groupBy("h").agg(F.min_by(F.struct("key", "n", "class", "comp", "lo", "hi"), draw).alias("p"))
+        both = mixed.join(center.select("h", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "class", "comp", "lo", "hi")]), "h")
+        both = both.select(*[F.col(c).alias(f"m_{c}") for c in ("key", "n", "class", "comp", "lo", "hi")], *[c for c in both.columns if c[:2] == "p_"])
+        pairs = both.filter((F.col("m_comp") != F.col("p_comp")) & compatible("m_", "p_")).select(F.col("p_key").alias("a"), F.col("m_key").alias("b"))
+        found = materialized(_verified(fresh(pairs), sets, percent), "jaccard-round").select("a", "b", "linked")
+        done = done.unionByName(found)
+        if found.filter("linked").isEmpty():
+            break
+        mixed = labelled(mixed)
+
+    # All pairs of a list that are still apart and not ruled out; classes are compared before their members.
+    classes = mixed.groupBy("h", "class", "comp").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
-    slack = reach + 1e-9
-    x, y = classes.alias("x"), classes.alias("y")
-    ambiguous = x.join(
-        y,
-        (F.col("x.h") == F.col("y.h"))
-        & (F.col("x.comp") < F.col("y.comp"))
-        & (100 * F.col("x.most") >= percent * F.col("y.least"))
-        & (100 * F.col("y.most") >= percent * F.col("x.least"))
-        & (
-            (F.col("x.class") != F.col("y.class"))
-            | ((F.col("x.lo") - F.col("y.hi") <= slack) & (F.col("y.lo") - F.col("x.hi") <= slack))
-        ),
-    ).select(F.col("x.h").alias("h"), F.col("x.class").alias("class_x"), F.col("x.comp").alias("comp_x"), F.col("y.class").alias("class_y"), F.col("y.comp").alias("comp_y"))
-    lx = lists.select("h", *[F.col(c).alias(f"{c}_x") for c in ("class", "comp", "key", "n", "lo", "hi")])
-    ly = lists.select("h", *[F.col(c).alias(f"{c}_y") for c in ("class", "comp", "key", "n", "lo", "hi")])
-    fits = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
-    bounds = (F.col("class_x") != F.col("class_y")) | (
-        (F.col("lo_x") - F.col("hi_y") <= slack) & (F.col("lo_y") - F.col("hi_x") <= slack)
+    names = ("class", "comp", "least", "most", "lo", "hi")
+    x = classes.select("h", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = classes.select("h", *[F.col(c).alias(f"y_{c}") for c in names])
+    ambiguous = (
+        x.join(y, (x["h"] == y["h"]) & (F.col("x_comp") < F.col("y_comp")) & compatible("x_", "y_", "least", "most"))
+        .select(x["h"], "x_class", "x_comp", "y_class", "y_comp")
     )
-    rest = ambiguous.join(lx, ["h", "class_x", "comp_x"]).join(ly, ["h", "class_y", "comp_y"]).filter(fits & bounds)
-    rest = rest.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _verified(rest.join(known, ["a", "b"], "left_anti"), sets, percent).filter("linked")
-    return edges.unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    names = ("class", "comp", "key", "n", "lo", "hi")
+    left = mixed.select("h", *[F.col(c).alias(f"x_{c}") for c in names])
+    right = mixed.select("h", *[F.col(c).alias(f"y_{c}") for c in names])
+    rest = ambiguous.join(left, ["h", "x_class", "x_comp"]).join(right, ["h", "y_class", "y_comp"]).filter(compatible("x_", "y_"))
+    last = _verified(fresh(rest.select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))), sets, percent)
+    return done.unionByName(last.select("a", "b", "linked")).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicate_classes(docs: DataFrame, percent: int = 75, n: int = N) -> DataFrame:
