@@ -295,4 +295,5 @@ def roundtrip(pages: DataFrame, segment_bytes: int = 32 << 10) -> DataFrame:
     )
     # A revisit has no body; its length is that of the response with the same digest.
     sizes = read.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("bytes").alias("payload_bytes"))
-    return read.join(sizes, "payload_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # What is read from files has no size estimate that a broadcast could be decided on.
+    return read.hint("merge").join(sizes.hint("merge"), "payload_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
