@@ -7,12 +7,12 @@ shingle of only one set is shared with none, so a set whose rare shingles fill t
 
 1. Equal sets collapse into one key. Postings (shingle, key) meet by shingle, which gives frequencies.
 2. Only shingles of two or more sets go back to their key. Keys with enough of them survive, with a prefix.
-3. Keys with equal prefix and size are one group; groups that share a prefix shingle and have compatible
-   sizes are candidate pairs. Those are first filtered through one pivot group for each shingle and size
-   class; pairs with the pivot are expanded and verified, and what they link is connected.
-4. Jaccard distance is a metric: a pair whose distances to a common pivot differ by more than
-   1 - threshold can't link. All other pairs of a shared prefix shingle that are not yet connected are
-   expanded to their members and verified too. Links found connect the classes.
+3. Keys with equal prefix and size are one group. Groups that share a prefix shingle and whose sizes allow
+   a link are candidate pairs; they are not listed but connected: groups of one shingle and size class (all
+   sizes in it are compatible) through one of them, neighbouring classes where their nearest sizes are.
+4. Each connected candidate set is expanded to its members, whose whole sets meet in one task, or in blocks
+   of bounded size, two at a time. There every pair of members is verified by counting shared shingles,
+   unless both are connected already. The links found connect the classes.
 
 Postings are packed into byte rows, one for each batch and hash range, so that 64-bit random numbers cross
 the shuffle without row overhead. Keys are 64-bit digests of the whole set.
@@ -38,6 +38,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64())])
 _PACKED = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _SURVIVORS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("q", pa.int32()), ("items", pa.list_(pa.int64()))])
 
 
@@ -238,16 +239,97 @@ def _survivors(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b: keys) -> a, b, distance, linked; by the shared shingles of both whole sets."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("long").alias("same"))
-    union = F.col("na") + F.col("nb") - F.col("same")
-    return both.select(
-        "a", "b", (1 - F.col("same") / union).alias("distance"), (100 * F.col("same") >= percent * union).alias("linked")
+def _verified(percent: int):
+    """Members of a candidate set, one or two blocks of it at a time -> the links that connect them."""
+
+    def links(keys, n, blocks, items) -> list[tuple[int, int]]:
+        owner = np.repeat(np.arange(len(keys)), [len(x) for x in items])
+        _, code = np.unique(np.concatenate(items), return_inverse=True)
+        posting = owner[np.argsort(code, kind="stable")]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(code))])
+        ends = np.cumsum([len(x) for x in items])
+        label, found = np.arange(len(keys)), []
+        two = len(np.unique(blocks)) > 1
+        for x in range(len(keys)):
+            rest = label != label[x]
+            if two:
+                rest &= blocks != blocks[x]
+            if not rest.any():
+                continue
+            codes = code[ends[x] - len(items[x]) : ends[x]]
+            same = np.bincount(np.concatenate([posting[bounds[c] : bounds[c + 1]] for c in codes]), minlength=len(keys))
+            for y in np.flatnonzero(rest & (100 * same >= percent * (n + n[x] - same))):
+                if label[y] != label[x]:
+                    found.append((int(keys[x]), int(keys[y])))
+                    label[label == label[y]] = label[x]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, out = None, [], []
+
+        def closed() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            keys, n, blocks, items = zip(*held)
+            return links(np.array(keys), np.array(n, np.int64), np.array(blocks), items)
+
+        for rows in batches:
+            lists = rows.column("items")
+            flat, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            names = zip(*(rows.column(c).to_pylist() for c in ("part", "block_x", "block_y", "key", "n", "block")))
+            for k, (part, block_x, block_y, key, n, block) in enumerate(names):
+                if (part, block_x, block_y) != last:
+                    out += closed()
+                    last, held = (part, block_x, block_y), []
+                held.append((key, n, block, flat[cuts[k] : cuts[k + 1]]))
+        out += closed()
+        if out:
+            yield batch(_LINKS, list(zip(*out)))
+
+    return run
+
+
+def _candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """key -> part: the connected candidate set that a key belongs to, for keys that have a candidate partner."""
+    prefixes = sets.select("key", "n", F.slice("items", F.lit(1), F.col("q")).alias("prefix"))
+    grouped = prefixes.select("key", "n", "prefix", F.xxhash64("n", "prefix").alias("gid"))
+    heads = grouped.groupBy("gid").agg(F.min("key").alias("head"))
+    grouped = materialized(grouped.join(heads, "gid").select("key", "n", "head", F.when(F.col("key") == F.col("head"), F.col("prefix")).alias("prefix")), "jaccard-groups")
+    # Sizes of one class differ by less than the threshold's ratio; sizes two classes apart by more.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    entries = grouped.filter("key = head").select("head", "n", size_class.alias("class"), F.explode("prefix").alias("h"))
+    classes = materialized(
+        entries.groupBy("h", "class").agg(
+            F.min("head").alias("pivot"), F.count(F.lit(1)).alias("many"),
+            F.min(F.struct("n", "head")).alias("least"), F.max(F.struct("n", "head")).alias("most"),
+        ),
+        "jaccard-classes",
+    )
+    pivots = classes.filter("many > 1").select("h", "class", "pivot")
+    starred = entries.join(pivots, ["h", "class"]).select(F.col("pivot").alias("u"), F.col("head").alias("v"))
+    lower = classes.select("h", F.col("most").alias("low"), (F.col("class") + 1).alias("class"))
+    upper = classes.select("h", F.col("least").alias("high"), "class")
+    crossing = lower.join(upper, ["h", "class"]).filter(100 * F.col("low.n") >= percent * F.col("high.n"))
+    crossing = crossing.select(F.col("low.head").alias("u"), F.col("high.head").alias("v"))
+    inside = grouped.filter("key != head").select(F.col("head").alias("u"), F.col("key").alias("v"))
+    return components(starred.unionByName(crossing).unionByName(inside)).select(F.col("node").alias("key"), F.col("component").alias("part"))
+
+
+def _links(sets: DataFrame, percent: int, block_keys: int = 2048, block_items: int = 2_000_000) -> DataFrame:
+    parts = materialized(_candidates(sets, percent), "jaccard-parts")
+    members = sets.select("key", "n", "items").join(parts, "key")
+    sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.size("items")).alias("total"))
+    blocks = F.ceil(F.greatest(F.col("keys") / block_keys, F.col("total") / block_items)).cast("int")
+    blocked = members.join(sizes.select("part", blocks.alias("blocks")), "part")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks")).cast("int"))
+    # A key visits each pair of blocks that its own block is part of.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    visits = blocked.select("part", "key", "n", "items", "block", other.alias("other")).select(
+        "part", F.least("block", "other").alias("block_x"), F.greatest("block", "other").alias("block_y"), "block", "key", "n", "items"
     )
+    pair = ["part", "block_x", "block_y"]
+    dealt = visits.repartition(shuffle_partitions(sets.sparkSession), *pair).sortWithinPartitions(*pair)
+    return dealt.mapInArrow(_verified(percent), "u long, v long")
 
 
 def jaccard_links(docs: DataFrame, percent: int = 75, n: int = N) -> tuple[DataFrame, DataFrame]:
@@ -271,106 +353,6 @@ def jaccard_links(docs: DataFrame, percent: int = 75, n: int = N) -> tuple[DataF
     return members, links
 
 
-def _lists(member_of: DataFrame, percent: int) -> DataFrame:
-    """h, class, head, n: posting lists of prefix shingles over groups; of lists with the same members, one.
-
-    class: sizes whose ratio is below the threshold are at most one class apart.
-    """
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    entries = member_of.filter("key = head").select("head", "n", size_class.alias("class"), F.explode("prefix").alias("h"))
-    sums = [F.sum(F.xxhash64("head", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
-    signed = entries.groupBy("h").agg(F.count(F.lit(1)).alias("many"), *sums).filter("many > 1")
-    chosen = signed.groupBy("many", "s1", "s2").agg(F.min("h").alias("h")).select("h")
-    return entries.join(chosen, "h", "left_semi")
-
-
-def _links(sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    slack = 1 - percent / 100 + 1e-9
-    prefixes = sets.select("key", "n", F.slice("items", F.lit(1), F.col("q")).alias("prefix"))
-    grouped = prefixes.select("key", "n", "prefix", F.xxhash64("n", "prefix").alias("gid"))
-    heads = grouped.groupBy("gid").agg(F.min("key").alias("head"))
-    of_group = grouped.join(heads, "gid").select("key", "n", "head", F.when(F.col("key") == F.col("head"), F.col("prefix")).alias("prefix"))
-    member_of = materialized(of_group, "jaccard-groups")
-    entries = materialized(_lists(member_of, percent), "jaccard-entries")
-
-    # Pairs of a list's groups with its pivot group, and of a group's members with its head, are verified first.
-    pivots = entries.groupBy("h", "class").agg(F.min("head").alias("pivot"))
-    starred = entries.join(pivots, ["h", "class"]).filter("head != pivot").select(F.col("pivot").alias("a"), F.col("head").alias("b"))
-    inside = member_of.filter("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    first = materialized(_verified(starred.unionByName(inside).distinct(), sets, percent), "jaccard-first")
-
-    # The lists by members, each with the bounds of its distance from the list's pivot.
-    to_head = first.select(F.col("a").alias("head"), F.col("b").alias("key"), F.col("distance").alias("off"))
-    to_pivot = first.select(F.col("a").alias("pivot"), F.col("b").alias("head"), F.col("distance").alias("far"))
-    members = member_of.select("key", "n", "head").join(to_head, ["head", "key"], "left").na.fill(0.0, ["off"])
-    far = F.when(F.col("head") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far"))
-    lists = (
-        entries.select("h", "class", "head")
-        .join(pivots, ["h", "class"])
-        .join(to_pivot, ["pivot", "head"], "left")
-        .select("h", "class", "head", far.alias("far"))
-        .join(members, "head")
-        .select(
-            "h", "class", "key", "n",
-            F.greatest(F.col("far") - F.col("off"), F.col("off") - F.col("far"), F.lit(0.0)).alias("lo"),
-            (F.col("far") + F.col("off")).alias("hi"),
-        )
-    )
-    lists, done = materialized(lists, "jaccard-lists"), first.select("a", "b", "linked")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        """Lists that still hold more than one class, with the class of each member."""
-        edges = done.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = components(edges).withColumnRenamed("node", "key")
-        named = rows.drop("comp").join(labels, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-        mixed = named.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("h")
-        return materialized(named.join(mixed, "h", "left_semi"), "jaccard-mixed")
-
-    def compatible(x: str, y: str, least: str = "n", most: str = "n"):
-        """Sizes and distances from a common pivot that don't rule a link out."""
-        c = lambda side, name: F.col(f"{side}{name}")
-        sizes = (100 * c(x, most) >= percent * c(y, least)) & (100 * c(y, most) >= percent * c(x, least))
-        near = (c(x, "lo") - c(y, "hi") <= slack) & (c(y, "lo") - c(x, "hi") <= slack)
-        return sizes & ((c(x, "class") != c(y, "class")) | near)
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return pairs.join(known, ["a", "b"], "left_anti")
-
-    # A few other pivots for each list: whoever is near its classes is connected soon.
-    mixed = labelled(lists)
-    for r in range(rounds):
-        draw = F.xxhash64("key", F.pmod("h", F.lit(4)), F.lit(r))
-        center = mixed.groupBy("h").agg(F.min_by(F.struct("key", "n", "class", "comp", "lo", "hi"), draw).alias("p"))
-        both = mixed.join(center.select("h", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "class", "comp", "lo", "hi")]), "h")
-        both = both.select(*[F.col(c).alias(f"m_{c}") for c in ("key", "n", "class", "comp", "lo", "hi")], *[c for c in both.columns if c[:2] == "p_"])
-        pairs = both.filter((F.col("m_comp") != F.col("p_comp")) & compatible("m_", "p_")).select(F.col("p_key").alias("a"), F.col("m_key").alias("b"))
-        found = materialized(_verified(fresh(pairs), sets, percent), "jaccard-round").select("a", "b", "linked")
-        done = done.unionByName(found)
-        if found.filter("linked").isEmpty():
-            break
-        mixed = labelled(mixed)
-
-    # All pairs of a list that are still apart and not ruled out; classes are compared before their members.
-    classes = mixed.groupBy("h", "class", "comp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    names = ("class", "comp", "least", "most", "lo", "hi")
-    x = classes.select("h", *[F.col(c).alias(f"x_{c}") for c in names])
-    y = classes.select("h", *[F.col(c).alias(f"y_{c}") for c in names])
-    ambiguous = (
-        x.join(y, (x["h"] == y["h"]) & (F.col("x_comp") < F.col("y_comp")) & compatible("x_", "y_", "least", "most"))
-        .select(x["h"], "x_class", "x_comp", "y_class", "y_comp")
-    )
-    names = ("class", "comp", "key", "n", "lo", "hi")
-    left = mixed.select("h", *[F.col(c).alias(f"x_{c}") for c in names])
-    right = mixed.select("h", *[F.col(c).alias(f"y_{c}") for c in names])
-    rest = ambiguous.join(left, ["h", "x_class", "x_comp"]).join(right, ["h", "y_class", "y_comp"]).filter(compatible("x_", "y_"))
-    last = _verified(fresh(rest.select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))), sets, percent)
-    return done.unionByName(last.select("a", "b", "linked")).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
 def near_duplicate_classes(docs: DataFrame, percent: int = 75, n: int = N) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for each row.
 
