@@ -145,7 +145,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "bucket", "copy", "key", "text", "doc_id", n.cast("long").alias("n_chars"),
         F.when(~F.col("copy"), edited).alias("edited"),
     )
-    prints = fingerprints(fingerprints(both, "text", "fingerprint"), "edited", "edited_fingerprint")
+    # Column by column, so that the second window sees the ranges of the first and nothing is dealt again.
+    prints = both
+    for text, into in (("text", "fingerprint"), ("edited", "edited_fingerprint")):
+        prints = prints.withColumn("_h", word_hashes(F.col(text)))
+        prints = prints.withColumn("_g", small_hashes(F.col("_h")))
+        prints = prints.withColumn(into, anchor_hashes(F.col("_h"), F.col("_g"))).drop("_h", "_g")
     order = Window.partitionBy("bucket").orderBy("copy", "key", "text")
     last = prints.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).filter(~F.col("copy"))
     return last.select(
