@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 _WORD = re.compile(r"[^\W\d_]+")
 _BLOCK = 64
+_hash = xxhash.xxh3_64_intdigest
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,14 +39,11 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed features: the word (lexicon), prefixes and suffixes of 1 to 3 characters, bi- and trigrams."""
+    """Hashed features: the word (lexicon), prefixes and suffixes of 1 to 3 characters, trigrams with the edges."""
     framed = f"<{word}>"
-    names = ["w" + word]
-    for n in (1, 2, 3):
-        names += ["p" + word[:n], "s" + word[-n:]]
-    for n in (2, 3):
-        names += [f"g{framed[i : i + n]}" for i in range(len(framed) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(x) % BUCKETS for x in names]
+    names = ["w" + word, *["p" + word[:n] for n in (1, 2, 3)], *["s" + word[-n:] for n in (1, 2, 3)]]
+    names += [framed[i : i + 3] for i in range(len(framed) - 2)]
+    return [_hash(x) % BUCKETS for x in names]
 
 
 @dataclass
@@ -56,10 +55,6 @@ class Model:
     transitions: np.ndarray
     start: np.ndarray
 
-    def emission(self, word: str) -> np.ndarray:
-        f = features(word)
-        return self.weights[f].sum(0) / np.sqrt(len(f))
-
 
 def _blocks(emissions: np.ndarray, lengths: np.ndarray, size: int):
     """Emissions (words x L, texts in a row) as blocks (block x size x L), the texts' block counts and a mask."""
@@ -204,23 +199,28 @@ def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 3) ->
 class _Emissions(dict):
     """Word -> its row in `table`, the words' scores; bounded: it starts anew when full."""
 
-    def __init__(self, model: Model, entries: int = 300_000):
+    def __init__(self, model: Model, entries: int = 400_000):
         self.model, self.entries = model, entries
-        self.table = np.zeros((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.model.emission(word)
-        self[word] = at
-        return at
+        self.table = np.zeros((entries, len(model.languages)))
+
+    def _add(self, words: list[str]) -> None:
+        listed = [features(w) for w in words]
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        flat = np.fromiter(chain.from_iterable(listed), np.int64, int(sizes.sum()))
+        scores = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes) / np.sqrt(sizes)[:, None]
+        start = len(self)
+        if start + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((len(words), self.table.shape[1]))])
+        self.table[start : start + len(words)] = scores
+        self.update(zip(words, range(start, start + len(words))))
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self) > self.entries:
             self.clear()
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.table[numbers]
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if new:
+            self._add(new)
+        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
 _KNOWN: dict[str, _Emissions] = {}
@@ -241,7 +241,7 @@ def label_texts(model: Model, known: _Emissions, texts: list[str | None]) -> Ite
         words = [words_of(t) for t in texts[a:b]]
         lengths = np.array([len(w) for w in words], np.int64)
         p = np.zeros((0, len(model.languages)))
-        if lengths.sum():
+        if lengths.sum() and model.languages:
             p = marginals(known.of([w for text in words for w in text]), lengths, model.transitions, model.start)[0]
         ends = np.cumsum(lengths)
         for w, end in zip(words, ends):
