@@ -117,10 +117,11 @@ def mix(
     sizes = rows.groupBy("source").agg(F.sum(size).alias("size"))
     lines = _lines(sizes, weights, max_share, max_sources)
     shares = whole_shares([w for _, _, w in lines], frame) if lines else []
-    slot_bytes = min((Fraction(b, n) for (_, b, _), n in zip(lines, shares)), default=Fraction(1))
-    frames = max(1, round(slot_bytes / block_bytes))
+    # Bytes a unit of weight, of the scarcest line: it is used up once, as are all that are as scarce.
+    unit = min((Fraction(b) / w for _, b, w in lines), default=Fraction(1))
+    frames = max(1, round(unit * sum(w for _, _, w in lines) / frame / block_bytes))
     # Blocks of a line: n in each frame of the mix, and as many more of the same size as are held back.
-    plan = [(name, n, n * frames, max(n * frames, round(b / slot_bytes * frames))) for (name, b, _), n in zip(lines, shares)]
+    plan = [(name, n, n * frames, round(n * frames * (Fraction(b) / w / unit))) for (name, b, w), n in zip(lines, shares)]
     schema = "array<struct<line:string,n:bigint,in_mix:bigint,blocks:bigint>>"
     spark = docs.sparkSession
     cells = [F.struct(*[F.lit(v) for v in row]) for row in plan]
