@@ -1,12 +1,13 @@
 """N-gram Jaccard join: grouped prefix join on word shingles, exact.
 
 Documents are sets of 64-bit hashes of 5-word shingles; a pair links at Jaccard >= threshold. Shingles are
-ordered by the number of different sets they occur in, rarest first (ties by hash). A set of n shingles
+ordered by the number of sets (slice by slice) they occur in, rarest first (ties by hash). A set of n shingles
 that links with any other shares a shingle with it within the first n - ceil(threshold * n) + 1, and a
 shingle of only one set is shared with none, so a set whose rare shingles fill that prefix has no partner.
 
-1. Equal sets collapse into one key. Postings (shingle, key) meet by shingle, which gives frequencies.
-2. Only shingles of two or more sets go back to their key. Keys with enough of them survive, with a prefix.
+1. Equal sets of a slice of texts collapse into one. Postings (shingle, set) meet by shingle, which gives
+   frequencies. Only shingles met more than once go back to their slice.
+2. Sets with enough of those survive, with a prefix; equal sets of all slices collapse into one key.
 3. Keys with equal prefix and size are one group. Groups that share a prefix shingle and whose sizes allow
    a link are candidate pairs; they are not listed but connected: groups of one shingle and size class (all
    sizes in it are compatible) through one of them, neighbouring classes where their nearest sizes are.
@@ -14,7 +15,7 @@ shingle of only one set is shared with none, so a set whose rare shingles fill t
    of bounded size, two at a time. There every pair of members is verified by counting shared shingles,
    unless both are connected already. The links found connect the classes.
 
-Postings are packed into byte rows, one for each batch and hash range, so that 64-bit random numbers cross
+Postings are packed into byte rows, one for each slice and hash range, so that 64-bit random numbers cross
 the shuffle without row overhead. Keys are 64-bit digests of the whole set.
 """
 
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,9 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64())])
-_PACKED = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("kind", pa.int32()), ("rows", pa.binary())])
+_PACKED_DDL = "bucket long, slice long, kind int, rows binary"
+_POSTINGS, _TABLE = 0, 1
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _SURVIVORS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("q", pa.int32()), ("items", pa.list_(pa.int64()))])
 
@@ -107,16 +111,22 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 def _ranges(values: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of sorted unsigned 64-bit values, by their top bits."""
-    if not bits:
-        if len(values):
-            yield 0, 0, len(values)
-        return
-    top = (values >> np.uint64(64 - bits)).astype(np.int64)
+    top = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
     starts = np.flatnonzero(np.diff(top, prepend=-1))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(values)]):
         yield int(top[a]), a, b
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def _packets(found: list[tuple]) -> pa.RecordBatch:
+    return batch(_PACKED, list(zip(*found)))
+
+
 def _members(n: int):
     def run(batches):
         for rows in batches:
@@ -130,9 +140,10 @@ def _members(n: int):
 
 
 def _postings(n: int, bits: int):
-    """bucket by shingle; rows: shingle, number of the key in the row's own table, then the table of keys and sizes."""
+    """Packets of a slice of texts: a table of its sets (key, size), and postings (shingle, set number) by shingle range."""
 
     def run(batches):
+        slice_id = TaskContext.get().partitionId() << 32
         for rows in batches:
             texts = rows.column("text").to_pylist()
             for a, b in slices(texts, 8 << 20):
@@ -142,99 +153,88 @@ def _postings(n: int, bits: int):
                         sets.setdefault(set_key(items), items)
                 if not sets:
                     continue
-                keys = np.array(list(sets), np.uint64)
                 sizes = np.array([len(s) for s in sets.values()], np.uint32)
                 h = np.concatenate(list(sets.values()))
-                of = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
+                of = np.repeat(np.arange(len(sizes), dtype="<u2" if len(sizes) < 1 << 16 else "<u4"), sizes)
                 order = np.argsort(h, kind="stable")
                 h, of = h[order], of[order]
-                out = []
+                out = [(slice_id & ((1 << bits) - 1), slice_id, _TABLE, _pack([np.array(list(sets), np.uint64), sizes]))]
                 for bucket, lo, hi in _ranges(h, bits):
-                    here, local = np.unique(of[lo:hi], return_inverse=True)
-                    local = local.astype("<u2" if len(here) < 1 << 16 else "<u4")
-                    one = _pack([h[lo:hi], local])
-                    out.append((bucket, np.uint32(len(one)).tobytes() + one + _pack([keys[here], sizes[here]])))
+                    steps = np.diff(h[lo:hi], prepend=np.uint64(0))
+                    out.append((bucket, slice_id, _POSTINGS, _pack([steps, of[lo:hi]])))
                     if len(out) >= 256:
-                        yield batch(_PACKED, list(zip(*out)))
+                        yield _packets(out)
                         out = []
                 if out:
-                    yield batch(_PACKED, list(zip(*out)))
+                    yield _packets(out)
+                slice_id += 1
 
     return run
 
 
-def _by_bucket(batches) -> Iterator[list[bytes]]:
-    """The packed rows of one bucket after the other; a task gets them sorted by bucket."""
+def _by_group(batches, name: str) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(slice, kind, rows) packets of one group after the other; a task gets them sorted by it."""
     last, held = None, []
     for rows in batches:
-        for bucket, data in zip(rows.column("bucket").to_pylist(), rows.column("rows")):
-            if bucket != last and held:
+        columns = (rows.column(c).to_pylist() for c in (name, "slice", "kind"))
+        for group, slice_id, kind, data in zip(*columns, rows.column("rows")):
+            if group != last and held:
                 yield held
                 held = []
-            last = bucket
-            held.append(data.as_py())
+            last = group
+            held.append((slice_id, kind, data.as_py()))
     if held:
         yield held
 
 
-def _shared(bits: int):
-    """Postings of a shingle range -> those of shingles in two or more sets, with the number of sets, by key range."""
-
-    def run(batches):
-        for held in _by_bucket(batches):
-            parts = []
-            for data in held:
-                size = int(np.frombuffer(data, "<u4", 1)[0])
-                h, local = _unpack(data[4 : 4 + size])
-                keys, sizes = _unpack(data[4 + size :])
-                parts.append((h, keys[local], sizes[local]))
-            h, key, n = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((key, h))
-            h, key, n = h[order], key[order], n[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-            h, key, n = h[new], key[new], n[new]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            df = np.diff(np.append(starts, len(h)))
-            many = np.repeat(df, df)
-            keep = many > 1
-            h, key, n, many = h[keep], key[keep], n[keep], many[keep].astype("<u4")
-            order = np.argsort(key, kind="stable")
-            h, key, n, many = h[order], key[order], n[order], many[order]
-            out = []
-            for bucket, lo, hi in _ranges(key, bits):
-                out.append((bucket, _pack([key[lo:hi], n[lo:hi], h[lo:hi], many[lo:hi]])))
-                if len(out) >= 256:
-                    yield batch(_PACKED, list(zip(*out)))
-                    out = []
-            if out:
-                yield batch(_PACKED, list(zip(*out)))
-
-    return run
+def _shared(batches):
+    """Postings of a shingle range -> those of shingles met more than once, with how often, back to their slices."""
+    for held in _by_group(batches, "bucket"):
+        out = [(0, slice_id, kind, data) for slice_id, kind, data in held if kind == _TABLE]
+        sources = [(slice_id, *_unpack(data)) for slice_id, kind, data in held if kind == _POSTINGS]
+        if sources:
+            h = np.concatenate([np.cumsum(steps, dtype=np.uint64) for _, steps, _ in sources])
+            of = np.concatenate([x.astype(np.uint32) for _, _, x in sources])
+            source = np.repeat(np.arange(len(sources), dtype=np.uint32), [len(x) for _, _, x in sources])
+            order = np.argsort(h, kind="stable")
+            _, lengths = _runs(h[order])
+            df = np.repeat(lengths, lengths)
+            keep = order[df > 1]
+            many = np.zeros(len(h), "<u4")
+            many[order] = df
+            keep.sort()  # back to the order of sources, and of shingles in each
+            starts, lengths = _runs(source[keep])
+            for a, size in zip(starts.tolist(), lengths.tolist()):
+                rows = keep[a : a + size]
+                out.append((0, sources[source[rows[0]]][0], _POSTINGS, _pack([np.diff(h[rows], prepend=np.uint64(0)), of[rows], many[rows]])))
+        for a in range(0, len(out), 256):
+            yield _packets(out[a : a + 256])
 
 
 def _survivors(percent: int):
-    """Per key: its shared shingles, rarest first, if there are enough of them for a partner; q of them are its prefix."""
+    """Per set: its shared shingles, rarest first, if there are enough of them for a partner; q of them are its prefix."""
 
     def run(batches):
-        for held in _by_bucket(batches):
-            key, n, h, df = (np.concatenate(x) for x in zip(*map(_unpack, held)))
-            order = np.lexsort((h, df, key))
-            key, n, h = key[order], n[order].astype(np.int64), h[order].view(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-            ends = np.append(starts[1:], len(key)).astype(int)
-            m, size = ends - starts, n[starts]
+        for held in _by_group(batches, "slice"):
+            keys, sizes = _unpack(next(data for _, kind, data in held if kind == _TABLE))
+            packs = [_unpack(data) for _, kind, data in held if kind == _POSTINGS]
+            if not packs:
+                continue
+            h = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, _, _ in packs])
+            of, df = (np.concatenate([p[k] for p in packs]) for k in (1, 2))
+            order = np.lexsort((h, df, of))
+            of, h = of[order], h[order].view(np.int64)
+            starts, m = _runs(of)
+            size = sizes[of[starts]].astype(np.int64)
             need = -(-percent * size // 100)
             good = np.flatnonzero(m >= need)
             for k in range(0, len(good), 1024):
                 some = good[k : k + 1024]
-                items = [h[starts[i] : ends[i]] for i in some]
+                items = [h[starts[i] : starts[i] + m[i]] for i in some]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items)))
-                yield batch(
-                    _SURVIVORS,
-                    [key[starts[some]].view(np.int64), size[some].astype(np.int32), (m - need + 1)[some].astype(np.int32), lists],
-                )
+                key = keys[of[starts[some]]].view(np.int64)
+                yield batch(_SURVIVORS, [key, size[some].astype(np.int32), (m - need + 1)[some].astype(np.int32), lists])
 
     return run
 
@@ -344,11 +344,13 @@ def jaccard_links(docs: DataFrame, percent: int = 75, n: int = N) -> tuple[DataF
     parts = shuffle_partitions(spark)
     bits = max(parts - 1, size // (6 << 20)).bit_length()
     members = rows.mapInArrow(_members(n), "doc_id long, n_shingles long, key long")
-    packed = rows.select("text").mapInArrow(_postings(n, bits), "bucket int, rows binary")
+    packed = rows.select("text").mapInArrow(_postings(n, bits), _PACKED_DDL)
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(_shared(bits), "bucket int, rows binary")
-    again = shared.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    sets = materialized(again.mapInArrow(_survivors(percent), "key long, n int, q int, items array<bigint>"), "jaccard-sets")
+    shared = dealt.mapInArrow(_shared, _PACKED_DDL)
+    again = shared.repartition(parts, "slice").sortWithinPartitions("slice")
+    sets = again.mapInArrow(_survivors(percent), "key long, n int, q int, items array<bigint>")
+    # Equal sets of different slices are one.
+    sets = materialized(sets.dropDuplicates(["key"]), "jaccard-sets")
     links = materialized(_links(sets, percent), "jaccard-links")
     return members, links
 
