@@ -58,14 +58,10 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, number: int = 1) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}{f':{number}' if number > 1 else ''}>"
-
-
-def page_of(record: str | None) -> int | None:
-    """The page id in a record id."""
-    name = (record or "").strip("<>").removeprefix("urn:page:")
-    return int(name) if name and name != "null" else None
+def record_id(page_id: int | None, payload_digest: str, number: int = 1) -> str:
+    """Equal for rows of equal id and payload only."""
+    name = "null" if page_id is None else page_id
+    return f"<urn:page:{name}:{payload_digest}{f':{number}' if number > 1 else ''}>"
 
 
 def chunked(body: bytes, size: int = 8192) -> bytes:
@@ -113,8 +109,8 @@ def records_of(page_id, uri, payload: bytes, payload_digest, refers_to, segment_
     uri = (uri or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
     named = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{payload_digest}")]
     if refers_to is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id)), *named]
-        yield _record([*fields, ("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", REVISIT_PROFILE)], b"")
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id, payload_digest)), *named]
+        yield _record([*fields, ("WARC-Refers-To", record_id(refers_to, payload_digest)), ("WARC-Profile", REVISIT_PROFILE)], b"")
         return
     block = http_block(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -122,11 +118,11 @@ def records_of(page_id, uri, payload: bytes, payload_digest, refers_to, segment_
     for k, part in enumerate(parts, 1):
         yield _record(
             [
-                ("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, k)), *named,
+                ("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, payload_digest, k)), *named,
                 ("Content-Type", "application/http; msgtype=response"),
                 ("WARC-Block-Digest", f"sha1:{digest(block)}" if k == 1 else None),
                 ("WARC-Segment-Number", None if whole else k),
-                ("WARC-Segment-Origin-ID", record_id(page_id) if k > 1 else None),
+                ("WARC-Segment-Origin-ID", record_id(page_id, payload_digest) if k > 1 else None),
                 ("WARC-Segment-Total-Length", len(block) if k > 1 and k == len(parts) else None),
             ],
             part,
@@ -252,13 +248,19 @@ def joined_segments(segments: list[tuple]) -> tuple:
     return first[2], first[3], payload, first[4], first[5]
 
 
+def copies_of(segments: list[tuple]) -> list[list[tuple]]:
+    """Segments of one origin, sorted by number: a record written more than once gets one of each number per copy."""
+    copies = sum(s[0] <= 1 for s in segments) or 1
+    return [segments[c::copies] for c in range(copies)]
+
+
 def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("origin", "number", "total", "uri", "type", "payload_digest", "refers_to", "block_digest", "block")
     last, held, found, size = None, [], [], 0
     for rows in batches:
         for origin, *segment in zip(*(rows.column(c).to_pylist() for c in names)):
-            if held and (origin != last or segment[0] <= 1):
-                found.append((last, *joined_segments(held)))
+            if held and (origin != last or segment[0] == 0):
+                found += [(last, *joined_segments(one)) for one in copies_of(held)]
                 size += len(found[-1][3] or b"")
                 held = []
             if size >= 8 << 20:
@@ -267,7 +269,7 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = origin
             held.append(tuple(segment))
     if held:
-        found.append((last, *joined_segments(held)))
+        found += [(last, *joined_segments(one)) for one in copies_of(held)]
     if found:
         yield batch(_RECORDS, list(zip(*found)))
 
@@ -289,9 +291,9 @@ def roundtrip(pages: DataFrame, segment_bytes: int = 32 << 10) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, as the archives give them back."""
     records = read_warc(write_warc(pages, scratch(pages.sparkSession, "warc"), segment_bytes))
     read = records.select(
-        F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)").alias("page_id"),
+        F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+):', 1) as bigint)").alias("page_id"),
         F.octet_length("payload").cast("long").alias("bytes"), "payload_digest", "record_type",
-        F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)").alias("refers_to"),
+        F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+):', 1) as bigint)").alias("refers_to"),
     )
     # A revisit has no body; its length is that of the response with the same digest.
     sizes = read.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("bytes").alias("payload_bytes"))
