@@ -1,7 +1,7 @@
 """Substring deduplication by line, paragraph or sentence hashing.
 
 Each text is cut into units; a unit's normal form (lower case, single spaces) is digested. Of all units with
-one digest, the earliest by (doc_id, place in the text) stays, the others are removed.
+one digest, the earliest by (doc_id, place in the text) stays; repeats are removed, as passages of a stated least size.
 
 Documents are dealt into buckets. A bucket names each digest once, with its earliest place there, so that a
 line in a third of all documents is as many rows as there are buckets, not documents. The digest's owner is
@@ -42,11 +42,8 @@ def units(text: str, unit: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
-def digest(piece: str, min_words: int) -> tuple[int, int] | None:
-    """Digest of a unit's normal form; none for a unit of fewer than min_words words, which is too short to judge."""
-    words = piece.lower().split()
-    if len(words) < min_words:
-        return None
+def digest(words: list[str]) -> tuple[int, int]:
+    """Digest of a unit's normal form."""
     whole = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
     low, high = whole & ((1 << 64) - 1), whole >> 64
     return low - (1 << 64) if low >> 63 else low, high - (1 << 64) if high >> 63 else high
@@ -59,7 +56,7 @@ def _in_order(table: pa.Table) -> tuple[list[int], pa.Table]:
     return [ranks[k] for k in order], table.take(pa.array(order, pa.int64()))
 
 
-def _firsts(unit: str, min_words: int):
+def _firsts(unit: str):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         ranks, table = _in_order(table)
@@ -67,9 +64,8 @@ def _firsts(unit: str, min_words: int):
         for rank, text in zip(ranks, table.column("text")):
             text = text.as_py() or ""
             for a, b in units(text, unit):
-                d = digest(text[a:b], min_words)
-                if d is not None:
-                    seen.setdefault(d, rank)
+                if words := text[a:b].lower().split():
+                    seen.setdefault(digest(words), rank)
         h = np.array(list(seen), np.int64).reshape(-1, 2)
         return pa.table(
             [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(h), bucket, np.int32)), pa.array(list(seen.values()), pa.int64())],
@@ -79,32 +75,22 @@ def _firsts(unit: str, min_words: int):
     return run
 
 
-def removed_units(text: str, unit: str, min_words: int, foreign: set, seen: set) -> list[bool]:
-    """Which units go: digests owned elsewhere or seen before; a short unit goes if both its neighbours do."""
-    spans = units(text, unit)
-    gone: list[bool | None] = []
-    for a, b in spans:
-        d = digest(text[a:b], min_words)
-        if d is None:
-            gone.append(None)
-        elif d in foreign or d in seen:
-            gone.append(True)
-        else:
-            seen.add(d)
-            gone.append(False)
-    out = [bool(g) for g in gone]
-    k = 0
-    while k < len(gone):
-        if gone[k] is None:
-            end = k
-            while end < len(gone) and gone[end] is None:
-                end += 1
-            if 0 < k and end < len(gone) and gone[k - 1] and gone[end]:
-                out[k:end] = [True] * (end - k)
-            k = end
-        else:
-            k += 1
-    return out
+def removed_units(text: str, spans: list[tuple[int, int]], min_words: int, foreign: set, seen: set) -> list[bool]:
+    """Which units go: runs of repeats (owned elsewhere or seen before) that hold min_words words or more together."""
+    gone, start, held = [False] * len(spans), 0, 0
+    for k, (a, b) in enumerate(spans):
+        words = text[a:b].lower().split()
+        d = digest(words) if words else None
+        if d is None or d in foreign or d in seen:
+            held += len(words)  # white space alone goes with its neighbours
+            continue
+        seen.add(d)
+        if held >= min_words:
+            gone[start:k] = [True] * (k - start)
+        start, held = k + 1, 0
+    if held >= min_words:
+        gone[start:] = [True] * (len(spans) - start)
+    return gone
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -128,7 +114,7 @@ def _cut(unit: str, min_words: int, schema: pa.Schema):
         for text in docs.column("text"):
             text = text.as_py()
             spans = units(text or "", unit)
-            gone = removed_units(text or "", unit, min_words, foreign, seen)
+            gone = removed_units(text or "", spans, min_words, foreign, seen)
             stays = [s for s, g in zip(spans, gone) if not g]
             whole = len(stays) == len(spans)
             texts.append(text if whole else "".join(text[a:b] for a, b in stays))
@@ -143,13 +129,14 @@ def _cut(unit: str, min_words: int, schema: pa.Schema):
     return run
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 20) -> DataFrame:
     """Every row with `text` cut, and n_units, n_removed, kept_spans and removed_spans (offsets in the original).
 
-    Of units with one normal form the earliest by doc_id (null last; rows of one id in no stated order), then
-    by place, stays, in its own text too. Units below min_words words are too short to be a repeat: they stay,
-    but between two removed ones they go. Null text stays null and empty stays empty, with no units. The other
-    columns come back unchanged, except ones named like the four that are added, which are replaced.
+    Of units with one normal form the earliest by doc_id (null last; rows of one id in no stated order), then by
+    place, stays, in its own text too; the others go where they are part of a passage: units in a row, all
+    repeats, of min_words words or more together. A single short repeat, such as a greeting or a heading, says
+    nothing and stays; min_words=1 removes it as well. Null text stays null and empty stays empty, with no
+    units. The other columns come back unchanged, except ones named like the four added, which are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -163,7 +150,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
     )
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(buckets)).cast("int"))
     firsts = rows.select("bucket", "doc_id", "row_id", "text").groupBy("bucket").applyInArrow(
-        _firsts(unit, min_words), "h1 long, h2 long, bucket int, rank long"
+        _firsts(unit), "h1 long, h2 long, bucket int, rank long"
     )
     # At most one row a bucket for each digest.
     of_digest = Window.partitionBy("h1", "h2")
