@@ -1,4 +1,4 @@
-"""Substring deduplication by line, paragraph or sentence hashing.
+"""Substring deduplication by hashing lines, paragraphs, sentences or clauses.
 
 Each text is cut into units; a unit's normal form (lower case, single spaces) is digested. Of all units with
 one digest, the earliest by (doc_id, place in the text) stays; repeats are removed, as passages of a stated least size.
@@ -26,6 +26,7 @@ BOUNDARIES = {
     "line": re.compile(r"\s*\n\s*"),
     "paragraph": re.compile(r"\s*\n[^\S\n]*\n\s*"),
     "sentence": re.compile(r"(?<=[.!?])\s+|\s*\n\s*"),
+    "clause": re.compile(r"(?<=[.!?,;:])\s+|\s*\n\s*"),
 }
 _LAST = (1 << 63) - 1
 
@@ -129,13 +130,14 @@ def _cut(unit: str, min_words: int, schema: pa.Schema):
     return run
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 20) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "clause", min_words: int = 15) -> DataFrame:
     """Every row with `text` cut, and n_units, n_removed, kept_spans and removed_spans (offsets in the original).
 
     Of units with one normal form the earliest by doc_id (null last; rows of one id in no stated order), then by
     place, stays, in its own text too; the others go where they are part of a passage: units in a row, all
     repeats, of min_words words or more together. A single short repeat, such as a greeting or a heading, says
-    nothing and stays; min_words=1 removes it as well. Null text stays null and empty stays empty, with no
+    nothing and stays; min_words=1 removes it as well. The smaller the unit, the less of a passage that starts and
+    ends inside units escapes. Null text stays null and empty stays empty, with no
     units. The other columns come back unchanged, except ones named like the four added, which are replaced.
     """
     spark = docs.sparkSession
