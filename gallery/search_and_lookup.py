@@ -300,6 +300,17 @@ def catalog_facets(v):
     return c.catalog_facets(v.catalog, [1, 2], [3, 4, 5])
 
 
+@query(
+    "catalog_facets_without_match",
+    """SELECT 'brand_total' AS facet, CAST(NULL AS INTEGER) AS value_id, count(*) AS items FROM v_catalog WHERE type_id = -1
+       UNION ALL SELECT 'type', type_id, count(*) FROM v_catalog WHERE brand_id IN (3) GROUP BY ALL
+       UNION ALL SELECT 'type_total', NULL, count(*) FROM v_catalog WHERE brand_id IN (3)""",
+    "v_catalog",
+)
+def catalog_facets_without_match(v):
+    return c.catalog_facets(v.catalog, [-1], [3])
+
+
 @query(
     "semantic_top_k",
     """SELECT vec_id, label, round(distance, 6) AS distance, total_items FROM (SELECT vec_id, label,

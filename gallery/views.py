@@ -187,7 +187,7 @@ class Views:
             F.when(kind == 9, ".5").otherwise(""),
             F.lit(',"occurred_at":'), q(stamp), F.lit(',"recorded_at":'), q(stamp),
             F.lit(',"balance_version_after":'), (n + 1).cast("string"),
-            F.lit(',"reason":null,"future_field":1}'),
+            F.lit(',"reason":null,"shelf_hint":1}'),
         )
         on_hand = F.when(kind == 14, F.lit(2)).otherwise(20 + n % 80)
         reserved = F.when(kind == 14, F.lit(9)).otherwise(n % 15)
@@ -215,6 +215,10 @@ class Views:
             F.when(kind == 0, F.lit(None).cast("string"))
             .when(kind == 1, "not-json")
             .when(kind == 4, F.concat(F.lit('{"schema":{},"payload":'), envelope, F.lit("}")))
+            .when(kind == 21, F.concat(envelope, F.lit(" trailing")))
+            .when(kind == 22, F.concat(envelope, envelope))
+            .when(kind == 23, F.translate(envelope, '"', "'"))
+            .when(kind == 24, F.concat(envelope, F.lit("],["), envelope))
             .otherwise(envelope)
         )
         key = F.concat(F.lit('{"sku_id":'), sku.cast("string"), F.lit(',"location_code":'), q(place), F.lit("}"))
@@ -389,7 +393,9 @@ CTES = {
   FROM events""",
     "v_envelope": """
   SELECT *, CASE kind WHEN 0 THEN NULL WHEN 1 THEN 'not-json'
-              WHEN 4 THEN '{"schema":{},"payload":' || envelope || '}' ELSE envelope END AS value_text,
+              WHEN 4 THEN '{"schema":{},"payload":' || envelope || '}' WHEN 21 THEN envelope || ' trailing'
+              WHEN 22 THEN envelope || envelope WHEN 23 THEN replace(envelope, '"', '''')
+              WHEN 24 THEN envelope || '],[' || envelope ELSE envelope END AS value_text,
          '{"sku_id":' || sku || ',"location_code":"' || place || '"}' AS key_text
   FROM (SELECT *, '{"before":' || CASE WHEN kind IN (3, 15) THEN image ELSE 'null' END || ',"after":'
           || CASE WHEN kind IN (3, 15, 7) THEN 'null' ELSE image END || ',"source":{"table":"'
@@ -410,16 +416,16 @@ CTES = {
             || ',"movement_type":"' || CASE WHEN kind = 11 THEN 'Gift' ELSE mtype END || '","quantity":' || qty
             || CASE WHEN kind = 9 THEN '.5' ELSE '' END || ',"occurred_at":"' || stamp
             || '","recorded_at":"' || stamp || '","balance_version_after":' || (event_id + 1)
-            || ',"reason":null,"future_field":1}' END AS image FROM v_change_log))""",
+            || ',"reason":null,"shelf_hint":1}' END AS image FROM v_change_log))""",
     "v_decoded": """
   SELECT *, CASE WHEN kind = 0 THEN 'tombstone' WHEN kind = 3 THEN 'movement_delete'
               WHEN kind IN (12, 13) THEN 'balance' WHEN kind = 15 THEN 'balance_delete'
-              WHEN kind IN (1, 2, 5, 6, 7, 8, 9, 11, 14) THEN NULL ELSE 'movement' END AS event_kind,
-         CASE WHEN kind IN (1, 8, 9, 11) THEN 'MalformedJson' WHEN kind = 2 THEN 'UnexpectedMovementUpdate'
+              WHEN kind IN (1, 2, 5, 6, 7, 8, 9, 11, 14, 21, 22, 23, 24) THEN NULL ELSE 'movement' END AS event_kind,
+         CASE WHEN kind IN (1, 8, 9, 11, 21, 22, 23, 24) THEN 'MalformedJson' WHEN kind = 2 THEN 'UnexpectedMovementUpdate'
               WHEN kind = 5 THEN 'UnsupportedTable' WHEN kind = 6 THEN 'UnsupportedOperation'
               WHEN kind = 7 THEN 'MissingRow' WHEN kind = 14 THEN 'InvalidBalance' END AS decode_error,
          CASE WHEN kind = 0 THEN 'TOMBSTONE' WHEN kind IN (3, 15) THEN 'DELETE' WHEN kind = 12 THEN 'UPDATE'
-              WHEN kind = 13 THEN 'SNAPSHOT' WHEN kind IN (1, 2, 5, 6, 7, 8, 9, 11, 14) THEN NULL
+              WHEN kind = 13 THEN 'SNAPSHOT' WHEN kind IN (1, 2, 5, 6, 7, 8, 9, 11, 14, 21, 22, 23, 24) THEN NULL
               ELSE 'CREATE' END AS operation
   FROM v_change_log""",
     "v_silver": """

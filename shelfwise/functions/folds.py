@@ -38,6 +38,10 @@ def stddev_of(stat: Column) -> Column:
     return F.sqrt(F.greatest(stat["variance"], F.lit(0.0)))
 
 
+# Fixed value: weight of a new observation of the recent-rate average.
+NEW_WEIGHT = 0.35
+
+
 def recent_rate_step(previous: Column, rate: Column) -> Column:
     """One observation of the recent-rate average; a stored zero counts as 'no value yet'."""
-    return F.when(previous == 0.0, rate).otherwise(0.35 * rate + (1.0 - 0.35) * previous)
+    return F.when(previous == 0.0, rate).otherwise(NEW_WEIGHT * rate + (1.0 - NEW_WEIGHT) * previous)

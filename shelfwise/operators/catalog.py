@@ -66,21 +66,26 @@ def catalog_facets(items: DataFrame, type_ids: Sequence[int] | None = None,
             F.lit("type").alias("facet"), F.col("type_id").alias("value_id"),
             F.when(inside("brand_id", brand_ids), F.col("n")).alias("n"),
         ),
-        F.struct(
-            F.lit("brand_total").alias("facet"), F.lit(None).cast("int").alias("value_id"),
-            F.when(inside("type_id", type_ids), F.col("n")).alias("n"),
-        ),
-        F.struct(
-            F.lit("type_total").alias("facet"), F.lit(None).cast("int").alias("value_id"),
-            F.when(inside("brand_id", brand_ids), F.col("n")).alias("n"),
-        ),
     )
-    return (
+    facets = (
         cells.select(F.inline(facet_rows))
         .filter(F.col("n").isNotNull())
         .groupBy("facet", "value_id")
         .agg(F.sum("n").alias("items"))
     )
+    # Totals are one row each, 0 where nothing matches.
+    count = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    none = F.lit(None).cast(facets.schema["value_id"].dataType)
+    totals = cells.agg(
+        count(inside("type_id", type_ids)).alias("brand_total"), count(inside("brand_id", brand_ids)).alias("type_total")
+    ).select(
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(t).alias("facet"), none.alias("value_id"), F.col(t).alias("items")) for t in ("brand_total", "type_total")]
+            )
+        )
+    )
+    return facets.unionByName(totals)
 
 
 def semantic_top_k(items: DataFrame, query: Column, vector: str, id_column: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import let, normalize_location
+from ..functions import let, normalize_location, strict_json
 from ..model import BALANCE, BALANCE_TABLE, MOVEMENT, MOVEMENT_TABLE, MOVEMENT_TYPES, OPERATIONS
 from .quality import balance_invariants_hold
 
@@ -65,7 +65,7 @@ def _uuid(value: Column) -> Column:
 
 
 def _instant(value: Column) -> Column:
-    return F.when(value.rlike(_TIMESTAMP), value.try_cast("timestamp"))
+    return F.when(value.rlike(_TIMESTAMP), F.upper(value).try_cast("timestamp"))
 
 
 def _all(*conditions: Column) -> Column:
@@ -240,39 +240,37 @@ def _decode_balance(text: Column, op: Column) -> Column:
     return _decode_rows(text, op, _envelope(_BALANCE_ROW), _balance_row, _balance_valid, finish)
 
 
-def _unwrapped(text: Column) -> Column:
-    """The change itself: the `payload` member where there is one, else the whole text."""
-    return F.when(~text.contains('"payload"'), text).otherwise(
-        let(
-            F.from_json(text, "payload variant")["payload"],
-            lambda p: F.when(p.isNull(), text)
-            .when(F.is_variant_null(p), F.lit("null"))
-            .otherwise(p.cast("string")),
-        )
-    )
+def _member(doc: Column, path: str) -> Column:
+    return F.try_variant_get(doc, path, "variant")
 
 
 def _decode_text(text: Column) -> Column:
-    def routed(inner: Column) -> Column:
-        head = _parse(inner, "source struct<table:variant>, op variant, _corrupt_record string")
-        named = let(
-            head,
-            lambda h: F.struct(
-                F.when(
-                    h["_corrupt_record"].isNull() & F.ltrim(inner).startswith("{"), _text(h["source"]["table"])
-                ).alias("table"),
-                _text(h["op"]).alias("op"),
-            ),
+    """Routes one JSON text by its table; the change is the `payload` member where there is one."""
+
+    def change(doc: Column) -> Column:
+        payload = _member(doc, "$.payload")
+        bare = payload.isNull()
+        return F.struct(
+            F.when(bare, text).otherwise(payload.cast("string")).alias("text"),
+            F.when(bare, doc).otherwise(payload).alias("doc"),
         )
-        return let(
-            named,
-            lambda n: F.when(n["table"].isNull(), _result(decode_error=F.lit(MALFORMED)))
-            .when(n["table"] == MOVEMENT_TABLE, _decode_movement(inner, n["op"]))
-            .when(n["table"] == BALANCE_TABLE, _decode_balance(inner, n["op"]))
-            .otherwise(_result(decode_error=F.lit(UNSUPPORTED_TABLE))),
+
+    def named(inner: Column) -> Column:
+        return F.struct(
+            inner["text"].alias("text"),
+            _text(_member(inner["doc"], "$.source.table")).alias("table"),
+            _text(_member(inner["doc"], "$.op")).alias("op"),
+        )
+
+    def routed(n: Column) -> Column:
+        return (
+            F.when(n["table"].isNull(), _result(decode_error=F.lit(MALFORMED)))
+            .when(n["table"] == MOVEMENT_TABLE, _decode_movement(n["text"], n["op"]))
+            .when(n["table"] == BALANCE_TABLE, _decode_balance(n["text"], n["op"]))
+            .otherwise(_result(decode_error=F.lit(UNSUPPORTED_TABLE)))
         )
 
-    return let(_unwrapped(text), routed)
+    return let(strict_json(text), lambda doc: let(change(doc), lambda inner: let(named(inner), routed)))
 
 
 def decode_changes(log: DataFrame) -> DataFrame:

@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Limits and the note added when a risk is raised.
+from ..functions import strict_json
+
+# Limits, the note added when a risk is raised, and the texts of the outcomes.
 MAX_ORDER_QUANTITY = 5000
 ELEVATION_NOTE = (
     "SAFETY_FIREWALL: Risk level elevated from LOW to MEDIUM because stock is at/below safety "
     "stock or depleted"
 )
+INVALID_ACTION = "invalid action '{}'; must be REORDER, WAIT, or REVIEW"
+CONFIDENCE_OUT_OF_RANGE = "confidence {} out of [0.0, 1.0]"
+EMPTY_SUMMARY = "summary is empty"
+EMPTY_KEY_POINTS = "key_points array is empty"
+QUANTITY_WITHOUT_REORDER = "action is {} but proposed quantity was {}; clamped to 0"
+NEGATIVE_QUANTITY = "negative quantity {} clamped to 0"
+ABOVE_BUDGET = "quantity {} exceeded max order budget limit {}; clamped"
+ABOVE_CAPACITY = "quantity {} exceeded available capacity {} (max_stock {} - on_hand {}); clamped to capacity"
 # End of fixed values.
 
 
+def _message(template: str, *values: Column) -> Column:
+    """The template with its gaps filled; null if a value is."""
+    first, *others = template.split("{}")
+    parts = [F.lit(first)]
+    for value, text in zip(values, others):
+        parts += [value.cast("string"), F.lit(text)]
+    return F.concat(*parts)
+
+
 def normalized_action(action: Column) -> Column:
     raw = F.upper(F.trim(action))
     return (
@@ -33,34 +52,24 @@ def guard_decisions(df: DataFrame, max_quantity: int = MAX_ORDER_QUANTITY) -> Da
     given = F.col("reorder_quantity")
     action = normalized_action(F.col("action"))
     capacity = F.greatest(F.col("max_stock") - F.col("on_hand"), F.lit(0))
-    text = lambda *parts: F.concat(
-        *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]
-    )
     rejected = (
-        F.when(action.isNull(), text("invalid action '", F.col("action"), "'; must be REORDER, WAIT, or REVIEW"))
+        F.when(action.isNull(), _message(INVALID_ACTION, F.col("action")))
         .when(
             ~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False)),
-            text("confidence ", F.col("confidence"), " out of [0.0, 1.0]"),
+            _message(CONFIDENCE_OUT_OF_RANGE, F.col("confidence")),
         )
-        .when(F.coalesce(F.trim("summary"), F.lit("")) == "", F.lit("summary is empty"))
-        .when(F.coalesce(F.size("key_points"), F.lit(0)) <= 0, F.lit("key_points array is empty"))
+        .when(F.coalesce(F.trim("summary"), F.lit("")) == "", EMPTY_SUMMARY)
+        .when(F.coalesce(F.size("key_points"), F.lit(0)) <= 0, EMPTY_KEY_POINTS)
     )
     df = df.withColumn("_action", action).withColumn("_rejected", rejected)
     early = F.when(
         (F.col("_action") != "REORDER") & (given > 0),
-        text("action is ", F.col("_action"), " but proposed quantity was ", given, "; clamped to 0"),
-    ).when(given < 0, text("negative quantity ", given, " clamped to 0"))
+        _message(QUANTITY_WITHOUT_REORDER, F.col("_action"), given),
+    ).when(given < 0, _message(NEGATIVE_QUANTITY, given))
     # Both limits apply in turn, so the budget message wins when both are exceeded.
     within_capacity = F.least(given, capacity)
-    late = F.when(
-        within_capacity > max_quantity,
-        text("quantity ", given, f" exceeded max order budget limit {max_quantity}; clamped"),
-    ).when(
-        given > capacity,
-        text(
-            "quantity ", given, " exceeded available capacity ", capacity, " (max_stock ",
-            F.col("max_stock"), " - on_hand ", F.col("on_hand"), "); clamped to capacity",
-        ),
+    late = F.when(within_capacity > max_quantity, _message(ABOVE_BUDGET, given, F.lit(max_quantity))).when(
+        given > capacity, _message(ABOVE_CAPACITY, given, capacity, F.col("max_stock"), F.col("on_hand"))
     )
     df = df.withColumn("_early", early)
     checked = F.col("_rejected").isNull()
@@ -104,7 +113,7 @@ def parse_decision_json(df: DataFrame, column: str) -> DataFrame:
     body = F.trim(F.col(column), F.lit(" \t\r\n"))
     fenced = F.regexp_extract(body, r"(?s)^```(?:json)?(.*?)(?:```)?$", 1)
     body = F.when(body.startswith("```"), F.trim(fenced, F.lit(" \t\r\n"))).otherwise(body)
-    df = df.withColumn("_doc", F.try_parse_json(body))
+    df = df.withColumn("_doc", strict_json(body))
     doc = F.col("_doc")
 
     def field(name: str, target: str, *shapes: str) -> tuple[Column, Column]:

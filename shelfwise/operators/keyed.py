@@ -4,7 +4,7 @@
   combined before the shuffle; no group is ever gathered.
 * `running` computes ordered running values per key in two levels: inside bounded chunks of
   the key's order, and over one row per chunk. A hot key is spread over its chunks.
-* `salted_join` spreads the rows of a hot join key over several tasks.
+* `lookup_join` leaves hot join keys to adaptive execution, which splits those it measures.
 """
 
 from __future__ import annotations
@@ -96,20 +96,13 @@ def running(
     )
 
 
-def salted_join(
-    many: DataFrame, few: DataFrame, on: Sequence[str], salts: int = 32, how: str = "inner"
-) -> DataFrame:
-    """Equi join whose hot keys on the `many` side are spread over `salts` tasks.
+def lookup_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join of `many` with the row or rows that `few` has for a key, however hot the key.
 
-    `few` is repeated once per salt; Spark still turns it into a broadcast when its measured
-    size allows. Only `inner` and `left` keep their meaning under salting.
+    Nothing is copied: Spark broadcasts `few` where its measured size is below the session's threshold, and
+    else shuffles both sides; a hot key of `many` is then split by adaptive execution's skew join.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"salted_join supports inner and left joins, not {how}")
-    others = [c for c in many.columns if c not in on] or list(on)
-    salted_many = many.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    salted_few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_many.join(salted_few, [*on, "_salt"], how).drop("_salt")
+    return many.join(few, list(on), how)
 
 
 def value_positions(counts: DataFrame, keys: Sequence[str], value: str, n: str, chunk: Column) -> DataFrame:

@@ -89,26 +89,31 @@ def merge_request_lines(lines: DataFrame, request: list[str]) -> DataFrame:
     return lines.groupBy(*request, "sku_id").agg(F.sum("quantity").alias("quantity"))
 
 
-def redelivery_outcome(lines: DataFrame) -> DataFrame:
-    """SUCCEEDED for the first request of an order and location, then AlreadyProcessed or Conflict.
-
-    `lines` has request_id, requested_at, order_id, location_code, sku_id and quantity. Line sets
-    are compared line by line in a join, so neither a busy order nor a long request is gathered.
+def redelivery_outcome(lines: DataFrame, delivery: str | None = None) -> DataFrame:
+    """One outcome per delivery: Succeeded for the first of an order and location, then AlreadyProcessed or Conflict.
+
+    `lines` has request_id, requested_at, order_id, location_code, sku_id and quantity. A request delivered
+    again, with its id, was already processed; another request is, if its lines equal those that were
+    reserved, and else conflicts. Deliveries of a request differ in requested_at, or in the column `delivery`
+    where given. Line sets are compared line by line in a join, so neither a busy order nor a long request
+    is gathered.
     """
     place = ["order_id", "location_code"]
-    merged = merge_request_lines(lines, [*place, "request_id", "requested_at"])
-    first_id = F.min_by("request_id", F.struct("requested_at", "request_id"))
-    requests = merged.groupBy(*place, "request_id", "requested_at").agg(F.count("*").alias("n"))
-    firsts = requests.groupBy(*place).agg(
-        first_id.alias("first_id"), F.min_by("n", F.struct("requested_at", "request_id")).alias("first_n")
+    numbered = lines.withColumn("_delivery", F.col(delivery) if delivery else F.lit(0))
+    one = [*place, "request_id", "requested_at", "_delivery"]
+    merged = merge_request_lines(numbered, one)
+    arrival = F.struct("requested_at", "_delivery", "request_id")
+    firsts = (
+        merged.groupBy(*one).agg(F.count("*").alias("n"))
+        .groupBy(*place).agg(F.min(arrival).alias("first"), F.min_by("n", arrival).alias("first_n"))
     )
     first_lines = (
-        merged.join(firsts.select(*place, F.col("first_id").alias("request_id")), [*place, "request_id"], "left_semi")
+        merged.join(firsts.select(*place, "first.*"), one, "left_semi")
         .select(*place, "sku_id", F.col("quantity").alias("_first_quantity"))
     )
     same = (
         merged.join(first_lines, [*place, "sku_id"], "left")
-        .groupBy(*place, "request_id", "requested_at")
+        .groupBy(*one)
         .agg(
             F.count(F.when(F.col("quantity") == F.col("_first_quantity"), 1)).alias("same"),
             F.count("*").alias("n"),
@@ -117,8 +122,8 @@ def redelivery_outcome(lines: DataFrame) -> DataFrame:
     equal = (F.col("same") == F.col("n")) & (F.col("n") == F.col("first_n"))
     return same.join(firsts, place).select(
         "request_id", *place,
-        F.when(F.col("request_id") == F.col("first_id"), "Succeeded")
-        .when(equal, "AlreadyProcessed")
+        F.when(arrival == F.col("first"), "Succeeded")
+        .when((F.col("request_id") == F.col("first.request_id")) | equal, "AlreadyProcessed")
         .otherwise("Conflict")
         .alias("outcome"),
     )

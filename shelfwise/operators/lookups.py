@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEY
 from .demand import at
-from .keyed import latest, running, salted_join
+from .keyed import latest, running, lookup_join
 
 # The wildcard location and the subscription types that deliver.
 ANY_LOCATION = "ALL"
@@ -18,22 +18,28 @@ DELIVERED_TYPES = ("OrderPaid", "OrderShipped")
 def _at_every_location(dimension: DataFrame, keys: DataFrame) -> DataFrame:
     """Wildcard rows repeated for each location in use, so that lookups are equi joins.
 
-    Only the few wildcard rows meet the few distinct locations here.
+    The distinct locations, a short dimension, reach the few wildcard rows as one scalar list.
     """
-    locations = keys.select("location_code").distinct().withColumn("_any", F.lit(ANY_LOCATION))
-    wild = dimension.filter(F.col("location_code") == ANY_LOCATION)
-    everywhere = wild.withColumnRenamed("location_code", "_any").join(locations, "_any").drop("_any")
+    in_use = keys.agg(F.collect_set("location_code").alias("codes")).select("codes").scalar()
+    wild = dimension.filter(F.col("location_code") == ANY_LOCATION).withColumn("_codes", in_use)
+    everywhere = wild.withColumn("location_code", F.explode("_codes")).drop("_codes")
     return dimension.filter(F.col("location_code") != ANY_LOCATION).unionByName(everywhere)
 
 
-def event_calendar(keys: DataFrame, calendar: DataFrame, days_ahead: int, as_of) -> DataFrame:
-    """Calendar entries of each key's location, or of all locations, that touch the next days."""
+def calendar_of_locations(keys: DataFrame, calendar: DataFrame, days_ahead: int, as_of) -> DataFrame:
+    """Calendar entries that touch the next days, once for each location in use."""
     today = F.to_date(at(as_of))
     current = calendar.filter(
         (F.col("start_date") <= F.date_add(today, days_ahead)) & (F.col("end_date") >= today)
     )
     spread = _at_every_location(current, keys)
-    return salted_join(keys, spread, ["location_code"]).orderBy(*KEY, "start_date", "event_id")
+    return spread.join(keys.select("location_code").distinct(), "location_code", "left_semi")
+
+
+def event_calendar(keys: DataFrame, calendar: DataFrame, days_ahead: int, as_of) -> DataFrame:
+    """Calendar entries of each key's location, or of all locations, that touch the next days."""
+    spread = calendar_of_locations(keys, calendar, days_ahead, as_of)
+    return lookup_join(keys, spread, ["location_code"]).orderBy(*KEY, "start_date", "event_id")
 
 
 def supplier_signals(keys: DataFrame, signals: DataFrame, as_of, by_sku: bool = True,
@@ -48,9 +54,9 @@ def supplier_signals(keys: DataFrame, signals: DataFrame, as_of, by_sku: bool =
     ).withColumnRenamed("sku_id", "signal_sku")
     spread = _at_every_location(recent, keys)
     if not by_sku:
-        found = salted_join(keys, spread, ["location_code"])
+        found = lookup_join(keys, spread, ["location_code"])
     else:
-        general = salted_join(keys, spread.filter(F.col("signal_sku").isNull()), ["location_code"])
+        general = lookup_join(keys, spread.filter(F.col("signal_sku").isNull()), ["location_code"])
         own = spread.filter(F.col("signal_sku").isNotNull()).withColumn("sku_id", F.col("signal_sku"))
         found = general.unionByName(keys.join(own, KEY).select(*general.columns))
     return found.orderBy(F.desc("reported_at"), *KEY, "signal_id")
@@ -62,9 +68,9 @@ def evaluated_movements(movements: DataFrame) -> DataFrame:
 
 
 def with_current_balance(movements: DataFrame, balances: DataFrame) -> DataFrame:
-    """Current balance attached to each evaluated movement; a hot key's movements are salted."""
+    """Current balance attached to each evaluated movement; a hot key's movements are split by adaptive execution."""
     stock = balances.select(*KEY, "on_hand", "reserved", "available", "version")
-    return salted_join(evaluated_movements(movements), stock, KEY, salts=16)
+    return lookup_join(evaluated_movements(movements), stock, KEY)
 
 
 def balance_as_of_movement(
@@ -97,7 +103,7 @@ def balance_as_of_movement(
 def basket_lines(baskets: DataFrame, catalog: DataFrame) -> DataFrame:
     """Basket lines with product name and price."""
     products = catalog.select(F.col("id").alias("product_id"), "name", "price")
-    return salted_join(baskets, products, ["product_id"], salts=16)
+    return lookup_join(baskets, products, ["product_id"])
 
 
 def unknown_basket_products(baskets: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -111,13 +117,13 @@ def subscription_deliveries(events: DataFrame, subscriptions: DataFrame) -> Data
     targets = subscriptions.select(
         F.col("type").alias("event_type"), "subscription_id", "user_id", "dest_url"
     ).filter(F.col("event_type").isin(*DELIVERED_TYPES))
-    return salted_join(wanted, targets, ["event_type"])
+    return lookup_join(wanted, targets, ["event_type"])
 
 
 def stock_check_lines(lines: DataFrame, balances: DataFrame) -> DataFrame:
     """Each order line against the current available stock; lines are not merged."""
     stock = balances.select(*KEY, F.col("available").alias("_available"))
-    checked = salted_join(lines, stock, KEY, salts=16, how="left")
+    checked = lookup_join(lines, stock, KEY, how="left")
     enough = F.coalesce(F.col("_available") >= F.col("units"), F.lit(False))
     return checked.withColumn("has_stock", enough).drop("_available")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import LOCATIONS, ORDER_STATUSES
 from .demand import at
-from .keyed import earliest, latest, salted_join
+from .keyed import earliest, latest, lookup_join
 
 # Lifecycle steps as {step: {status it applies to: next status}}. Steps in any other
 # status are ignored, except ship and cancel, whose wrong use is an error.
@@ -150,26 +150,36 @@ def lifecycle_maps(events: DataFrame, position: str = "seq", chunk: Column | Non
     )
 
 
-def chain_lifecycle(maps: DataFrame, position: str = "chunk") -> DataFrame:
-    """Final status and number of illegal moves per order from its stretches, in order."""
+def combine_lifecycle(maps: DataFrame, position: str = "chunk") -> DataFrame:
+    """One table per order that stands for all its stretches, in order; it has the last one's position.
+
+    Gathered are an order's stretches: one per 65,536 positions, or per batch since the last compaction.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), "leads_to")))
-    final = F.aggregate(
-        F.col("_ordered"),
-        F.struct(F.lit(0).alias("status"), F.lit(0).cast("long").alias("errors")),
-        lambda acc, m: F.struct(
-            F.get(m["leads_to"], acc["status"])["status"].alias("status"),
-            (acc["errors"] + F.get(m["leads_to"], acc["status"])["errors"]).alias("errors"),
-        ),
-    )
-    names = F.array(*[F.lit(s) for s in ORDER_STATUSES])
+
+    def walk(start: int) -> Column:
+        return F.aggregate(
+            F.col("_ordered"),
+            F.struct(F.lit(start).alias("status"), F.lit(0).cast("long").alias("errors")),
+            lambda acc, m: F.struct(
+                F.get(m["leads_to"], acc["status"])["status"].alias("status"),
+                (acc["errors"] + F.get(m["leads_to"], acc["status"])["errors"]).alias("errors"),
+            ),
+        )
+
     return (
         maps.groupBy("order_id")
-        .agg(ordered.alias("_ordered"))
-        .select("order_id", final.alias("_final"))
-        .select(
-            "order_id", F.get(names, F.col("_final.status")).alias("status"),
-            F.col("_final.errors").alias("illegal_moves"),
-        )
+        .agg(ordered.alias("_ordered"), F.max(position).alias(position))
+        .select("order_id", position, F.array(*[walk(s) for s in range(len(ORDER_STATUSES))]).alias("leads_to"))
+    )
+
+
+def chain_lifecycle(maps: DataFrame, position: str = "chunk") -> DataFrame:
+    """Final status and number of illegal moves per order from its stretches, in order."""
+    names = F.array(*[F.lit(s) for s in ORDER_STATUSES])
+    final = F.get("leads_to", F.lit(0))
+    return combine_lifecycle(maps, position).select(
+        "order_id", F.get(names, final["status"]).alias("status"), final["errors"].alias("illegal_moves")
     )
 
 
@@ -218,7 +228,7 @@ def payment_method_upsert(verifications: DataFrame) -> DataFrame:
     methods = earliest(
         verifications.select(*match, "seq", "verification_id"), match, ["seq", "verification_id"]
     ).select(*match, F.col("verification_id").alias("method_id"))
-    joined = salted_join(verifications, methods, match, salts=8)
+    joined = lookup_join(verifications, methods, match)
     return joined.select(
         "verification_id", "buyer_id", "card_type_id",
         F.concat(F.lit("****"), F.right("card_number", F.lit(4))).alias("card"),
@@ -229,5 +239,7 @@ def payment_method_upsert(verifications: DataFrame) -> DataFrame:
 
 def idempotent_requests(commands: DataFrame) -> DataFrame:
     """First command per request id, with the number of repeats that were ignored."""
-    counts = commands.groupBy("request_id").agg((F.count("*") - 1).alias("duplicates"))
-    return earliest(commands, ["request_id"], ["received_at", "seq"]).join(counts, "request_id")
+    rest = [c for c in commands.columns if c != "request_id"]
+    first = F.min_by(F.struct(*rest), F.struct("received_at", "seq"))
+    picked = commands.groupBy("request_id").agg(first.alias("_row"), (F.count("*") - 1).alias("duplicates"))
+    return picked.select("request_id", "_row.*", "duplicates").select(*commands.columns, "duplicates")

@@ -1,9 +1,11 @@
 """Serving tables: per-batch deltas, merged when read, compacted now and then.
 
 A micro-batch writes one directory named by its id, so a retried batch replaces its own output and
-nothing else, and its cost follows the batch, not the table. Readers apply the table's merge rule
-to base plus deltas. Compaction writes the merged rows as a new base; old directories stay until
-housekeeping removes them, so running readers keep their files.
+nothing else, and its cost follows the batch, not the table. A table has two rules. `combine` is
+associative: it turns any deltas, in batch order, into one that stands for them all. `render` turns
+combined rows into the table's current rows. Compaction combines base and deltas into a new base.
+Directories count from the moment their write is complete; what a crash left behind is ignored and
+written over. `vacuum` removes what a newer base stands for.
 """
 
 from __future__ import annotations
@@ -13,38 +15,75 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_DONE = "_SUCCESS"
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _numbered_dirs(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    if not path_exists(spark, path):
-        return []
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [s.getPath().getName() for s in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)]
-    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _file_system(spark, path)
+    return fs.exists(hadoop)
 
 
-class ServingTable:
-    """`merge` turns all deltas (with their `batch` number) into the table's current rows."""
+def complete_dirs(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the directories below `path` whose write is complete."""
+    hadoop, fs = _file_system(spark, path)
+    if not fs.exists(hadoop):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
+    done = [n for n in names if n.startswith(prefix) and path_exists(spark, f"{path}/{n}/{_DONE}")]
+    return sorted(int(n[len(prefix):]) for n in done)
 
-    def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]):
-        self.spark, self.path, self.merge = spark, path.rstrip("/"), merge
 
-    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+def has_files(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _file_system(spark, path)
+    return any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(hadoop))
 
-    def deltas(self) -> DataFrame | None:
-        """Base rows (numbered as their last batch) and the deltas after them."""
-        bases = _numbered_dirs(self.spark, f"{self.path}/base", "upto=")
-        batches = _numbered_dirs(self.spark, f"{self.path}/deltas", "batch=")
+
+class ServingTable:
+    """`combine` and `render` see deltas with their `batch` number; `partitions` are directory columns of a delta."""
+
+    def __init__(
+        self, spark: SparkSession, path: str, combine: Callable[[DataFrame], DataFrame],
+        render: Callable[[DataFrame], DataFrame] | None = None, partitions: tuple[str, ...] = (),
+    ):
+        self.spark, self.path, self.combine = spark, path.rstrip("/"), combine
+        self.render, self.partitions = render or combine, partitions
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        writer = (rows.hint("rebalance", *self.partitions) if self.partitions else rows).write.mode("overwrite")
+        writer.partitionBy(*self.partitions).parquet(path)
+
+    def write_batch(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Writes a delta and returns it as stored."""
+        path = f"{self.path}/deltas/batch={batch_id}"
+        self._write(rows, path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def batch(self, batch_id: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/deltas/batch={batch_id}")
+
+    def _state(self) -> tuple[int | None, list[int]]:
+        bases = complete_dirs(self.spark, f"{self.path}/base", "upto=")
+        base = bases[-1] if bases else None
+        batches = complete_dirs(self.spark, f"{self.path}/deltas", "batch=")
+        return base, [b for b in batches if base is None or b > base]
+
+    def deltas(self, before: int | None = None) -> DataFrame | None:
+        """Base rows (numbered as their last batch) and the deltas after them, `before` a batch where given."""
+        base, batches = self._state()
         parts = []
-        if bases:
-            base = self.spark.read.parquet(f"{self.path}/base/upto={bases[-1]}")
-            parts.append(base.withColumn("batch", F.lit(bases[-1]).cast("long")))
-            batches = [b for b in batches if b > bases[-1]]
+        if base is not None and (before is None or base < before):
+            rows = self.spark.read.parquet(f"{self.path}/base/upto={base}")
+            parts.append(rows.withColumn("batch", F.lit(base).cast("long")))
+        # A partitioned delta without rows has no files, and so no schema.
+        batches = [
+            b for b in batches
+            if (before is None or b < before) and (not self.partitions or has_files(self.spark, f"{self.path}/deltas/batch={b}"))
+        ]
         if batches:
             read = self.spark.read.option("basePath", f"{self.path}/deltas").parquet(
                 *[f"{self.path}/deltas/batch={b}" for b in batches]
@@ -56,14 +95,23 @@ class ServingTable:
 
     def read(self) -> DataFrame | None:
         rows = self.deltas()
-        return None if rows is None else self.merge(rows).drop("batch")
+        return None if rows is None else self.render(rows).drop("batch")
 
     def compact(self) -> None:
-        batches = _numbered_dirs(self.spark, f"{self.path}/deltas", "batch=")
-        rows = self.deltas()
-        if rows is not None and batches:
-            merged = self.merge(rows).drop("batch")
-            merged.write.mode("overwrite").parquet(f"{self.path}/base/upto={batches[-1]}")
+        """Writes a base that stands for all complete deltas; a reader keeps what it has opened."""
+        _, batches = self._state()
+        if batches:
+            self._write(self.combine(self.deltas()).drop("batch"), f"{self.path}/base/upto={batches[-1]}")
+
+    def vacuum(self) -> None:
+        """Removes older bases and the deltas that the newest base stands for; run it when no reader is left on them."""
+        bases = complete_dirs(self.spark, f"{self.path}/base", "upto=")
+        if bases:
+            batches = complete_dirs(self.spark, f"{self.path}/deltas", "batch=")
+            old = [f"base/upto={b}" for b in bases[:-1]] + [f"deltas/batch={b}" for b in batches if b <= bases[-1]]
+            for name in old:
+                hadoop, fs = _file_system(self.spark, f"{self.path}/{name}")
+                fs.delete(hadoop, True)
 
 
 def write_current(spark: SparkSession, path: str, keys: list[str], version: str) -> ServingTable:

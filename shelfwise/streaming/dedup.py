@@ -1,42 +1,72 @@
-"""Exactly-once facts on streams; state is bounded by the watermark."""
+"""Exactly-once facts on streams, however late a record arrives.
+
+A micro-batch keeps the first copy of each key and compares with the facts stored before it. Nothing is
+dropped for being late: there is no watermark, and stored facts are the state. A redelivered record carries
+the time of the first, so only the stored days that the batch itself touches are read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import order_event_key
+from ..model import KEY
+from ..operators.demand import daily_demand
+from ..operators.keyed import earliest
+from ..sources.serving import ServingTable
+
+NO_DAY = "none"
+
+
+def fact_store(spark: SparkSession, path: str, keys: Sequence[str]) -> ServingTable:
+    """Facts by key, in directories by day of their time; the copy of the earliest batch stays."""
+    return ServingTable(spark, path, lambda rows: earliest(rows, list(keys), ["batch"]), partitions=("day",))
+
 
+def days_of(rows: DataFrame) -> list[str]:
+    """The distinct days of a batch: as many as it touches, however large the table is."""
+    return [r["day"] for r in rows.select("day").distinct().collect()]
 
-def dedup_movement_stream(movements: DataFrame, horizon: str = "10 minutes") -> DataFrame:
-    return movements.withWatermark("occurred_at", horizon).dropDuplicatesWithinWatermark(["movement_id"])
 
+def stored_days(store: ServingTable, days: list[str], before: int | None = None) -> DataFrame | None:
+    """Stored facts of some days; other directories aren't opened."""
+    rows = store.deltas(before)
+    return None if rows is None else rows.filter(F.col("day").cast("string").isin(days))
 
-def dedup_event_stream(events: DataFrame, horizon: str = "10 minutes") -> DataFrame:
+
+def store_first(df: DataFrame, store: ServingTable, keys: Sequence[str], time: str | None, batch_id: int,
+                order: Sequence[Column | str] = ()) -> DataFrame:
+    """Stores the rows of a batch whose key is new and returns them as stored.
+
+    Within the batch the first by `order` stays (any, without one). `time` is the column that a copy repeats;
+    None compares with all stored facts. A retried batch is compared with the batches before it, so it
+    writes the same again.
+    """
+    day = F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit(NO_DAY)) if time else F.lit(NO_DAY)
+    rows = df.withColumn("day", day)
+    fresh = earliest(rows, list(keys), list(order)) if order else rows.dropDuplicates(list(keys))
+    stored = stored_days(store, days_of(rows), batch_id)
+    if stored is not None:
+        fresh = fresh.join(stored.select(*keys), list(keys), "left_anti").select(*rows.columns)
+    return store.write_batch(fresh, batch_id)
+
+
+def with_event_key(events: DataFrame) -> DataFrame:
+    """A stock event's own id or, without one, its derived key."""
     key = order_event_key("event_id", "order_id", "sku_id", "location_code", "quantity_depleted")
-    keyed = events.withColumn("event_key", key)
-    return keyed.withWatermark("occurred_at", horizon).dropDuplicatesWithinWatermark(["event_key"])
+    return events.withColumn("event_key", key)
 
 
-def inbox_stream(events: DataFrame, time: str, horizon: str = "10 minutes") -> DataFrame:
-    return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["event_id"])
+def gold_delta(facts: DataFrame) -> DataFrame:
+    """What new facts add to the gold rows of their keys and days, early or late."""
+    return daily_demand(facts)
 
 
-def daily_demand_stream(silver: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Gold rows of a silver stream: one per key and day, updated until the watermark passes it."""
-    sales = silver.filter(
-        (F.col("movement_type") == "Sale")
-        & F.col("sku_id").isNotNull()
-        & F.col("location_code").isNotNull()
-        & F.col("quantity").isNotNull()
-        & F.col("occurred_at").isNotNull()
-    )
-    return (
-        sales.withWatermark("occurred_at", lateness)
-        .groupBy(F.window("occurred_at", "1 day").alias("day"), "sku_id", "location_code")
-        .agg(F.sum("quantity").alias("sale_units"), F.count("*").alias("movement_count"))
-        .select(
-            "sku_id", "location_code", F.to_date("day.start").alias("date"),
-            F.upper(F.date_format("day.start", "E")).alias("weekday"), "sale_units", "movement_count",
-        )
+def combine_gold(rows: DataFrame) -> DataFrame:
+    """Gold rows are sums over facts, so the parts that batches add are summed."""
+    return rows.groupBy(*KEY, "date", "weekday").agg(
+        F.sum("sale_units").alias("sale_units"), F.sum("movement_count").alias("movement_count")
     )
