@@ -71,6 +71,17 @@ def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(name: object, make):
+    """A cache that this worker process keeps between tasks: one at a time, another name's is given up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def slices(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a batch holding about `limit` characters each, so that long texts don't pile up."""
     start = size = 0

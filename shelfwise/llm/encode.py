@@ -14,9 +14,10 @@ import unicodedata
 
 import numpy as np
 
+from shelfwise.llm.common import held
+
 _CHUNKS = re.compile(r" (?=\S)")
 _MARKS = ".,;:!?"
-_OPEN: dict[str, ChunkEncoder] = {}
 
 
 def byte_letters() -> dict[int, int]:
@@ -52,7 +53,7 @@ class _Cache(dict):
 class ChunkEncoder:
     """`ids(text)`: the text's ids as little-endian unsigned 32-bit bytes; null counts as empty."""
 
-    def __init__(self, path: str, entries: int = 900_000):
+    def __init__(self, path: str, entries: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -92,8 +93,6 @@ class ChunkEncoder:
             return (self.whole(head) if head else b"") + b"".join(map(known, rest))
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process and file."""
-    if path not in _OPEN:
-        _OPEN[path] = ChunkEncoder(path)
-    return _OPEN[path]
+def encoder(path: str, entries: int = 300_000) -> ChunkEncoder:
+    """The encoder of a worker process; entries: words it may keep, about 200 bytes each."""
+    return held((path, entries), lambda: ChunkEncoder(path, entries))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import batch, materialized, ship, shuffle_partitions, slices, text_bytes
+from shelfwise.llm.common import batch, held, materialized, ship, shuffle_partitions, slices, text_bytes
 from shelfwise.llm.components import components
 
 N = 5
@@ -51,17 +51,14 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 300_000:
             self[word] = found
         return found
 
 
-_WORDS = _Words()
-
-
 def shingle_sets(texts: list[str | None], n: int = N) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; of its whole word sequence if that is shorter than n."""
-    known = _WORDS.__getitem__
+    known = held("shingle-words", _Words).__getitem__
     with np.errstate(over="ignore"):
         for text in texts:
             # ASCII only: A-Z lower-cased, words between space, tab, line feed, vertical tab, form feed, return.

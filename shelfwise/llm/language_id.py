@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import batch, ship, slices
+from shelfwise.llm.common import batch, held, ship, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -199,7 +199,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 3) ->
 class _Emissions(dict):
     """Word -> its row in `table`, the words' scores; bounded: it starts anew when full."""
 
-    def __init__(self, model: Model, entries: int = 400_000):
+    def __init__(self, model: Model, entries: int = 300_000):
         self.model, self.entries = model, entries
         self.table = np.zeros((entries, len(model.languages)))
 
@@ -223,16 +223,10 @@ class _Emissions(dict):
         return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
-_KNOWN: dict[str, _Emissions] = {}
-
-
 def emissions(model: Model) -> _Emissions:
     """The word scores of a model that this worker process has found so far."""
     key = xxhash.xxh3_128_hexdigest(model.weights.tobytes() + "/".join(model.languages).encode())
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = _Emissions(model)
-    return _KNOWN[key]
+    return held(key, lambda: _Emissions(model))
 
 
 def label_texts(model: Model, known: _Emissions, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:

@@ -31,15 +31,16 @@ _PIECES = pa.schema(
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cache_words: int = 300_000) -> DataFrame:
     """Token pieces of whole texts, each text closed by end_id: doc_id, piece, start, length, ids_crc32.
 
     Only a document over `capacity` is cut; its pieces are full but for the first. Null text is empty.
+    cache_words: words whose ids a worker keeps, about 200 bytes each.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        known, end = encoder(tokenizer, cache_words), np.uint32(end_id).tobytes()
         for rows in batches:
             found = []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text")):

@@ -29,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    pieces = cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, SEQUENCE)
+    pieces = cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, SEQUENCE, cache_words=900_000)
     return pack(pieces, SEQUENCE)
 
 
@@ -60,7 +60,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    manifest = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, scratch(spark, "token-files"))
+    manifest = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, scratch(spark, "token-files"), cache_words=700_000)
     return token_spans(manifest)
 
 

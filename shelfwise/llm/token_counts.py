@@ -31,7 +31,7 @@ def _counter(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    known = encoder(path)
+    known = encoder(path, 600_000)
     return lambda texts: [len(known.ids(t)) // 4 for t in texts]
 
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import batch, ship, shuffle_partitions
+from shelfwise.llm.common import batch, held, ship, shuffle_partitions
 from shelfwise.llm.encode import encoder
 
 # Fixed values of the file format.
@@ -150,20 +150,21 @@ def _open(uri: str):
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, end_id: int, folder: str, frame_ids: int = 65_536, files: int | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, folder: str, frame_ids: int = 65_536, files: int | None = None,
+    cache_words: int = 300_000,
 ) -> DataFrame:
     """Encodes each whole text, appends end_id and writes files in ascending doc_id order; returns the manifest.
 
     Manifest: shard (files in doc_id order), file, n_docs, n_ids; only files named there belong to the
     result, what a lost or repeated task left behind doesn't. Null text is empty (the end id alone), a null
     doc_id comes first, equal ids stand by text, other columns are ignored, no rows give empty files or none.
-    Ids must be below 2**32; a vocabulary below 2**16 is stored in 16 bits.
+    cache_words: words whose ids a worker keeps, about 200 bytes each. Ids must be below 2**32; a vocabulary below 2**16 is stored in 16 bits.
     """
     spark = docs.sparkSession
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = encoder(tokenizer), struct.pack("<I", end_id)
+        known, end = encoder(tokenizer, cache_words), struct.pack("<I", end_id)
         width = 2 if max(known.tokenizer.get_vocab_size(with_added_tokens=True), end_id) < 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         file = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tokz"
@@ -196,6 +197,7 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
     chosen = None if wanted is None else set(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("token-files", dict)  # a writer's words aren't needed any more
         for rows in batches:
             for shard, uri in zip(rows.column("shard").to_pylist(), rows.column("file").to_pylist()):
                 fs, path = _open(uri)
