@@ -382,7 +382,7 @@ def fact_distinct_check(v):
     "v_movement",
 )
 def calendar_and_key_functions(v):
-    from shelfwise.functions import sanitize_topic, short_type_name, sku_location_key, weekday_name
+    from shelfwise.functions import month_bucket, sanitize_topic, short_type_name, sku_location_key, weekday_name
 
     return v.movements.select(
         "movement_id",
@@ -391,7 +391,7 @@ def calendar_and_key_functions(v):
         weekday_index("occurred_at").alias("weekday_index"),
         F.date_trunc("hour", "occurred_at").alias("hour_start"),
         F.unix_millis("occurred_at").alias("epoch_ms"),
-        F.date_format("occurred_at", "yyyyMM").alias("month_bucket"),
+        month_bucket("occurred_at").alias("month_bucket"),
         sanitize_topic(F.concat_ws("", F.lit("inventory/"), "location_code", F.lit(" #"), "quantity")).alias("safe_topic"),
         short_type_name(F.concat(F.lit("Inventory.Events."), F.col("movement_type"))).alias("short_type"),
     )

@@ -19,18 +19,17 @@ STAMP = "%Y-%m-%d %H:%M:%S.%f"
 
 
 def ledger_movements(v):
-    """Live movements numbered per key in time order, every 97th left out of the numbering's users."""
-    numbered = running(
+    """Live movements numbered per key in time order."""
+    return running(
         v.live, KEY, ["occurred_at", "movement_id"], F.to_date("occurred_at"),
         sums={"resulting_balance_version": F.lit(1)},
     ).withColumn("resulting_balance_version", F.col("resulting_balance_version") + 1)
-    return numbered.filter(F.col("order_id") % 97 != 0)
 
 
 LEDGER = """numbered AS (SELECT *, 1 + row_number() OVER (PARTITION BY sku_id, location_code ORDER BY occurred_at, movement_id) AS v FROM v_live),
 moves AS (SELECT *, CASE movement_type WHEN 'Sale' THEN -quantity WHEN 'Restock' THEN quantity WHEN 'Return' THEN quantity ELSE 0 END AS d_hand,
     CASE movement_type WHEN 'Reserve' THEN quantity WHEN 'Release' THEN -quantity WHEN 'Sale' THEN -quantity ELSE 0 END AS d_res
-  FROM numbered WHERE order_id % 97 <> 0),
+  FROM numbered WHERE $kept),
 led AS (SELECT m.*, b.max_stock, CAST(b.on_hand + sum(d_hand) OVER k AS BIGINT) AS on_hand, CAST(b.reserved + sum(d_res) OVER k AS BIGINT) AS reserved,
     CAST(1 + row_number() OVER k AS BIGINT) AS version
   FROM moves m JOIN v_balance b ON b.sku_id = m.sku_id AND b.location_code = m.location_code
@@ -43,7 +42,7 @@ def opening(v):
 
 @query(
     "ledger_balances",
-    f"""WITH {LEDGER} SELECT movement_id, sku_id, location_code, movement_type, v AS resulting_balance_version, on_hand AS ledger_on_hand,
+    f"""WITH {LEDGER.replace('$kept', 'true')} SELECT movement_id, sku_id, location_code, movement_type, v AS resulting_balance_version, on_hand AS ledger_on_hand,
        reserved AS ledger_reserved, on_hand - reserved AS ledger_available, version AS ledger_version FROM led""",
     "v_live v_balance",
 )
@@ -56,7 +55,7 @@ def ledger_balances(v):
 
 @query(
     "ledger_violations",
-    f"""WITH {LEDGER} SELECT movement_id, violations FROM (SELECT movement_id, concat_ws('|',
+    f"""WITH {LEDGER.replace('$kept', 'order_id % 97 <> 0')} SELECT movement_id, violations FROM (SELECT movement_id, concat_ws('|',
          CASE WHEN movement_type = 'Reserve' AND quantity > (on_hand - d_hand) - (reserved - d_res) THEN 'reserve_above_available' END,
          CASE WHEN movement_type IN ('Sale', 'Release') AND quantity > reserved - d_res THEN 'taken_above_reserved' END,
          CASE WHEN on_hand > max_stock THEN 'on_hand_above_max' END, CASE WHEN v <> version THEN 'version_gap' END) AS violations FROM led)
@@ -64,7 +63,9 @@ def ledger_balances(v):
     "v_live v_balance",
 )
 def ledger_violations(v):
-    return lg.ledger_violations(opening(v), ledger_movements(v)).select("movement_id", "violations")
+    """Movements that are missing from the log leave gaps in the versions: the feature under test."""
+    lossy = ledger_movements(v).filter(F.col("order_id") % 97 != 0)
+    return lg.ledger_violations(opening(v), lossy).select("movement_id", "violations")
 
 
 @query(
@@ -138,6 +139,16 @@ def reservation_states(v):
     return lg.reservation_state(folded)
 
 
+@query(
+    "reservations_of_an_order",
+    """SELECT order_id, sku_id, location_code, CAST(sum(quantity) AS BIGINT) AS reserved_quantity FROM v_movement
+       WHERE movement_type = 'Reserve' AND order_id = 6 GROUP BY ALL""",
+    "v_movement",
+)
+def reservations_of_an_order(v):
+    return lg.reservations_of(v.movements, 6)
+
+
 @query(
     "orders_of_users",
     f"""SELECT buyer_id, buyer_name, order_id, strftime(order_date, '{STAMP}') AS order_date, status, round(coalesce(total, 0), 2) AS total

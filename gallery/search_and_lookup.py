@@ -193,7 +193,7 @@ def stock_availability(v):
     "shadow_agreement",
     f"""WITH checks AS (SELECT event_id, event_id % 3000 AS order_id, ts AS evaluated_at, event_id % 3 <> 0 AS inventory_confirmed FROM events),
        newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY evaluated_at DESC, event_id DESC) AS i FROM checks) WHERE i = 1),
-       seen AS (SELECT o_orderkey AS order_id, o_orderstatus <> 'F' AS catalog_confirmed FROM orders WHERE o_orderkey % 3 < 2)
+       seen AS (SELECT o_orderkey AS order_id, o_orderstatus <> 'F' AS catalog_confirmed FROM orders)
        SELECT event_id, n.order_id, strftime(evaluated_at, '{STAMP}') AS evaluated_at, inventory_confirmed, catalog_confirmed,
        inventory_confirmed = catalog_confirmed AS agreement FROM newest n LEFT JOIN seen s ON s.order_id = n.order_id""",
 )
@@ -203,7 +203,7 @@ def shadow_agreement(v):
         n.alias("event_id"), (n % 3000).alias("order_id"), F.col("ts").alias("evaluated_at"),
         (n % 3 != 0).alias("inventory_confirmed"),
     )
-    observed = v.table("orders").filter(F.col("o_orderkey") % 3 < 2).select(
+    observed = v.table("orders").select(
         F.col("o_orderkey").alias("order_id"), (F.col("o_orderstatus") != "F").alias("catalog_confirmed"),
         F.col("o_orderdate").alias("observed_at"),
     )
@@ -213,7 +213,7 @@ def shadow_agreement(v):
 @query(
     "shadow_agreement_counts",
     """WITH checks AS (SELECT event_id % 3000 AS order_id, arg_max(event_id % 3 <> 0, (ts, event_id)) AS inventory_confirmed FROM events GROUP BY 1),
-       seen AS (SELECT o_orderkey AS order_id, o_orderstatus <> 'F' AS catalog_confirmed FROM orders WHERE o_orderkey % 3 < 2)
+       seen AS (SELECT o_orderkey AS order_id, o_orderstatus <> 'F' AS catalog_confirmed FROM orders)
        SELECT inventory_confirmed = catalog_confirmed AS agreement, count(*) AS rows FROM checks c LEFT JOIN seen s ON s.order_id = c.order_id GROUP BY ALL""",
 )
 def shadow_agreement_counts(v):
@@ -279,6 +279,24 @@ def catalog_most_expensive(v):
     return c.catalog_page(v.catalog, 0, 25, "price_desc")
 
 
+@query(
+    "catalog_cheapest",
+    "SELECT id, name, brand_id, type_id, price, (SELECT count(*) FROM v_catalog) AS total_items FROM v_catalog ORDER BY price, id LIMIT 25",
+    "v_catalog",
+)
+def catalog_cheapest(v):
+    return c.catalog_page(v.catalog, 0, 25, "price")
+
+
+@query(
+    "catalog_last_names",
+    "SELECT id, name, brand_id, type_id, price, (SELECT count(*) FROM v_catalog) AS total_items FROM v_catalog ORDER BY name DESC, id LIMIT 25",
+    "v_catalog",
+)
+def catalog_last_names(v):
+    return c.catalog_page(v.catalog, 0, 25, "name_desc")
+
+
 @query(
     "catalog_items_by_ids",
     "SELECT id, name, price FROM v_catalog WHERE id IN (1, 5, 99, 100000000)",
@@ -321,12 +339,17 @@ def catalog_facets_without_match(v):
 )
 def semantic_top_k(v):
     vectors = v.table("embeddings")
-    wanted = vectors.filter(F.col("vec_id") == 7).select("embedding").head()["embedding"]
-    return c.semantic_top_k(vectors, F.lit([float(x) for x in wanted]), "embedding", "vec_id", 15, 1).select(
+    wanted = vectors.filter(F.col("vec_id") == 7).select(F.col("embedding").cast("array<double>")).scalar()
+    return c.semantic_top_k(vectors, wanted, "embedding", "vec_id", 15, 1).select(
         "vec_id", "label", "distance", "total_items"
     )
 
 
+@query("type_list", "SELECT DISTINCT type FROM v_source_item WHERE type IS NOT NULL", "v_source_item")
+def type_list(v):
+    return c.dimension_list(v.source_items.filter(F.col("type").isNotNull()), "type")
+
+
 @query("brand_list", "SELECT DISTINCT brand FROM v_source_item WHERE brand IS NOT NULL", "v_source_item")
 def brand_list(v):
     return c.dimension_list(v.source_items.filter(F.col("brand").isNotNull()), "brand")

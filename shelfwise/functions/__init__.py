@@ -1,7 +1,7 @@
 """Column -> Column helpers; everything here stays inside JVM expressions."""
 
 from .keys import (
-    normalize_location, order_event_key, sanitize_topic, short_type_name, sku_location_key, uuid_v5,
+    month_bucket, normalize_location, order_event_key, sanitize_topic, short_type_name, sku_location_key, uuid_v5,
     weekday_index, weekday_name,
 )
 from .numeric import clamp, exact_mean, trunc_int
@@ -10,7 +10,7 @@ from .texts import strict_json
 from .vectors import cosine_distance
 
 __all__ = [
-    "normalize_location", "order_event_key", "sanitize_topic", "short_type_name", "sku_location_key",
+    "month_bucket", "normalize_location", "order_event_key", "sanitize_topic", "short_type_name", "sku_location_key",
     "uuid_v5", "weekday_index", "weekday_name", "clamp", "exact_mean",
     "trunc_int", "decayed_stat", "let", "recent_rate_step", "strict_json", "cosine_distance",
 ]

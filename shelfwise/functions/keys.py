@@ -59,3 +59,8 @@ def weekday_name(at: Column | str) -> Column:
 def weekday_index(at: Column | str) -> Column:
     """Monday is 0."""
     return F.weekday(_col(at))
+
+
+def month_bucket(at: Column | str) -> Column:
+    """Year and month as yyyyMM, by which facts are filed."""
+    return F.date_format(_col(at), "yyyyMM")

@@ -92,12 +92,14 @@ def semantic_top_k(items: DataFrame, query: Column, vector: str, id_column: str,
                    page_size: int = 10, page_index: int = 0) -> DataFrame:
     """Nearest items by cosine distance, with the count of all items (null vectors included).
 
-    `query` is an array literal: the one vector that is searched for.
+    `query` is the one vector that is searched for: an array literal or a scalar subquery.
     """
     total = items.agg(F.count("*").alias("n")).select("n").scalar()
     return (
         items.filter(F.col(vector).isNotNull())
-        .withColumn("distance", cosine_distance(F.col(vector), query))
+        .withColumn("_query", query)
+        .withColumn("distance", cosine_distance(F.col(vector), F.col("_query")))
+        .drop("_query")
         .orderBy("distance", id_column)
         .offset(page_index * page_size)
         .limit(page_size)

@@ -149,3 +149,12 @@ def reservation_state(movements: DataFrame) -> DataFrame:
             .alias("status"),
         )
     )
+
+
+def reservations_of(movements: DataFrame, order_id: int) -> DataFrame:
+    """Reserved units of one order per sku and location; the filter reaches the scan."""
+    return (
+        movements.filter((F.col("order_id") == order_id) & (F.col("movement_type") == "Reserve"))
+        .groupBy("order_id", *KEY)
+        .agg(F.sum("quantity").alias("reserved_quantity"))
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize_location, order_event_key
@@ -26,21 +26,29 @@ def dedup_business_key(movements: DataFrame, arrival: Sequence[str]) -> DataFram
     return earliest(movements, keys, arrival)
 
 
-def current_balance(changes: DataFrame, position: str = "offset", snapshot: Column | None = None) -> DataFrame:
+def current_balance(
+    changes: DataFrame, position: str = "offset", snapshot: Column | None = None, chunk: Column | None = None
+) -> DataFrame:
     """Reset-aware current balance per key.
 
     In log order a higher version replaces a lower one; a snapshot replaces whatever is stored.
     Only the changes from the last snapshot on can win, and among those the highest version,
-    earliest first. `position` must be unique per key.
+    earliest first. `position` must be unique per key. A key's changes are first settled in chunks of
+    the log, each from its own last snapshot on, then its chunks: a hot key is spread over its chunks.
     """
     snapshot = F.col("operation") == "SNAPSHOT" if snapshot is None else snapshot
-    resets = changes.filter(snapshot).groupBy(*KEY).agg(F.max(position).alias("_reset"))
+    chunk = F.floor(F.col(position) / OFFSET_CHUNK) if chunk is None else chunk
+    best = ["version", -F.col(position)]
+    in_chunk, of_key = Window.partitionBy(*KEY, "_chunk"), Window.partitionBy(*KEY)
+    reset = F.max(F.when(F.col("_snapshot"), F.col(position)))
     alive = (
-        changes.join(resets, KEY, "left")
+        changes.withColumn("_snapshot", snapshot).withColumn("_chunk", chunk)
+        .withColumn("_reset", reset.over(in_chunk))
         .filter(F.col("_reset").isNull() | (F.col(position) >= F.col("_reset")))
-        .drop("_reset")
     )
-    return latest(alive, KEY, ["version", -F.col(position)])
+    settled = latest(alive, [*KEY, "_chunk"], best).withColumn("_last", F.max("_reset").over(of_key))
+    after = F.col("_last").isNull() | (F.col("_reset") == F.col("_last")) | (F.col(position) > F.col("_last"))
+    return latest(settled.filter(after), KEY, best).select(*changes.columns)
 
 
 def flag_stale_balances(
