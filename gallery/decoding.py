@@ -158,7 +158,7 @@ def gold_from_change_log(v):
 
 @query(
     "movement_exists",
-    """SELECT movement_id FROM v_event_movement WHERE arrival % 50 NOT IN (0, 1, 2, 3, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15)""",
+    """SELECT movement_id FROM v_event_movement WHERE arrival % 50 NOT IN (0, 1, 2, 3, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15, 21, 22, 23, 24)""",
     "v_event_movement",
 )
 def movement_exists_query(v):

@@ -30,6 +30,27 @@ def daily_demand(v):
     return d.daily_demand(v.movements)
 
 
+@query(
+    "gold_from_late_batches",
+    """SELECT sku_id, location_code, strftime(occurred_at, '%Y-%m-%d') AS date,
+       upper(strftime(occurred_at, '%a')) AS weekday, CAST(sum(quantity) AS BIGINT) AS sale_units,
+       CAST(count(*) AS BIGINT) AS movement_count
+       FROM v_event_movement WHERE movement_type = 'Sale' GROUP BY ALL""",
+    "v_event_movement",
+)
+def gold_from_late_batches(v):
+    """Five shuffled batches with redelivered facts among them, merged as the stream's tables merge theirs."""
+    from functools import reduce
+
+    from shelfwise.operators.keyed import earliest
+    from shelfwise.streaming.dedup import combine_gold, gold_delta
+
+    number = F.pmod(F.xxhash64("movement_id"), F.lit(5))
+    received = v.event_movements.withColumn("batch", F.explode(F.array(number, number + 1)))
+    facts = earliest(received, ["movement_id"], ["batch"])
+    return combine_gold(reduce(lambda a, b: a.unionByName(b), [gold_delta(facts.filter(F.col("batch") == n)) for n in range(5)]))
+
+
 @query(
     "daily_demand_date_range",
     """SELECT sku_id, location_code, strftime(occurred_at, '%Y-%m-%d') AS date,

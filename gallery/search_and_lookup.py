@@ -32,6 +32,18 @@ def event_calendar(v):
     return l.event_calendar(keys(v), v.calendar, 60, AS_OF)
 
 
+@query(
+    "event_calendar_by_location",
+    f"""SELECT b.location_code, c.event_id, c.event_name, strftime(c.start_date, '%Y-%m-%d') AS start_date,
+       strftime(c.end_date, '%Y-%m-%d') AS end_date, c.expected_demand_impact
+       FROM (SELECT DISTINCT location_code FROM v_balance) b JOIN v_calendar c ON c.location_code = b.location_code OR c.location_code = 'ALL'
+       WHERE c.start_date <= CAST({T} AS DATE) + 60 AND c.end_date >= CAST({T} AS DATE)""",
+    "v_balance v_calendar",
+)
+def event_calendar_by_location(v):
+    return l.calendar_of_locations(keys(v), v.calendar, 60, AS_OF)
+
+
 SIGNAL_SQL = f"""SELECT b.sku_id, b.location_code, s.signal_id, s.signal_type, s.sku_id AS signal_sku,
    strftime(s.reported_at, '{STAMP}') AS reported_at, strftime(s.resolved_at, '{STAMP}') AS resolved_at
    FROM {{keys}} b JOIN v_signal s ON (s.location_code = b.location_code OR s.location_code = 'ALL') {{sku}}
