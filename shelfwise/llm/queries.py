@@ -87,4 +87,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# A hexadecimal digit in four bits, by way of a letter that is neither digit nor bit.
+_BITS = "translate(sha1(payload), '0123456789abcdef', 'ghijklmnopqrstuv')"
+for _n, _letter in enumerate("ghijklmnopqrstuv"):
+    _BITS = f"replace({_BITS}, '{_letter}', '{_n:04b}')"
+
+SQL: dict[str, str] = {
+    "op4_jaccard_join": rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+same AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM same JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, least(w.doc_id, coalesce(r.least, w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) r ON r.x = w.doc_id""",
+    "op5_warc": f"""
+WITH bits AS (SELECT page_id, payload, {_BITS} AS b FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages)),
+chars AS (SELECT page_id, g, substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+      + 16 * CAST(b[5 * g + 1] AS INTEGER) + 8 * CAST(b[5 * g + 2] AS INTEGER) + 4 * CAST(b[5 * g + 3] AS INTEGER)
+      + 2 * CAST(b[5 * g + 4] AS INTEGER) + CAST(b[5 * g + 5] AS INTEGER), 1) AS c
+    FROM bits, range(32) t(g)),
+digests AS (SELECT page_id, string_agg(c, '' ORDER BY g) AS payload_digest FROM chars GROUP BY page_id),
+named AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest, max(page_id) OVER (PARTITION BY payload_digest) AS original
+    FROM bits JOIN digests USING (page_id))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to FROM named""",
+    "op10_mtree_top_k": """
+WITH parts AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+usable AS (SELECT vec_id FROM parts GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+whole AS (SELECT vec_id, i, CAST(floor(256 * x) AS BIGINT) AS q FROM parts WHERE vec_id IN (SELECT vec_id FROM usable)),
+scores AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.q * b.q) AS BIGINT) AS score
+    FROM whole a JOIN whole b ON a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
