@@ -10,10 +10,9 @@ A text with a special token's string, whose neighbours are split differently, is
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
-import numpy as np
-
 from shelfwise.llm.common import held
 
 _CHUNKS = re.compile(r" (?=\S)")
@@ -27,6 +26,10 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Cache(dict):
     """Chunk without its leading space -> little-endian ids; None where a chunk isn't a chunk."""
 
@@ -62,18 +65,18 @@ class ChunkEncoder:
         # A vocabulary of lower-case words: texts are lower-cased first, so that fewer different words are met.
         self.lower = '"Lowercase"' in self.tokenizer.to_str()[:4096]
         self.letters = byte_letters()
+        self.space = "" if self.lower else chr(self.letters[32])
         self.cache = _Cache(self, entries)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, letters: str) -> bytes:
         """Ids of a space and letters."""
         if self.lower and (letters != letters.lower() or not unicodedata.is_normalized("NFC", letters)):
             return self.whole(" " + letters)
-        spelled = letters if self.lower else " " + letters
-        tokens = self.model.tokenize(spelled.encode("utf-8").decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        spelled = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.model.tokenize(self.space + spelled)])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
