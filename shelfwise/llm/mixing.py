@@ -40,7 +40,7 @@ def frame_schedule(lines: DataFrame, frame: int) -> DataFrame:
             acc -> acc.picks))""")
 
 
-def capped_weights(sizes: list[tuple[str, int]], total: int, max_share: float) -> dict[str, Fraction]:
+def capped_weights(sizes: list[tuple[str, int]], total: int, max_share: float | Fraction) -> dict[str, Fraction]:
     """Weights of the sources that a cap binds. sizes: the largest sources, largest first, of `total` in all.
 
     A capped source weighs max_share; the others share what is left in proportion to their size, and the cap
@@ -61,7 +61,8 @@ def _lines(sizes: DataFrame, weights: dict[str, float] | None, max_share: float,
         asked = [k for k, v in weights.items() if v > 0]
         found = {r["source"]: r["size"] for r in sizes.filter(F.col("source").isin(asked)).collect()}
         return [(k, found[k], Fraction(weights[k])) for k in sorted(found)]
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    total, n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    max_share = max(Fraction(max_share), Fraction(1, max(1, n)))  # n sources can't all stay below 1 / n
     top = [(r["source"], r["size"]) for r in sizes.orderBy(F.desc("size"), "source").limit(max_sources - 1).collect()]
     capped = capped_weights(top, total, max_share)
     rest = total - sum(size for source, size in top if source in capped)
@@ -97,8 +98,9 @@ def mix(
     """Every row of docs with the place it has in the mix.
 
     weights: target weight of each source (others stay out); without them, a source weighs what its bytes
-    do, but at most max_share (the excess goes to the others in proportion). The mix ends where the
-    source that is scarcest against its weight has been used up once, so no row is repeated.
+    do, but at most max_share (the excess goes to the others in proportion); of n sources one may always have
+    1 / n. The mix ends where the source that is scarcest against its weight has been used up once, so no row is
+    repeated; with max_share=1 that is all sources, and every row has a place.
 
     Adds struct `mix`: in_mix (false: held back for a later mix, the other fields are null), slot (from 0;
     one block each), block (of its source, from 0), release, deadline (of the block, in slots) and place
