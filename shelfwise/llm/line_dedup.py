@@ -1,7 +1,8 @@
 """Substring deduplication by hashing lines, paragraphs, sentences or clauses.
 
 Each text is cut into units; a unit's normal form (lower case, single spaces) is digested. Of all units with
-one digest, the earliest by (doc_id, place in the text) stays; repeats are removed, as passages of a stated least size.
+one digest, the earliest by (doc_id, place in the text) stays; repeats are removed, as passages of a stated least size,
+and whole lines and paragraphs of any size where the caller asks for it.
 
 Documents are dealt into buckets. A bucket names each digest once, with its earliest place there, so that a
 line in a third of all documents is as many rows as there are buckets, not documents. The digest's owner is
@@ -43,13 +44,25 @@ def units(text: str, unit: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
-def digest(words: list[str]) -> tuple[int, int]:
-    """Digest of a unit's normal form."""
-    whole = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+def digest(words: list[str], seed: int = 0) -> tuple[int, int]:
+    """Digest of a unit's normal form; units of another seed are never equal."""
+    whole = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), seed)
     low, high = whole & ((1 << 64) - 1), whole >> 64
     return low - (1 << 64) if low >> 63 else low, high - (1 << 64) if high >> 63 else high
 
 
+def whole_units(text: str, spans: list[tuple[int, int]], words: list[list[str]], whole: tuple[str, ...]):
+    """(first, last + 1, digest) of each unit of the kinds in `whole`, as ranges of the smaller units `spans`.
+
+    Units of several kinds that hold the same spans are one; a line and a paragraph of one normal form are equal.
+    """
+    ends = {b: k + 1 for k, (_, b) in enumerate(spans)}
+    ranges = {(ends.get(a, 0), ends[b]) for kind in whole for a, b in units(text, kind)}
+    for i, j in sorted(ranges):
+        if held := [w for k in range(i, j) for w in words[k]]:
+            yield i, j, digest(held, 1)
+
+
 def _in_order(table: pa.Table) -> tuple[list[int], pa.Table]:
     """Ranks and rows of a bucket, by doc_id (null last); equal ids by a hash of the text."""
     ranks = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
@@ -57,16 +70,20 @@ def _in_order(table: pa.Table) -> tuple[list[int], pa.Table]:
     return [ranks[k] for k in order], table.take(pa.array(order, pa.int64()))
 
 
-def _firsts(unit: str):
+def _firsts(unit: str, whole: tuple[str, ...]):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         ranks, table = _in_order(table)
         seen: dict[tuple[int, int], int] = {}
         for rank, text in zip(ranks, table.column("text")):
             text = text.as_py() or ""
-            for a, b in units(text, unit):
-                if words := text[a:b].lower().split():
-                    seen.setdefault(digest(words), rank)
+            spans = units(text, unit)
+            words = [text[a:b].lower().split() for a, b in spans]
+            for held in words:
+                if held:
+                    seen.setdefault(digest(held), rank)
+            for _, _, d in whole_units(text, spans, words, whole):
+                seen.setdefault(d, rank)
         h = np.array(list(seen), np.int64).reshape(-1, 2)
         return pa.table(
             [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(len(h), bucket, np.int32)), pa.array(list(seen.values()), pa.int64())],
@@ -76,14 +93,19 @@ def _firsts(unit: str):
     return run
 
 
-def removed_units(text: str, spans: list[tuple[int, int]], min_words: int, foreign: set, seen: set) -> list[bool]:
-    """Which units go: runs of repeats (owned elsewhere or seen before) that hold min_words words or more together."""
+def removed_units(
+    text: str, spans: list[tuple[int, int]], min_words: int, foreign: set, seen: set, whole: tuple[str, ...] = ()
+) -> list[bool]:
+    """Which units go: runs of repeats (owned elsewhere or seen before) that hold min_words words or more together.
+
+    So do those of a repeated unit of the kinds in `whole`, whatever its size.
+    """
     gone, start, held = [False] * len(spans), 0, 0
-    for k, (a, b) in enumerate(spans):
-        words = text[a:b].lower().split()
-        d = digest(words) if words else None
+    words = [text[a:b].lower().split() for a, b in spans]
+    for k, own in enumerate(words):
+        d = digest(own) if own else None
         if d is None or d in foreign or d in seen:
-            held += len(words)  # white space alone goes with its neighbours
+            held += len(own)  # white space alone goes with its neighbours
             continue
         seen.add(d)
         if held >= min_words:
@@ -91,6 +113,10 @@ def removed_units(text: str, spans: list[tuple[int, int]], min_words: int, forei
         start, held = k + 1, 0
     if held >= min_words:
         gone[start:] = [True] * (len(spans) - start)
+    for i, j, d in whole_units(text, spans, words, whole):
+        if d in foreign or d in seen:
+            gone[i:j] = [True] * (j - i)
+        seen.add(d)
     return gone
 
 
@@ -104,7 +130,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _cut(unit: str, min_words: int, schema: pa.Schema):
+def _cut(unit: str, min_words: int, whole: tuple[str, ...], schema: pa.Schema):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -115,10 +141,10 @@ def _cut(unit: str, min_words: int, schema: pa.Schema):
         for text in docs.column("text"):
             text = text.as_py()
             spans = units(text or "", unit)
-            gone = removed_units(text or "", spans, min_words, foreign, seen)
+            gone = removed_units(text or "", spans, min_words, foreign, seen, whole)
             stays = [s for s, g in zip(spans, gone) if not g]
-            whole = len(stays) == len(spans)
-            texts.append(text if whole else "".join(text[a:b] for a, b in stays))
+            intact = len(stays) == len(spans)
+            texts.append(text if intact else "".join(text[a:b] for a, b in stays))
             kept.append(_merged(stays))
             cut.append(_merged([s for s, g in zip(spans, gone) if g]))
             counts.append(len(spans))
@@ -130,14 +156,15 @@ def _cut(unit: str, min_words: int, schema: pa.Schema):
     return run
 
 
-def dedup_units(docs: DataFrame, unit: str = "clause", min_words: int = 15) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "clause", min_words: int = 15, whole: tuple[str, ...] = ()) -> DataFrame:
     """Every row with `text` cut, and n_units, n_removed, kept_spans and removed_spans (offsets in the original).
 
     Of units with one normal form the earliest by doc_id (null last; rows of one id in no stated order), then by
     place, stays, in its own text too; the others go where they are part of a passage: units in a row, all
     repeats, of min_words words or more together. A single short repeat, such as a greeting or a heading, says
     nothing and stays; min_words=1 removes it as well. The smaller the unit, the less of a passage that starts and
-    ends inside units escapes. Null text stays null and empty stays empty, with no
+    ends inside units escapes. `whole` names larger kinds ("line", "paragraph") of which each repeat goes, of any
+    size; a paragraph wrapped otherwise is the same paragraph. n_units and n_removed count `unit`. Null text stays null and empty stays empty, with no
     units. The other columns come back unchanged, except ones named like the four added, which are replaced.
     """
     spark = docs.sparkSession
@@ -152,7 +179,7 @@ def dedup_units(docs: DataFrame, unit: str = "clause", min_words: int = 15) -> D
     )
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(buckets)).cast("int"))
     firsts = rows.select("bucket", "doc_id", "row_id", "text").groupBy("bucket").applyInArrow(
-        _firsts(unit), "h1 long, h2 long, bucket int, rank long"
+        _firsts(unit, whole), "h1 long, h2 long, bucket int, rank long"
     )
     # At most one row a bucket for each digest.
     of_digest = Window.partitionBy("h1", "h2")
@@ -169,7 +196,7 @@ def dedup_units(docs: DataFrame, unit: str = "clause", min_words: int = 15) -> D
     cut = (
         rows.groupBy("bucket")
         .cogroup(told.groupBy("bucket"))
-        .applyInArrow(_cut(unit, min_words, to_arrow_schema(schema)), schema)
+        .applyInArrow(_cut(unit, min_words, whole, to_arrow_schema(schema)), schema)
     )
     ordered = [F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added]
     return cut.select(*ordered, "n_units", "n_removed", "kept_spans", "removed_spans")
