@@ -23,12 +23,27 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from shelfwise.llm.common import ship, shuffle_partitions, text_bytes
 
+# Letters of scripts written without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, ideographs.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+# Marks that end a sentence or clause without a space after them: full-width, Indic, Arabic, Ethiopic, Armenian, Burmese, Khmer, Tibetan.
+_STOPS = "\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4\u1362\u1367\u0589\u104b\u17d4\u17d5\u0f0d\u0f0e\u203c\u2047-\u2049"
+_PAUSES = "\uff0c\u3001\uff64\uff1b\uff1a\u060c\u061b\u1363-\u1366\u104a"
+_CLOSING = "\u300d\u300f\uff09\u3011\u300b\u3009\uff63\u201d\u2019\u00bb)\\]\"'"
+
+
+def _marks(spaced: str, other: str) -> re.Pattern:
+    """Ends of units: white space after a mark or between two letters of unspaced scripts, other marks, line breaks."""
+    after = rf"(?:(?<=[{other}])|(?<=[{other}][{_CLOSING}]))(?![\s{other}{_CLOSING}])"
+    return re.compile(rf"(?<=[{spaced}{other}])\s+|(?<=[{_UNSPACED}])\s+(?=[{_UNSPACED}])|\s*\n\s*|{after}")
+
+
 BOUNDARIES = {
     "line": re.compile(r"\s*\n\s*"),
     "paragraph": re.compile(r"\s*\n[^\S\n]*\n\s*"),
-    "sentence": re.compile(r"(?<=[.!?])\s+|\s*\n\s*"),
-    "clause": re.compile(r"(?<=[.!?,;:])\s+|\s*\n\s*"),
+    "sentence": _marks(".!?", _STOPS),
+    "clause": _marks(".!?,;:", _STOPS + _PAUSES),
 }
+_UNSPACED_LETTERS = re.compile(f"[{_UNSPACED}]")
 _LAST = (1 << 63) - 1
 
 _FIRST = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("bucket", pa.int32()), ("rank", pa.int64())])
@@ -44,6 +59,11 @@ def units(text: str, unit: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
+def size_in_words(words: list[str]) -> int:
+    """Words between spaces; two letters of scripts without spaces, or 64 other characters in a row, count as one too."""
+    return sum(1 if len(w) < 4 else max(1, len(w) // 64, 0 if w.isascii() else len(_UNSPACED_LETTERS.findall(w)) // 2) for w in words)
+
+
 def digest(words: list[str], seed: int = 0) -> tuple[int, int]:
     """Digest of a unit's normal form; units of another seed are never equal."""
     whole = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), seed)
@@ -105,7 +125,7 @@ def removed_units(
     for k, own in enumerate(words):
         d = digest(own) if own else None
         if d is None or d in foreign or d in seen:
-            held += len(own)  # white space alone goes with its neighbours
+            held += size_in_words(own)  # white space alone goes with its neighbours
             continue
         seen.add(d)
         if held >= min_words:
@@ -161,7 +181,7 @@ def dedup_units(docs: DataFrame, unit: str = "clause", min_words: int = 15, whol
 
     Of units with one normal form the earliest by doc_id (null last; rows of one id in no stated order), then by
     place, stays, in its own text too; the others go where they are part of a passage: units in a row, all
-    repeats, of min_words words or more together. A single short repeat, such as a greeting or a heading, says
+    repeats, of min_words words or more together (two letters a word in scripts without spaces). A single short repeat, such as a greeting or a heading, says
     nothing and stays; min_words=1 removes it as well. The smaller the unit, the less of a passage that starts and
     ends inside units escapes. `whole` names larger kinds ("line", "paragraph") of which each repeat goes, of any
     size; a paragraph wrapped otherwise is the same paragraph. n_units and n_removed count `unit`. Null text stays null and empty stays empty, with no
