@@ -3,7 +3,8 @@
 A document is a row of words. Of its k-word windows those are chosen whose smallest s-word window (by
 hash) stands at the start or the end. Whether a window is chosen depends on its own words alone, not on
 what surrounds it, so an edit moves only the anchors that touch it, and the same passage has the same
-anchors in every document, at the same distances from each other.
+anchors in every document, at the same distances from each other. Scripts without spaces are rows of letters.
+The fingerprint of a short text has anchors of its characters besides, so that an edit leaves some of them.
 """
 
 from __future__ import annotations
@@ -14,11 +15,25 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import shuffle_partitions
 
 K, S = 5, 2
+SHORT = 128  # characters; shorter texts have anchors of characters too
+_UNSPACED = r"[\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{3005}-\x{3007}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}]"
 
 
 def words(text: Column) -> Column:
-    """Runs of characters between white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """Runs of characters between white space; letters of scripts without spaces, and of runs over 32, one by one."""
+    text = F.coalesce(text, F.lit(""))
+    spaced = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    apart = F.filter(F.split(F.regexp_replace(text, f"({_UNSPACED})", " $1 "), r"\s+"), lambda w: w != "")
+    single = F.flatten(F.transform(apart, lambda w: F.when(F.length(w) > 32, F.split(w, "")).otherwise(F.array(w))))
+    return F.when(text.rlike(rf"{_UNSPACED}|\S{{33}}"), F.filter(single, lambda w: w != "")).otherwise(spaced)
+
+
+def short_hashes(text: Column) -> Column:
+    """Hashes of the characters of a short text, white space runs as one; none of a longer one."""
+    text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when((F.length(text) < SHORT) & (text != ""), F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.hash(c))).otherwise(
+        F.array().cast("array<int>")
+    )
 
 
 def word_hashes(text: Column) -> Column:
@@ -41,7 +56,8 @@ def small_hashes(hashes: Column, s: int = S) -> Column:
 def anchors(hashes: Column, small: Column, k: int = K, s: int = S) -> Column:
     """array<struct<pos, hash>>, by position: the closed syncmers, `hash` of their k words.
 
-    A text of fewer than k words has one anchor, of all its words; one without words has none.
+    A text of fewer than k words has one anchor, of all its words; one without words or such a window has none
+    here (a fingerprint always has one).
     """
     last, width = F.size(hashes) - k, k - s + 1
 
@@ -70,13 +86,25 @@ def anchor_hashes(hashes: Column, small: Column, k: int = K, s: int = S) -> Colu
     found = F.transform(
         F.filter(F.sequence(F.lit(0), last), chosen), lambda i: F.hash(*[F.get(hashes, i + d) for d in range(k)])
     )
-    return F.when(F.size(hashes) == 0, F.array().cast("array<int>")).when(
-        last < 0, F.array(F.hash(hashes))
-    ).otherwise(F.array_distinct(found))
+    # Bound once by the outer array.
+    some = F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, F.array(F.hash(hashes))).otherwise(F.array_distinct(f)))[0]
+    return F.when(F.size(hashes) == 0, F.array().cast("array<int>")).when(last < 0, F.array(F.hash(hashes))).otherwise(some)
+
+
+def with_print(docs: DataFrame, text: Column, into: str, k: int = K, s: int = S) -> DataFrame:
+    """docs with its column `into`: distinct anchors of the words of text and, if it is short, of its characters.
+
+    Column by column, so that windows around it keep their ranges and no hash is worked out twice.
+    """
+    rows = docs.withColumn("_h", word_hashes(text)).withColumn("_g", small_hashes(F.col("_h"), s))
+    rows = rows.withColumn("_c", short_hashes(text)).withColumn("_d", small_hashes(F.col("_c"), s))
+    of_words, of_characters = anchor_hashes(F.col("_h"), F.col("_g"), k, s), anchor_hashes(F.col("_c"), F.col("_d"), k, s)
+    both = F.when(F.size("_c") == 0, of_words).otherwise(F.array_distinct(F.concat(of_words, of_characters)))
+    return rows.withColumn(into, both).drop("_h", "_g", "_c", "_d")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors among all anchors of both fingerprints, 0 to 1; two empty fingerprints are alike (1)."""
+    """Shared anchors among all anchors of both fingerprints, 0 to 1; two empty fingerprints (texts without words) are alike (1)."""
     shared = F.size(F.array_intersect(a, b))
     together = F.size(a) + F.size(b) - shared
     return F.when(together == 0, F.lit(1.0)).otherwise(shared / together)
@@ -88,9 +116,8 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     Equal texts have equal fingerprints, on any machine. All other columns stay; one named `into` is replaced.
     """
     kept = [c for c in docs.columns if c != into]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), word_hashes(F.col(f"`{text}`")).alias("h"))
-    rows = rows.select("row", "h", small_hashes(F.col("h"), s).alias("g"))
-    return rows.select("row.*", anchor_hashes(F.col("h"), F.col("g"), k, s).alias(into))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("_text"))
+    return with_print(rows, F.col("_text"), "_print", k, s).select("row.*", F.col("_print").alias(into))
 
 
 def anchor_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
@@ -145,12 +172,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "bucket", "copy", "key", "text", "doc_id", n.cast("long").alias("n_chars"),
         F.when(~F.col("copy"), edited).alias("edited"),
     )
-    # Column by column, so that the second window sees the ranges of the first and nothing is dealt again.
     prints = both
     for text, into in (("text", "fingerprint"), ("edited", "edited_fingerprint")):
-        prints = prints.withColumn("_h", word_hashes(F.col(text)))
-        prints = prints.withColumn("_g", small_hashes(F.col("_h")))
-        prints = prints.withColumn(into, anchor_hashes(F.col("_h"), F.col("_g"))).drop("_h", "_g")
+        prints = with_print(prints, F.col(text), into)
     order = Window.partitionBy("bucket").orderBy("copy", "key", "text")
     last = prints.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).filter(~F.col("copy"))
     return last.select(
