@@ -30,12 +30,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir; only where it is unset on one machine (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shelfwise-shared-"))
         base = spark.sparkContext.getCheckpointDir()
-    return base if "://" in base or base.startswith("file:") else f"file://{base}"
+    # A path without a scheme lies in the cluster's default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

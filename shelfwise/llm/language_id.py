@@ -7,13 +7,14 @@ probability, and that mean is the score. Word labels are kept in the general int
 texts show where they switch.
 
 The model is fitted on a bounded sample (`documents` texts a language at most on average, drawn by a hash of
-the id, and of each a window of `window` words). Training texts bear one language, so chains that switch are
+id and text, and of each a window of `window` words). Training texts bear one language, so chains that switch are
 made by joining spans of texts in different languages. All of a text is read when it is labelled.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -126,7 +127,7 @@ def marginals(logits: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return p / p.sum(1, keepdims=True), alpha, beta, e, (block, step, mask, before)
 
 
-def training_chains(texts: list[list[str]], labels: list[int], rng: np.random.Generator, size: int = 48):
+def training_chains(texts: list[np.ndarray], labels: list[int], rng: np.random.Generator, size: int = 48):
     """Chains of `size` words with a label each: spans of texts in a row, so that some chains switch language."""
     spans = []
     for words, label in zip(texts, labels):
@@ -136,59 +137,77 @@ def training_chains(texts: list[list[str]], labels: list[int], rng: np.random.Ge
             spans.append((words[at : at + n], label))
             at += n
     order = rng.permutation(len(spans))
-    flat = [w for k in order for w in spans[k][0]]
-    gold = np.array([spans[k][1] for k in order for _ in spans[k][0]], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *(spans[k][0] for k in order)])
+    gold = np.repeat(np.array([spans[k][1] for k in order], np.int32), [len(spans[k][0]) for k in order])
     cut = np.arange(0, len(flat), size)
     lengths = np.diff(np.append(cut, len(flat)))
     return flat, gold, lengths
 
 
-def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 3) -> Model:
-    """Maximum likelihood with a small penalty, by gradient steps of adapted size (Adam) over the whole sample."""
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], array, array]:
+    """Words as numbers text by text, the features of all different words in a row, and how many each word has."""
+    types: dict[str, int] = {}
+    numbers, listed, sizes = [], array("i"), array("i")
+    for text in texts:
+        words = words_of(text)
+        for w in words:
+            if w not in types:
+                types[w] = len(types)
+                found = features(w)
+                listed.extend(found)
+                sizes.append(len(found))
+        numbers.append(np.fromiter((types[w] for w in words), np.int32, len(words)))
+    return numbers, listed, sizes
+
+
+def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 3, slice_chains: int = 512) -> Model:
+    """Maximum likelihood with a small penalty, by gradient steps of adapted size (Adam) over the whole sample.
+
+    A step's gradient is summed over slices of `slice_chains` chains, which bounds its memory, not what it is.
+    """
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
-    flat, gold, lengths = training_chains(words, [languages.index(x) for x in langs], rng)
-    L = len(languages)
+    numbers, listed, sizes = _numbered(texts)
+    of, gold, lengths = training_chains(numbers, [languages.index(x) for x in langs], rng)
+    del numbers
+    L, n_types, total = len(languages), len(sizes), len(of)
     model = Model(languages, np.zeros((BUCKETS, L)), np.zeros((L, L)), np.zeros(L))
-    if not flat:
+    if not total:
         return model
-    types = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-    of = np.array([types[w] for w in flat], np.int64)
-    listed = [features(w) for w in types]
-    owner = np.repeat(np.arange(len(listed)), [len(f) for f in listed])
-    feature = np.array([x for f in listed for x in f], np.int64)
-    share = 1 / np.sqrt(np.array([len(f) for f in listed], np.float64))[owner]
+    feature, sizes = np.frombuffer(listed, np.int32), np.frombuffer(sizes, np.int32)
+    owner = np.repeat(np.arange(n_types, dtype=np.int32), sizes)
+    scale = 1 / np.sqrt(sizes.astype(np.float64))
     model.transitions = np.eye(L) * 2.0
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inner = np.ones(len(flat), bool)
-    inner[starts] = False
-    seen = np.zeros((L, L))
-    np.add.at(seen, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
-    onehot = np.eye(L)[gold]
+    ends = np.cumsum(lengths)
     params = [model.weights, model.transitions, model.start]
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
     for step in range(1, rounds + 1):
-        logits = np.zeros((len(types), L))
-        for lab in range(L):
-            logits[:, lab] = np.bincount(owner, model.weights[feature, lab] * share, len(types))
-        p, alpha, beta, e, (block, place, _, _) = marginals(logits[of], lengths, model.transitions, model.start, int(lengths.max()))
-        # Pair probabilities of neighbours, chain by chain (a chain is one block here).
-        at = np.flatnonzero(inner)
-        left = alpha[block[at], place[at] - 1]
-        right = e[block[at], place[at]] * beta[block[at], place[at]]
-        pair = left[:, :, None] * np.exp(model.transitions - model.transitions.max())[None] * right[:, None, :]
-        expected = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        gap = np.zeros((len(types), L))
+        logits = np.empty((n_types, L))
         for lab in range(L):
-            gap[:, lab] = np.bincount(of, (onehot - p)[:, lab], len(types))
-        slope = np.zeros_like(model.weights)
+            logits[:, lab] = np.bincount(owner, model.weights[:, lab][feature], n_types) * scale
+        gap, turn, begin = np.zeros((n_types, L)), np.zeros((L, L)), np.zeros(L)
+        A = np.exp(model.transitions - model.transitions.max())
+        for a in range(0, len(lengths), slice_chains):
+            some = lengths[a : a + slice_chains]
+            part = slice(int(ends[a] - lengths[a]), int(ends[a + len(some) - 1]))
+            words, label = of[part], gold[part]
+            p, alpha, beta, e, (block, place, _, _) = marginals(logits[words], some, model.transitions, model.start, int(some.max()))
+            error = np.eye(L)[label] - p
+            # Pair probabilities of neighbours, chain by chain (a chain is one block here).
+            at = np.flatnonzero(place)
+            left = alpha[block[at], place[at] - 1]
+            right = e[block[at], place[at]] * beta[block[at], place[at]]
+            pair = left[:, :, None] * A[None] * right[:, None, :]
+            turn -= (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            np.add.at(turn, (label[at - 1], label[at]), 1)
+            begin += error[place == 0].sum(0)
+            for lab in range(L):
+                gap[:, lab] += np.bincount(words, error[:, lab], n_types)
+        gap *= scale[:, None]
+        slope = np.empty_like(model.weights)
         for lab in range(L):
-            slope[:, lab] = np.bincount(feature, gap[owner, lab] * share, BUCKETS)
-        slopes = [
-            slope / len(flat) - 1e-6 * model.weights, (seen - expected) / len(flat) - 1e-4 * model.transitions,
-            (onehot - p)[starts].sum(0) / len(flat) - 1e-4 * model.start,
-        ]
+            slope[:, lab] = np.bincount(feature, gap[:, lab][owner], BUCKETS)
+        slopes = [slope / total - 1e-6 * model.weights, turn / total - 1e-4 * model.transitions, begin / total - 1e-4 * model.start]
         for x, g, (m, v) in zip(params, slopes, moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -242,25 +261,32 @@ def label_texts(model: Model, known: _Emissions, texts: list[str | None]) -> Ite
             yield w, p[end - len(w) : end]
 
 
-def training_sample(docs: DataFrame, documents: int = 400, window: int = 300, seed: int = 17) -> tuple[list[str], list[str]]:
-    """Texts and languages of about `documents` rows a language at most, drawn by hash; of each text, a window of words.
+def training_sample(
+    docs: DataFrame, documents: int = 400, window: int = 300, seed: int = 17, characters: int = 6000, max_languages: int = 1000
+) -> tuple[list[str], list[str]]:
+    """Texts and languages of about `documents` texts a language at most, drawn by hash; of each, a window of words.
 
-    The window's place is drawn too. This bounds what reaches the driver: documents x languages x window words,
-    whatever the input. At most 200 languages are learned, the most frequent.
+    The window's place is drawn too. Rows of one id and text are one text, and so are equal windows of a language.
+    A window ends after `characters` code points, also in text without spaces, so what reaches the driver is at most
+    documents x languages x characters, whatever the input. More than max_languages languages are an error: none is
+    left out silently.
     """
     rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"over {max_languages} languages; raise max_languages, or check the labels")
     if not counts:
         return [], []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.xxhash64("doc_id", "text", F.lit(seed))
+    draw = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(documents / r["count"]))])
-    chosen = rows.filter(draw < F.element_at(share, F.col("lang")))
+    chosen = rows.withColumn("drawn", drawn).filter(draw < F.element_at(share, F.col("lang")))
     parts = F.split("text", r"\s+")
-    start = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.size("w") - window, F.lit(0)) + 1).cast("int")
-    cut = chosen.select("lang", "doc_id", parts.alias("w")).select(
-        "lang", F.array_join(F.slice("w", start + 1, F.lit(window)), " ").alias("text"), "doc_id"
+    start = F.pmod(F.xxhash64("drawn"), F.greatest(F.size("w") - window, F.lit(0)) + 1).cast("int")
+    cut = chosen.select("lang", "drawn", parts.alias("w")).select(
+        "lang", "drawn", F.substring(F.array_join(F.slice("w", start + 1, F.lit(window)), " "), 1, characters).alias("text")
     )
-    got = sorted((r["lang"], r["doc_id"] or 0, r["text"]) for r in cut.collect())
+    got = sorted((r["lang"], r["drawn"], r["text"]) for r in cut.groupBy("lang", "text").agg(F.min("drawn").alias("drawn")).collect())
     return [t for _, _, t in got], [lang for lang, _, _ in got]
 
 
