@@ -3,8 +3,11 @@
 Which samples count depends on the one accepted before, so the fold is sequential along a key.
 It still runs split: ticks are range-partitioned by (key, time), so a hot key covers many
 partitions. Each partition folds its stretch once for every way the sampling can enter it (the
-ticks of its first minute), streaming over Arrow batches; a stretch is then a small table from
-entry tick to exit tick and an affine change of the average, and a key's stretches are chained.
+ticks of its first minute), streaming over Arrow batches; a stretch is then a map, one row an entry,
+from entry tick to exit tick and an affine change of the average. A key inside one partition is
+finished there. Only keys that touch a partition's edge go on: the maps of neighbouring partitions
+are composed pairwise in rounds that halve their number. Entries stay rows, ordered by a window
+that can spill; none are gathered, however many ticks a minute has.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import recent_rate_step
@@ -32,9 +35,11 @@ NEW_WEIGHT = 0.35
 # End of fixed values.
 
 _STRETCH = (
-    "sku_id int, location_code string, start_us bigint, entry_us bigint, exit_us bigint, "
+    "sku_id int, location_code string, part int, entry_us bigint, exit_us bigint, "
     "samples bigint, scale double, shift double, fresh double"
 )
+#: The part of stretches that hold all ticks of their keys.
+_WHOLE = -1
 
 
 class _Stretch:
@@ -81,16 +86,16 @@ class _Stretch:
                 before == 0.0, taken, NEW_WEIGHT * taken + (1.0 - NEW_WEIGHT) * before
             )
 
-    def columns(self) -> list[np.ndarray]:
+    def columns(self, part: int) -> list[np.ndarray]:
         n = len(self.entry)
         return [
             np.full(n, self.key[0], np.int32), np.full(n, self.key[1], object),
-            np.full(n, self.start, np.int64), self.entry, self.last, self.count,
+            np.full(n, part, np.int32), self.entry, self.last, self.count,
             self.scale, self.shift, self.fresh,
         ]
 
 
-_NAMES = ["sku_id", "location_code", "start_us", "entry_us", "exit_us", "samples", "scale", "shift", "fresh"]
+_NAMES = ["sku_id", "location_code", "part", "entry_us", "exit_us", "samples", "scale", "shift", "fresh"]
 
 
 def _whole_keys(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -123,7 +128,7 @@ def _whole_keys(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> li
         )
     sku, location = batch["sku_id"].to_numpy(), batch["location_code"].to_numpy(object)
     return [
-        sku[starts], location[starts], times[begin], times[begin], times[place], count, scale, shift, fresh,
+        sku[starts], location[starts], np.full(len(starts), _WHOLE, np.int32), times[begin], times[place], count, scale, shift, fresh,
     ]
 
 
@@ -132,7 +137,7 @@ def _frame(parts: list[list[np.ndarray]]) -> pd.DataFrame:
 
 
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current = None
+    current, part = None, TaskContext.get().partitionId()
     for batch in batches:
         if batch.empty:
             continue
@@ -146,11 +151,11 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Only the first key of a partition can have ticks in the partition before.
             current = _Stretch(first_key, True, int(us[0]))
         elif current.key != first_key:
-            finished.append(current.columns())
+            finished.append(current.columns(part if current.may_continue else _WHOLE))
             current = _Stretch(first_key, False, int(us[0]))
         current.add(us[: ends[0]], rate[: ends[0]])
         if len(starts) > 1:
-            finished.append(current.columns())
+            finished.append(current.columns(part if current.may_continue else _WHOLE))
             if len(starts) > 2:
                 finished.append(_whole_keys(batch, starts[1:-1], ends[1:-1]))
             # The last key may go on in the next batch.
@@ -160,7 +165,7 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if finished:
             yield _frame(finished)
     if current is not None:
-        yield _frame([current.columns()])
+        yield _frame([current.columns(part)])
 
 
 def recent_rate_ewma(ticks: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -174,39 +179,61 @@ def recent_rate_ewma(ticks: DataFrame, partitions: int | None = None) -> DataFra
         ordered.repartitionByRange(partitions, *columns) if partitions else ordered.repartitionByRange(*columns)
     )
     stretches = spread.sortWithinPartitions(*columns).mapInPandas(_fold_partition, _STRETCH)
-    per_stretch = stretches.groupBy(*KEY, "start_us").agg(
-        F.array_sort(
-            F.collect_list(F.struct("entry_us", "exit_us", "samples", "scale", "shift", "fresh"))
-        ).alias("entries")
-    )
-    per_key = per_stretch.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("start_us", "entries"))).alias("stretches")
+    most = partitions or int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    maps = stretches.filter(F.col("part") != _WHOLE)
+    for _ in range((most - 1).bit_length()):
+        maps = _composed(maps)
+    # The first sample of a key is its first tick: the earliest entry of what is composed of all its stretches.
+    value = F.struct("exit_us", "samples", "fresh")
+    split = maps.groupBy(*KEY).agg(F.min_by(value, "entry_us").alias("_s")).select(*KEY, "_s.*")
+    whole = stretches.filter(F.col("part") == _WHOLE).select(*KEY, "exit_us", "samples", "fresh")
+    return whole.unionByName(split).select(
+        *KEY,
+        F.col("fresh").alias("recent_rate_ewma"),
+        "samples",
+        F.timestamp_micros("exit_us").alias("last_sample_at"),
     )
-    none_yet = F.struct(
-        F.lit(None).cast("long").alias("last_us"), F.lit(0).cast("long").alias("samples"),
-        F.lit(0.0).alias("ewma"),
+
+
+def _composed(maps: DataFrame) -> DataFrame:
+    """Maps of parts 2i and 2i + 1 of a key as one map of part i; a map without a neighbour stays what it is.
+
+    A left entry goes on at the right part's first entry that is a gap or more behind the left exit; if there is
+    none, the left exit is the exit of both. A sample before both parts blocks a minute at most, so right entries
+    matter by themselves only where the left ones span less.
+    """
+    pair = [*KEY, "_pair"]
+    left = F.col("part") % 2 == 0
+    events = maps.select(
+        "*", (F.col("part") / 2).cast("int").alias("_pair"), left.alias("_left"),
+        F.when(left, F.col("exit_us") + SAMPLE_GAP_US).otherwise(F.col("entry_us")).alias("_at"),
+    )
+    # From the last to the first instant; a right entry comes before the left exits that just reach it.
+    back = Window.partitionBy(*pair).orderBy(F.desc("_at"), "_left").rowsBetween(Window.unboundedPreceding, 0)
+    whole, left_entry = Window.partitionBy(*pair), F.when(F.col("_left"), F.col("entry_us"))
+    values = F.struct("exit_us", "samples", "scale", "shift", "fresh")
+    met = events.select(
+        "*",
+        F.last(F.when(~F.col("_left"), values), ignorenulls=True).over(back).alias("_r"),
+        (F.max(left_entry).over(whole) - F.min(left_entry).over(whole)).alias("_span"),
     )
+    met = met.filter(F.col("_left") | F.col("_span").isNull() | (F.col("_span") < SAMPLE_GAP_US))
+    on = F.col("_left") & F.col("_r").isNotNull()
 
-    def chain(state: Column, stretch: Column) -> Column:
-        usable = F.filter(
-            stretch["entries"],
-            lambda e: state["last_us"].isNull() | (e["entry_us"] >= state["last_us"] + SAMPLE_GAP_US),
-        )
-        entry = F.get(usable, F.lit(0))
-        after = F.when(state["ewma"] == 0.0, entry["fresh"]).otherwise(
-            entry["scale"] * state["ewma"] + entry["shift"]
-        )
-        return F.struct(
-            F.coalesce(entry["exit_us"], state["last_us"]).alias("last_us"),
-            (state["samples"] + F.coalesce(entry["samples"], F.lit(0))).alias("samples"),
-            F.coalesce(after, state["ewma"]).alias("ewma"),
-        )
+    def blend(left_value: str) -> Column:
+        return F.col("_r.scale") * F.col(left_value) + F.col("_r.shift")
 
-    return per_key.select(*KEY, F.aggregate("stretches", none_yet, chain).alias("_s")).select(
+    return met.select(
         *KEY,
-        F.col("_s.ewma").alias("recent_rate_ewma"),
-        F.col("_s.samples").alias("samples"),
-        F.timestamp_micros("_s.last_us").alias("last_sample_at"),
+        F.col("_pair").alias("part"),
+        "entry_us",
+        F.when(on, F.col("_r.exit_us")).otherwise(F.col("exit_us")).alias("exit_us"),
+        F.when(on, F.col("samples") + F.col("_r.samples")).otherwise(F.col("samples")).alias("samples"),
+        F.when(on, F.col("_r.scale") * F.col("scale")).otherwise(F.col("scale")).alias("scale"),
+        F.when(on, blend("shift")).otherwise(F.col("shift")).alias("shift"),
+        F.when(on, F.when(F.col("fresh") == 0.0, F.col("_r.fresh")).otherwise(blend("fresh")))
+        .otherwise(F.col("fresh"))
+        .alias("fresh"),
     )
 
 
