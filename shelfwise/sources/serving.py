@@ -5,7 +5,8 @@ nothing else, and its cost follows the batch, not the table. A table has two rul
 associative: it turns any deltas, in batch order, into one that stands for them all. `render` turns
 combined rows into the table's current rows. Compaction combines base and deltas into a new base.
 Directories count from the moment their write is complete; what a crash left behind is ignored and
-written over. `vacuum` removes what a newer base stands for.
+written over. Only the newest batch of a stream can be retried, so a compaction leaves it out: a retry
+then still finds all that came before it, apart from itself. `vacuum` removes what a newer base stands for.
 """
 
 from __future__ import annotations
@@ -73,10 +74,15 @@ class ServingTable:
         return base, [b for b in batches if base is None or b > base]
 
     def deltas(self, before: int | None = None) -> DataFrame | None:
-        """Base rows (numbered as their last batch) and the deltas after them, `before` a batch where given."""
+        """Base rows (numbered as their last batch) and the deltas after them, `before` a batch where given.
+
+        What came before a batch that a base already stands for can't be told any more: that is an error.
+        """
         base, batches = self._state()
+        if base is not None and before is not None and before <= base:
+            raise ValueError(f"{self.path}: batch {before} is folded into the base up to {base}")
         parts = []
-        if base is not None and (before is None or base < before):
+        if base is not None:
             rows = self.spark.read.parquet(f"{self.path}/base/upto={base}")
             parts.append(rows.withColumn("batch", F.lit(base).cast("long")))
         # A partitioned delta without rows has no files, and so no schema.
@@ -97,11 +103,16 @@ class ServingTable:
         rows = self.deltas()
         return None if rows is None else self.render(rows).drop("batch")
 
-    def compact(self) -> None:
-        """Writes a base that stands for all complete deltas; a reader keeps what it has opened."""
+    def compact(self, committed: int | None = None) -> None:
+        """Writes a base that stands for the deltas up to `committed`; a reader keeps what it has opened.
+
+        committed: the last batch that its stream has committed. Without it, all complete deltas but the newest:
+        a stream starts a batch after the one before it is committed.
+        """
         _, batches = self._state()
+        batches = batches[:-1] if committed is None else [b for b in batches if b <= committed]
         if batches:
-            self._write(self.combine(self.deltas()).drop("batch"), f"{self.path}/base/upto={batches[-1]}")
+            self._write(self.combine(self.deltas(batches[-1] + 1)).drop("batch"), f"{self.path}/base/upto={batches[-1]}")
 
     def vacuum(self) -> None:
         """Removes older bases and the deltas that the newest base stands for; run it when no reader is left on them."""
