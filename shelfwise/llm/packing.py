@@ -251,6 +251,7 @@ def pack(
             "item", (F.col("item") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
         )
     ]
+    replaced = None  # the sequences whose pieces a round packs again
     open_pieces, level = numbered.filter(F.col("length") < capacity).select("item", "length"), 0
     count = open_pieces.count()
     while count:
@@ -263,7 +264,10 @@ def pack(
         bad = loads.filter(F.col("load") < reopen_below * capacity).select("shard", "bin")
         reopened = placed.join(bad, ["shard", "bin"], "left_semi").select("item", "length")
         again = 0 if shards == 1 else reopened.count()
-        last = again == 0 or again > count // 2
+        # A round that hardly saves a sequence is the last; its result is no worse than what it replaced.
+        stuck = replaced is not None and loads.count() > replaced - max(1, replaced // 1000)
+        last = again == 0 or stuck
+        replaced = bad.count()
         done.append(_with_offsets(placed if last else placed.join(bad, ["shard", "bin"], "left_anti"), level))
         if last:
             break

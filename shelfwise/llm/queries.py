@@ -18,7 +18,7 @@ from shelfwise.llm.mtree import top_k
 from shelfwise.llm.packing import cut_pieces, pack
 from shelfwise.llm.sentence_pieces import round_trip
 from shelfwise.llm.spelling import spelling_groups
-from shelfwise.llm.syncmers import edited_fingerprints
+from shelfwise.llm.syncmers import edited_fingerprints, printed
 from shelfwise.llm.token_counts import token_counts
 from shelfwise.llm.token_files import token_spans, write_token_files
 
@@ -75,7 +75,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns({c: printed(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op10_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

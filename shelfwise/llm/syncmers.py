@@ -4,7 +4,8 @@ A document is a row of words. Of its k-word windows those are chosen whose small
 hash) stands at the start or the end. Whether a window is chosen depends on its own words alone, not on
 what surrounds it, so an edit moves only the anchors that touch it, and the same passage has the same
 anchors in every document, at the same distances from each other. Scripts without spaces are rows of letters.
-The fingerprint of a short text has anchors of its characters besides, so that an edit leaves some of them.
+The fingerprint of a short text has anchors of its characters besides, so that an edit leaves some of them; they
+bear a sign, and two texts are compared in the kinds of anchors that both have, so nothing hangs on the border.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ def words(text: Column) -> Column:
 def short_hashes(text: Column) -> Column:
     """Hashes of the characters of a short text, white space runs as one; none of a longer one."""
     text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when((F.length(text) < SHORT) & (text != ""), F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.hash(c))).otherwise(
-        F.array().cast("array<int>")
+    return F.when((F.length(text) < SHORT) & (text != ""), F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.xxhash64(c))).otherwise(
+        F.array().cast("array<bigint>")
     )
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.hash(w))
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
 def small_hashes(hashes: Column, s: int = S) -> Column:
@@ -46,10 +47,10 @@ def small_hashes(hashes: Column, s: int = S) -> Column:
         return hashes
     if s == 2:
         n = F.greatest(F.size(hashes) - 1, F.lit(0))
-        return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda a, b: F.hash(a, b))
+        return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
     last = F.size(hashes) - s
-    return F.when(last < 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.hash(*[F.get(hashes, i + d) for d in range(s)]))
+    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(hashes, i + d) for d in range(s)]))
     )
 
 
@@ -64,14 +65,14 @@ def anchors(hashes: Column, small: Column, k: int = K, s: int = S) -> Column:
     def chosen(i: Column) -> Column:
         window = [F.get(small, i + d) for d in range(width)]
         edges = F.least(window[0], window[-1])
-        return edges <= F.least(*window[1:-1], F.lit(2**31 - 1)) if width > 2 else F.lit(True)
+        return edges <= F.least(*window[1:-1], F.lit(2**63 - 1)) if width > 2 else F.lit(True)
 
     starts = F.filter(F.sequence(F.lit(0), last), chosen)
     found = F.transform(
-        starts, lambda i: F.struct(i.alias("pos"), F.hash(*[F.get(hashes, i + d) for d in range(k)]).alias("hash"))
+        starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(hashes, i + d) for d in range(k)]).alias("hash"))
     )
-    short = F.array(F.struct(F.lit(0).alias("pos"), F.hash(hashes).alias("hash")))
-    none = F.array().cast("array<struct<pos:int,hash:int>>")
+    short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(hashes).alias("hash")))
+    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
     return F.when(F.size(hashes) == 0, none).when(last < 0, short).otherwise(found)
 
 
@@ -81,14 +82,14 @@ def anchor_hashes(hashes: Column, small: Column, k: int = K, s: int = S) -> Colu
 
     def chosen(i: Column) -> Column:
         window = [F.get(small, i + d) for d in range(width)]
-        return F.least(window[0], window[-1]) <= F.least(*window[1:-1], F.lit(2**31 - 1)) if width > 2 else F.lit(True)
+        return F.least(window[0], window[-1]) <= F.least(*window[1:-1], F.lit(2**63 - 1)) if width > 2 else F.lit(True)
 
     found = F.transform(
-        F.filter(F.sequence(F.lit(0), last), chosen), lambda i: F.hash(*[F.get(hashes, i + d) for d in range(k)])
+        F.filter(F.sequence(F.lit(0), last), chosen), lambda i: F.xxhash64(*[F.get(hashes, i + d) for d in range(k)])
     )
     # Bound once by the outer array.
-    some = F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, F.array(F.hash(hashes))).otherwise(F.array_distinct(f)))[0]
-    return F.when(F.size(hashes) == 0, F.array().cast("array<int>")).when(last < 0, F.array(F.hash(hashes))).otherwise(some)
+    some = F.transform(F.array(found), lambda f: F.when(F.size(f) == 0, F.array(F.xxhash64(hashes))).otherwise(F.array_distinct(f)))[0]
+    return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).when(last < 0, F.array(F.xxhash64(hashes))).otherwise(some)
 
 
 def with_print(docs: DataFrame, text: Column, into: str, k: int = K, s: int = S) -> DataFrame:
@@ -99,19 +100,35 @@ def with_print(docs: DataFrame, text: Column, into: str, k: int = K, s: int = S)
     rows = docs.withColumn("_h", word_hashes(text)).withColumn("_g", small_hashes(F.col("_h"), s))
     rows = rows.withColumn("_c", short_hashes(text)).withColumn("_d", small_hashes(F.col("_c"), s))
     of_words, of_characters = anchor_hashes(F.col("_h"), F.col("_g"), k, s), anchor_hashes(F.col("_c"), F.col("_d"), k, s)
-    both = F.when(F.size("_c") == 0, of_words).otherwise(F.array_distinct(F.concat(of_words, of_characters)))
+    of_words = F.transform(of_words, lambda a: F.shiftrightunsigned(a, 1))
+    signed = F.transform(of_characters, lambda a: -F.shiftrightunsigned(a, 1) - 1)
+    both = F.when(F.size("_c") == 0, of_words).otherwise(F.concat(of_words, signed))
     return rows.withColumn(into, both).drop("_h", "_g", "_c", "_d")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors among all anchors of both fingerprints, 0 to 1; two empty fingerprints (texts without words) are alike (1)."""
+def _shared(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     together = F.size(a) + F.size(b) - shared
     return F.when(together == 0, F.lit(1.0)).otherwise(shared / together)
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """Shared anchors among all anchors of both fingerprints, 0 to 1; two empty fingerprints (texts without words) are alike (1).
+
+    A short text's anchors of characters count where the other text has such anchors too.
+    """
+    characters = [F.coalesce(F.array_min(x) < 0, F.lit(False)) for x in (a, b)]
+    of_words = [F.filter(x, lambda h: h >= 0) for x in (a, b)]
+    return F.when(characters[0] == characters[1], _shared(a, b)).otherwise(_shared(*of_words))
+
+
+def printed(fingerprint: Column) -> Column:
+    """A fingerprint as text: its anchors in hexadecimal, in order, between spaces."""
+    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.hex(h))), " ")
+
+
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint", k: int = K, s: int = S) -> DataFrame:
-    """docs with its column `into` (array<int>): the anchors of the whole text. Null text is empty.
+    """docs with its column `into` (array<bigint>): the anchors of the whole text. Null text is empty.
 
     Equal texts have equal fingerprints, on any machine. All other columns stay; one named `into` is replaced.
     """
