@@ -134,7 +134,7 @@ ROLLING = {
 }
 
 
-def _rolling_sql(view: str, distinct: bool = False) -> str:
+def rolling_sql(view: str, distinct: bool = False) -> str:
     frames = ", ".join(
         f"CAST(coalesce(sum(CASE WHEN movement_type = '{kind}' THEN quantity END) OVER (PARTITION BY sku_id, location_code "
         f"ORDER BY occurred_at RANGE BETWEEN INTERVAL {m} MINUTE PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS {name}"
@@ -147,14 +147,14 @@ def _rolling_sql(view: str, distinct: bool = False) -> str:
     )
 
 
-@query("rolling_units_per_event", _rolling_sql("v_event_movement"), "v_event_movement")
+@query("rolling_units_per_event", rolling_sql("v_event_movement"), "v_event_movement")
 def rolling_units_per_event(v):
     return d.rolling_units(evaluated_movements(v.event_movements), ROLLING, extra=["movement_id"])
 
 
 @query(
     "rolling_units_per_location",
-    _rolling_sql("(SELECT * REPLACE (1 AS sku_id) FROM v_event_movement)", distinct=True),
+    rolling_sql("(SELECT * REPLACE (1 AS sku_id) FROM v_event_movement)", distinct=True),
     "v_event_movement",
 )
 def rolling_units_per_location(v):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,13 @@ def local_session(app: str = "shelfwise", cores: int | str = "*", partitions: in
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; on one machine without it, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='shelfwise-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
