@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cosine_distance
 from ..model import KEY, LOCATIONS
-from .keyed import running
+from .keyed import running, value_chunk
 
 SORT_MODES = {
     "name": lambda: [F.asc("name")],
@@ -130,7 +130,7 @@ def newest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 def surrogate_ids(values: DataFrame, name: str, id_name: str) -> DataFrame:
     """Distinct non-null values numbered 1..n in binary order, without a one-task sort."""
     distinct = values.select(name).filter(F.col(name).isNotNull()).distinct()
-    numbered = running(distinct, [], [name], F.substring(name, 1, 8), sums={id_name: F.lit(1)})
+    numbered = running(distinct, [], [name], value_chunk(distinct, name), sums={id_name: F.lit(1)})
     return numbered.withColumn(id_name, F.col(id_name).cast("int"))
 
 

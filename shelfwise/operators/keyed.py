@@ -96,6 +96,21 @@ def running(
     )
 
 
+def value_chunk(df: DataFrame, column: str, chunks: int = 256, sample: int = 8192) -> Column:
+    """A chunk for `running` over all rows by one column: cut at sampled values, so chunks are about equal in size.
+
+    The sample is the `sample` values of smallest hash, found with a bounded number a task; it decides how rows are
+    spread, not any result. Values that share long prefixes, or lie close together, are spread all the same.
+    """
+    drawn = df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(column)).limit(sample)
+    ordered = drawn.agg(F.array_sort(F.collect_list(column)).alias("all"))
+    step = F.greatest(F.floor(F.size("all") / chunks).cast("int"), F.lit(1))
+    places = F.sequence(step, F.greatest(F.size("all"), step), step)
+    bounds = ordered.select(F.transform(places, lambda i: F.get("all", i - 1)).alias("bounds")).scalar()
+    # A scalar can't stand inside a lambda function; the place among the sorted bounds needs none.
+    return F.array_position(F.sort_array(F.array_append(bounds, F.col(column))), F.col(column))
+
+
 def lookup_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join of `many` with the row or rows that `few` has for a key, however hot the key.
 

@@ -33,56 +33,67 @@ def describe_series(series: DataFrame, keys: list[str], order: str, value: str)
     )
 
 
-def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], chunk: Column) -> DataFrame:
+#: Cut points of a key's values; a wanted rank lies between two that are three steps apart.
+CUTS = 256
+# Rank error of the cut points, as a share of the rows: far below a step.
+_ACCURACY = 10_000
+
+
+def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact order statistics: `ranks` maps a name to a 1-based rank computed from `_total`.
 
-    Equal values are combined first and positions come from a chunked running count, so neither
-    a hot key nor a global percentile is sorted in one task. `chunk` is non-decreasing in value.
+    A mergeable quantile sketch gives cut points of each key's values, and those around a rank bracket it. Rows below
+    a bracket are only counted, rows above it are left out, so what is ordered is about a hundredth of the rows a
+    rank, and that in pieces of the bracket: neither a hot key nor a global percentile is sorted in one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
-    placed = value_positions(counts, keys, "_v", "_n", chunk)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    points = F.percentile_approx("_v", [i / CUTS for i in range(CUTS + 1)], _ACCURACY)
+    sketched = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), points.alias("_q"))
+
+    def bracket(name: str, rank: Column) -> Column:
+        low = F.greatest(F.floor((rank - 1) * CUTS / F.col("_total")).cast("int") - 1, F.lit(0))
+        high = F.least(F.ceil(rank * CUTS / F.col("_total")).cast("int") + 1, F.lit(CUTS))
+        return F.struct(
+            F.lit(name).alias("name"), rank.cast("long").alias("rank"), F.get("_q", low).alias("low"), F.get("_q", high).alias("high")
+        )
+
+    brackets = sketched.select(*keys, F.array(*[bracket(n, r) for n, r in ranks.items()]).alias("_brackets"))
     if keys:
-        joined = placed.join(totals, keys)
+        met = rows.join(brackets, keys)
     else:
-        joined = placed.withColumn("_total", totals.select("_total").scalar())
-    wanted = {
-        name: F.max(
-            F.when(
-                (F.col("upto") >= rank) & (F.col("upto") - F.col("_n") < rank), F.col("_v")
-            )
-        ).alias(name)
-        for name, rank in ranks.items()
-    }
-    return joined.groupBy(*keys).agg(*wanted.values())
-
-
-def nearest_rank_percentiles(
-    df: DataFrame, value: str, percentiles: dict[str, float], keys: list[str] | None = None,
-    chunk: Column | None = None,
-) -> DataFrame:
+        met = rows.withColumn("_brackets", brackets.select("_brackets").scalar())
+    met = met.select(*keys, "_v", F.explode(F.filter("_brackets", lambda b: F.col("_v") <= b["high"])).alias("_b"))
+    below = F.col("_v") < F.col("_b.low")
+    of_bracket = [*keys, "name", "rank", "low", "high"]
+    counts = met.select(*keys, "_b.*", F.when(~below, F.col("_v")).alias("_v")).groupBy(*of_bracket, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    width = (F.col("high") - F.col("low")).cast("double")
+    part = F.floor((F.col("_v") - F.col("low")).cast("double") * 64 / F.when(width > 0, width))
+    placed = value_positions(counts, [*keys, "name"], "_v", "_n", F.coalesce(part, F.when(F.col("_v").isNull(), -1).otherwise(0)))
+    hit = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("_n") < F.col("rank")) & F.col("_v").isNotNull()
+    wanted = [F.max(F.when(hit & (F.col("name") == n), F.col("_v"))).alias(n) for n in ranks]
+    found = placed.groupBy(*keys).agg(*wanted, F.count_if(hit).alias("_found"), F.count(F.lit(1)).alias("_rows"))
+    # A rank outside its bracket would mean a sketch beyond its stated error; better no answer than a wrong one.
+    sound = (F.col("_found") == len(ranks)) | (F.col("_rows") == 0)
+    checked = F.when(sound, True).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("boolean"))
+    return found.filter(checked).drop("_found", "_rows")
+
+
+def nearest_rank_percentiles(df: DataFrame, value: str, percentiles: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """sorted[ceil(p * n) - 1] per name; 0 for an empty input without keys."""
     total = F.col("_total")
     ranks = {
         name: F.least(F.greatest(F.ceil(F.lit(p) * total), F.lit(1)), total) for name, p in percentiles.items()
     }
-    result = _at_ranks(df, keys or [], value, ranks, F.floor("_v") if chunk is None else chunk)
-    return result.fillna(0, list(percentiles))
+    return _at_ranks(df, keys or [], value, ranks).fillna(0, list(percentiles))
 
 
-def rounded_index_percentiles(
-    df: DataFrame, value: str, percentiles: dict[str, float], keys: list[str] | None = None,
-    chunk: Column | None = None,
-) -> DataFrame:
+def rounded_index_percentiles(df: DataFrame, value: str, percentiles: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """sorted[round(p * (n - 1))], halves away from zero."""
     total = F.col("_total")
     ranks = {
         name: F.floor(F.lit(p) * (total - 1) + 0.5).cast("long") + 1 for name, p in percentiles.items()
     }
-    result = _at_ranks(df, keys or [], value, ranks, F.floor("_v") if chunk is None else chunk)
-    return result.fillna(0, list(percentiles))
+    return _at_ranks(df, keys or [], value, ranks).fillna(0, list(percentiles))
 
 
 def load_run_summary(requests: DataFrame, window_seconds: float) -> DataFrame:
