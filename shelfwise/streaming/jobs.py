@@ -68,7 +68,7 @@ def event_table(spark: SparkSession, path: str) -> ServingTable:
 
 def keep_events(events: DataFrame, table: ServingTable, checkpoint: str, time: str | None = "occurred_at",
                 **how) -> StreamingQuery:
-    """Every stock event once, by its own id or its derived key."""
+    """Every stock event once, by its own id or its derived key; `time` names the day it is stored under."""
     return start(
         events, lambda df, n: store_first(with_event_key(df), table, ["event_key"], time, n), checkpoint, **how
     )
@@ -80,7 +80,7 @@ def inbox_table(spark: SparkSession, path: str) -> ServingTable:
 
 def keep_inbox(events: DataFrame, table: ServingTable, checkpoint: str, time: str | None = None,
                **how) -> StreamingQuery:
-    """First delivery of every message; `time` where a redelivery repeats the message's own time."""
+    """First delivery of every message; `time` names the day it is stored under."""
     return start(events, lambda df, n: store_first(df, table, ["event_id"], time, n), checkpoint, **how)
 
 
