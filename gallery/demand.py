@@ -391,6 +391,22 @@ def fact_distinct_check(v):
     return stats.fact_distinct_check(v.movements)
 
 
+@query(
+    "distinct_sketch_check",
+    """SELECT strftime(occurred_at, '%Y-%m-%d') AS day, count(DISTINCT movement_id) AS exact, count(*) * 2 AS n_rows, true AS within_five_percent
+       FROM v_event_movement GROUP BY ALL""",
+    "v_event_movement",
+)
+def distinct_sketch_check(v):
+    """Sketches of two batches that share all their ids, united by day, beside the exact counts."""
+    facts = v.event_movements
+    sketches = stats.united_sketches(stats.distinct_sketches(facts).unionByName(stats.distinct_sketches(facts)))
+    error = stats.distinct_error(facts, sketches).select("day", "exact", "error")
+    return error.join(sketches.select("day", "n_rows"), "day").select(
+        "day", "exact", "n_rows", (F.col("error") <= 0.05).alias("within_five_percent")
+    )
+
+
 @query(
     "calendar_and_key_functions",
     """SELECT movement_id, sku_id || ':' || upper(trim(location_code)) AS stream_key,
