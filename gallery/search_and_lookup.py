@@ -8,6 +8,9 @@ from shelfwise.model import KEY
 from shelfwise.operators import catalog as c
 from shelfwise.operators import lookups as l
 from shelfwise.operators.state import current_balance
+from shelfwise.operators.vector_search import batch_top_k
+from shelfwise.session import scratch_path
+from shelfwise.sources import lake
 
 from .registry import query
 from .views import AS_OF
@@ -168,6 +171,21 @@ def subscription_deliveries(v):
     return l.subscription_deliveries(events, subscriptions)
 
 
+@query(
+    "subscriptions_of_a_user",
+    """SELECT 'sub-' || c_custkey AS subscription_id, CASE c_custkey % 3 WHEN 0 THEN 'OrderPaid' WHEN 1 THEN 'OrderShipped' ELSE 'ProductPriceChanged' END AS type,
+         'https://hooks.example/' || c_custkey AS dest_url, c_nationkey AS user_id FROM customer WHERE c_nationkey = 7""",
+)
+def subscriptions_of_a_user(v):
+    n = F.col("c_custkey")
+    subscriptions = v.table("customer").select(
+        F.concat(F.lit("sub-"), n).alias("subscription_id"),
+        F.when(n % 3 == 0, "OrderPaid").when(n % 3 == 1, "OrderShipped").otherwise("ProductPriceChanged").alias("type"),
+        F.concat(F.lit("https://hooks.example/"), n).alias("dest_url"), F.col("c_nationkey").alias("user_id"),
+    )
+    return l.subscriptions_of_user(subscriptions, 7)
+
+
 def order_lines(v):
     return v.table("lineitem").select(
         (F.col("l_orderkey") + 1).cast("int").alias("order_id"),
@@ -357,6 +375,36 @@ def semantic_top_k(v):
     )
 
 
+@query(
+    "semantic_top_k_batch",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+       near AS (SELECT q.vec_id AS query_id, x.vec_id,
+         1.0::DOUBLE - list_dot_product(x.e, q.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(q.e, q.e))) AS distance
+         FROM v q CROSS JOIN v x WHERE q.vec_id % 100 = 0)
+       SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(distance, 6) AS distance, (SELECT count(*) FROM embeddings) AS total_items
+       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM near) WHERE place <= 10""",
+)
+def semantic_top_k_batch(v):
+    """Every hundredth vector asks for its ten nearest among all."""
+    vectors = v.table("embeddings")
+    near = batch_top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), "embedding", "vec_id", k=10)
+    return near.drop("opened", "blocks")
+
+
+@query(
+    "facts_filed_by_month",
+    """SELECT strftime(occurred_at, '%Y%m') AS month, movement_type, count(*) AS facts, CAST(sum(quantity) AS BIGINT) AS units
+       FROM v_event_movement GROUP BY ALL""",
+    "v_event_movement",
+)
+def facts_filed_by_month(v):
+    """All movements are filed by month and read back."""
+    path = scratch_path(v.spark, "facts")
+    lake.write_facts(v.event_movements, path)
+    filed = lake.read_facts(v.spark, path, v.event_movements.schema)
+    return filed.groupBy("month", "movement_type").agg(F.count("*").alias("facts"), F.sum("quantity").alias("units"))
+
+
 @query("type_list", "SELECT DISTINCT type FROM v_source_item WHERE type IS NOT NULL", "v_source_item")
 def type_list(v):
     return c.dimension_list(v.source_items.filter(F.col("type").isNotNull()), "type")

@@ -120,6 +120,12 @@ def subscription_deliveries(events: DataFrame, subscriptions: DataFrame) -> Data
     return lookup_join(wanted, targets, ["event_type"])
 
 
+def subscriptions_of_user(subscriptions: DataFrame, user_id, subscription_id=None) -> DataFrame:
+    """All subscriptions of one user, or the one with that id if it is theirs; another user's gives no row."""
+    own = subscriptions.filter(F.col("user_id") == F.lit(user_id))
+    return own if subscription_id is None else own.filter(F.col("subscription_id") == F.lit(subscription_id))
+
+
 def stock_check_lines(lines: DataFrame, balances: DataFrame) -> DataFrame:
     """Each order line against the current available stock; lines are not merged."""
     stock = balances.select(*KEY, F.col("available").alias("_available"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import sanitize_topic
+from ..functions import month_bucket, sanitize_topic
 from ..model import (
     BRONZE, GOLD_DAILY_DEMAND_SCHEMA_VERSION, RAW_EVENT_SCHEMA_VERSION, SILVER,
     SILVER_EVENT_SCHEMA_VERSION, SILVER_REQUIRED,
@@ -147,6 +147,21 @@ def required_not_null(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: check(c) for c in columns})
 
 
+def write_facts(facts: DataFrame, path: str, time: str = "occurred_at") -> None:
+    """Appends facts filed by the month of their time; those without one go to the null partition.
+
+    A month with most of the facts is split over several files of moderate size.
+    """
+    filed = facts.withColumn("month", month_bucket(time))
+    filed.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
+
+
+def read_facts(spark: SparkSession, path: str, schema: T.StructType, months: tuple[str, str] | None = None) -> DataFrame:
+    """Facts with their `month`; `months` (first, last, as yyyyMM) reads only those partitions."""
+    filed = spark.read.schema(T.StructType([*schema.fields, T.StructField("month", T.StringType())])).parquet(path)
+    return filed if months is None else filed.filter(F.col("month").between(*months))
+
+
 def write_gold(daily: DataFrame, path: str) -> None:
     (
         daily.withColumn("schema_version", F.lit(GOLD_DAILY_DEMAND_SCHEMA_VERSION))
