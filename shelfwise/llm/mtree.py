@@ -3,13 +3,14 @@
 A vector x of norm |x| <= R becomes the point (x, sqrt(R^2 - |x|^2)), a query q the point (q, 0). Then
 distance^2 = R^2 + |q|^2 - 2 q.x, so nearest points are largest inner products, in a metric.
 
-The tree has three levels. Cells: each point belongs to the nearest of a fixed number of pivots; a cell has a
-covering radius. Shards: a cell's points, dealt at random over as many pieces of bounded size as it needs,
-each one stored row. Leaves: pages of a shard, with a routing point, a covering radius and each object's
-distance to it. A query first searches a shard of the cell it lies in, which bounds its k-th best. It then
-visits the shards of those cells that the triangle inequality doesn't exclude, in each the leaves in order of
-their least possible distance, and computes an object's distance only where |d(query, leaf) - d(object,
-leaf)| is below the bound. Bounds carry a slack above rounding; scores are exact integers.
+The tree has three levels. Cells: each point belongs to the nearest of a bounded number of pivots, which grows with
+the table. Shards: a cell's points in the order of their distance from its pivot, cut into rings of bounded size; a
+ring keeps its least and greatest distance to the parent and is one stored row. Leaves: pages of a shard, with a
+routing point, a covering radius and each object's distance to it. A query first searches the shard that its own
+row lies in, which bounds its k-th best. It then visits the rings that the triangle inequality doesn't exclude by
+their distances to the parent, in each the leaves in order of their least possible distance, and computes an object's
+distance only where |d(query, leaf) - d(object, leaf)| is below the bound. Bounds carry a slack above rounding; scores
+are exact integers. A shard is read as often as `query_block` goes into the queries that visit it, rounded up.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import batch, materialized, ship
+from shelfwise.llm.common import batch, materialized, ship, shuffle_partitions
 
 _LEAF = 64
 _SLACK = 1e-6
@@ -31,10 +32,12 @@ _NO_ID = np.iinfo(np.int64).max
 _ASSIGNED = pa.schema(
     [("row", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary()), ("cell", pa.int32()), ("off", pa.float64())]
 )
-_STORED = "cell int, salt int, rows binary, ids binary, vectors binary, ends binary, centers binary, radius binary, to_center binary"
-_VISITS = pa.schema(
-    [("row", pa.int64()), ("vec_id", pa.int64()), ("v", pa.binary()), ("bound", pa.int64()), ("cell", pa.int32()), ("salt", pa.int32())]
+_STORED = (
+    "cell int, low double, high double, rows binary, ids binary, vectors binary, ends binary, centers binary, radius binary, "
+    "to_center binary, asks array<struct<row:long,vec_id:long,v:binary,bound:long>>"
 )
+_ROUTED = pa.schema([("row", pa.int64()), ("bound", pa.int64()), ("cell", pa.int32()), ("away", pa.float64()), ("reach", pa.float64())])
+_MOST_PIVOTS = 1024
 
 
 def _matrix(values: list[bytes]) -> np.ndarray:
@@ -51,6 +54,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
+def slack(square: int) -> float:
+    """Above the rounding of distances, which is worst between near points far from the origin."""
+    return _SLACK * (1 + square**0.5)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products: by floats where no sum can exceed their whole numbers."""
     largest = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
@@ -124,7 +132,7 @@ class Shard:
         order = np.argsort(least, axis=1, kind="stable")
         kth, active = bound.copy(), np.arange(n)
         for step in range(len(self.spans)):
-            reach = np.sqrt(np.maximum(square + norms[active] - 2.0 * kth[active], 0)) * (1 + _SLACK) + _SLACK
+            reach = np.sqrt(np.maximum(square + norms[active] - 2.0 * kth[active], 0)) * (1 + _SLACK) + slack(square)
             page = order[active, step]
             going = least[active, page] <= reach
             active, page, reach = active[going], page[going], reach[going]
@@ -176,11 +184,38 @@ def _assign(pivots: np.ndarray, square: int, d: int):
     return run
 
 
-def _build(square: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.array([_NO_ID if pd.isna(i) else int(i) for i in rows["vec_id"]], np.int64)
-        shard = Shard.build(rows["row"].to_numpy(np.int64), ids, _matrix(list(rows["v"])), square)
-        return pd.DataFrame([{"cell": rows["cell"].iloc[0], "salt": rows["salt"].iloc[0], **shard.stored()}])
+def _build(square: int, k: int, shard_rows: int):
+    """Rings of consecutive objects of one cell. The queries among a ring's rows find their first bound in it.
+
+    A task holds one ring and one batch of rows.
+    """
+
+    def ring(rows: pd.DataFrame) -> dict:
+        vectors = _matrix(list(rows["v"]))
+        shard = Shard.build(rows["row"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64), vectors, square)
+        asking = np.flatnonzero(rows["asks"].to_numpy(bool))
+        own = rows["row"].to_numpy(np.int64)[asking]
+        scores, _ = shard.search(vectors[asking], own, np.full(len(asking), _LEAST), k, square)
+        # The k-th best is the least integer where the ring holds fewer other rows.
+        asks = [
+            {"row": int(r), "vec_id": int(rows["vec_id"].iloc[i]), "v": rows["v"].iloc[i], "bound": int(s)}
+            for r, i, s in zip(own, asking, scores[:, -1])
+        ]
+        first = {"cell": rows["cell"].iloc[0], "low": rows["off"].min(), "high": rows["off"].max(), "asks": asks}
+        return {**first, **shard.stored()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in batches:
+            held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            cells = [g for _, g in held.groupby("cell", sort=False)]
+            for i, group in enumerate(cells):
+                full = len(group) // shard_rows * shard_rows if i == len(cells) - 1 else len(group)
+                for start in range(0, full, shard_rows):
+                    yield pd.DataFrame([ring(group.iloc[start : min(full, start + shard_rows)])])
+                held = group.iloc[full:]
+        if held is not None and len(held):
+            yield pd.DataFrame([ring(held)])
 
     return run
 
@@ -205,25 +240,20 @@ def _visit(k: int, square: int):
     return run
 
 
-def _route(pivots: np.ndarray, radius: list[float], salts: list[int], square: int):
-    """The shards a query must see: those of cells that may hold an object as good as its bound."""
+def _route(pivots: np.ndarray, radius: list[float], square: int):
+    """The cells that may hold an object as good as a query's bound, with the query's distance from the pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if not rows.num_rows:
                 continue
             q = _matrix(rows.column("v").to_pylist()).astype(np.float64)
-            bound = rows.column("bound").to_numpy()
+            own, bound = rows.column("row").to_numpy(), rows.column("bound").to_numpy()
             points = np.hstack([q, np.zeros((len(q), 1))])
-            reach = np.sqrt(np.maximum(square + (q * q).sum(1) - 2.0 * bound, 0)) * (1 + _SLACK) + _SLACK
-            near = distances(points, pivots) - np.array(radius)[None] <= reach[:, None]
-            for cell, count in enumerate(salts):
-                who = pa.array(np.flatnonzero(near[:, cell]))
-                for salt in range(count):
-                    some = rows.take(who)
-                    same = [np.full(len(who), x, np.int32) for x in (cell, salt)]
-                    if len(who):
-                        yield batch(_VISITS, [*(some.column(c) for c in ("row", "vec_id", "v", "bound")), *same])
+            reach = np.sqrt(np.maximum(square + (q * q).sum(1) - 2.0 * bound, 0)) * (1 + _SLACK) + 2 * slack(square)
+            away = distances(points, pivots)
+            at, cell = np.nonzero(away - np.array(radius)[None] <= reach[:, None])
+            yield batch(_ROUTED, [own[at], bound[at], cell.astype(np.int32), away[at, cell], reach[at]])
 
     return run
 
@@ -231,39 +261,39 @@ def _route(pivots: np.ndarray, radius: list[float], salts: list[int], square: in
 def _search(rows: DataFrame, every: int, k: int, n_pivots: int, shard_rows: int, query_block: int, seed: int) -> DataFrame:
     d = len(rows.first()["v"])
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    square = int(rows.agg(F.max(norm)).first()[0])
-    # A fixed number of pivots, drawn by hash: the only vectors that reach the driver.
-    drawn = rows.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(n_pivots).collect()
+    square, n = rows.agg(F.max(norm), F.count(F.lit(1))).first()
+    square = int(square)
+    # A bounded number of pivots, drawn by hash: the only vectors that reach the driver.
+    wanted = max(n_pivots, min(_MOST_PIVOTS, n // shard_rows))
+    drawn = rows.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(wanted).collect()
     pivots = lifted(np.array([r["v"] for r in drawn], np.int64).reshape(len(drawn), d), square)
     assigned = materialized(
         rows.mapInArrow(_assign(pivots, square, d), "row long, vec_id long, v binary, cell int, off double"), "mtree-assigned"
     )
-    cells = {r["cell"]: r for r in assigned.groupBy("cell").agg(F.max("off").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
-    radius = [cells[c]["radius"] * (1 + _SLACK) + _SLACK if c in cells else -np.inf for c in range(len(pivots))]
-    salts = [-(-cells[c]["n"] // shard_rows) if c in cells else 0 for c in range(len(pivots))]
-    # A cell with most of the vectors, equal ones included, is cut by hash into shards of bounded size.
-    own = F.pmod(F.xxhash64("row"), F.get(F.array(*[F.lit(max(1, s)) for s in salts]), F.col("cell"))).cast("int")
-    salted = assigned.withColumn("salt", own)
-    shards = materialized(salted.groupBy("cell", "salt").applyInPandas(_build(square), _STORED), "mtree-shards")
-    queries = salted.filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("bound", F.lit(_LEAST))
-    blocks = max(1, -(-queries.count() // query_block))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
-    copies = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["cell", "salt", "block"]
+    # Ordered over all tasks: a cell with most of the vectors, equal ones included, lies in many of them.
+    tasks = max(shuffle_partitions(rows.sparkSession), n // (16 * shard_rows))
+    asks = F.coalesce(F.pmod("vec_id", F.lit(every)) == 0, F.lit(False)).alias("asks")
+    ordered = assigned.select("row", F.coalesce("vec_id", F.lit(_NO_ID)).alias("vec_id"), "v", "cell", "off", asks)
+    ordered = ordered.repartitionByRange(tasks, "cell", "off", "row").sortWithinPartitions("cell", "off", "row")
+    stored = ordered.mapInPandas(_build(square, k, shard_rows), _STORED).withColumn("shard", F.monotonically_increasing_id())
+    shards = materialized(stored, "mtree-shards")
+    rings = shards.select("shard", "cell", "low", "high")
+    queries = shards.select(F.inline("asks"))
+    far = {r["cell"]: r["radius"] for r in rings.groupBy("cell").agg(F.max("high").alias("radius")).collect()}
+    radius = [far.get(c, -np.inf) for c in range(len(pivots))]
+    routed = queries.mapInArrow(_route(pivots, radius, square), "row long, bound long, cell int, away double, reach double")
+    meets = (F.col("low") - F.col("away") <= F.col("reach")) & (F.col("away") - F.col("high") <= F.col("reach"))
+    # Numbers only: vectors join when it is known who visits what.
+    visits = materialized(routed.join(rings, "cell").filter(meets).select("shard", "row", "bound"), "mtree-visits")
+    parts = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int").alias("part")
+    asked = visits.join(parts, "shard").select("shard", part, "row", "bound").join(queries.drop("bound"), "row")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    payload = [c for c in shards.columns if c not in ("cell", "low", "high", "asks")]
+    copies = shards.select(*payload).join(parts, "shard").select(*payload, each)
+    key = ["shard", "part"]
     hits = "query_id long, row long, vec_id long, score long"
-
-    def visited(asked: DataFrame) -> DataFrame:
-        return copies.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_visit(k, square), hits)
-
-    first = visited(queries.select(*key, "row", "vec_id", "v", "bound"))
-    # A k-th best among the query's own shard; queries whose shard holds fewer keep no bound.
-    bounds = first.groupBy("row").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("many")).filter(F.col("many") >= k)
-    bounded = queries.join(bounds, "row", "left").select(
-        "row", "vec_id", "v", F.coalesce("kth", F.lit(_LEAST)).alias("bound")
-    )
-    routed = bounded.mapInArrow(_route(pivots, radius, salts, square), "row long, vec_id long, v binary, bound long, cell int, salt int")
-    routed = routed.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
-    found = visited(routed)
+    found = copies.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_visit(k, square), hits)
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -279,6 +309,7 @@ def top_k(
     a null vector, or a null or non-finite component, take no part; a null id is a candidate, last among ties, and
     asks nothing. Repeated ids: each row is a query and a candidate of its own, and excludes only itself. Vectors of
     different lengths aren't compared: a query's candidates are those of its length. Extra columns are ignored.
+    At least `pivots` cells, one more for each `shard_rows` rows up to 1,024, spread the work and change no result.
     """
     spark = df.sparkSession
     ship(spark)
