@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import batch, held, ship, shuffle_partitions
+from shelfwise.llm.common import batch, held, ship, shuffle_partitions, text_bytes
 from shelfwise.llm.encode import encoder
 
 # Fixed values of the file format.
@@ -158,6 +158,7 @@ def write_token_files(
     Manifest: shard (files in doc_id order), file, n_docs, n_ids; only files named there belong to the
     result, what a lost or repeated task left behind doesn't. Null text is empty (the end id alone), a null
     doc_id comes first, equal ids stand by text, other columns are ignored, no rows give empty files or none.
+    files: how many; by default as many as the session's shuffle partitions, or one for each 64 MB of text if that is more.
     cache_words: words whose ids a worker keeps, about 200 bytes each. Ids must be below 2**32; a vocabulary below 2**16 is stored in 16 bits.
     """
     spark = docs.sparkSession
@@ -178,9 +179,10 @@ def write_token_files(
             writer.close()
         yield batch(_MANIFEST, [[shard], [file], [len(writer.docs)], [writer.n_ids]])
 
+    files = files or max(shuffle_partitions(spark), text_bytes(docs)[1] // (64 << 20))
     sorted_docs = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(files or shuffle_partitions(spark), "doc_id")
+        .repartitionByRange(files, "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
     manifest = sorted_docs.mapInArrow(run, "shard int, file string, n_docs long, n_ids long")
@@ -213,7 +215,9 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
                         yield batch(_READ, list(zip(*found)))
 
     files = manifest.select("shard", "file")
-    return files.repartition(shuffle_partitions(manifest.sparkSession), "shard").mapInArrow(
+    # By default a task opens about one file, however many the data needed.
+    parts = max(shuffle_partitions(manifest.sparkSession), files.count())
+    return files.repartition(parts, "shard").mapInArrow(
         run, "shard int, place long, doc_id long, before long, ids binary"
     )
 
@@ -221,12 +225,11 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
 def token_spans(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each stored document; start counts over all files in order."""
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    # One row a file.
     base = manifest.select("shard", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
     read = read_token_files(manifest).select(
         "shard", "doc_id", "before", F.octet_length("ids").alias("n_bytes"), F.crc32("ids").alias("ids_crc32")
     )
-    return read.join(F.broadcast(base), "shard").select(
+    return read.join(base, "shard").select(
         "doc_id",
         (F.col("base") + F.col("before")).alias("start"),
         (F.col("n_bytes") / 4).cast("long").alias("n_tokens"),
