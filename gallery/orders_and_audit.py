@@ -12,7 +12,7 @@ from shelfwise.operators import quality as q
 from shelfwise.operators.keyed import running
 
 from .registry import query
-from .views import AS_OF, loc, sql_loc
+from .views import AS_OF, loc, recurring, sql_loc, sql_recurring
 
 T = f"TIMESTAMP '{AS_OF}'"
 STAMP = "%Y-%m-%d %H:%M:%S.%f"
@@ -128,14 +128,14 @@ def redelivery_outcomes(v):
 
 @query(
     "reservation_states",
-    """SELECT order_id, sku_id, location_code, reserved_quantity, CASE terminal WHEN 'Sale' THEN 'Committed' WHEN 'Release' THEN 'Released' ELSE 'Reserved' END AS status
+    f"""SELECT order_id, sku_id, location_code, reserved_quantity, CASE terminal WHEN 'Sale' THEN 'Committed' WHEN 'Release' THEN 'Released' ELSE 'Reserved' END AS status
        FROM (SELECT order_id, sku_id, location_code, CAST(sum(quantity) FILTER (movement_type = 'Reserve') AS BIGINT) AS reserved_quantity,
            arg_min(movement_type, (occurred_at, movement_id)) FILTER (movement_type IN ('Sale', 'Release')) AS terminal
-         FROM (SELECT * REPLACE (order_id % 3000 AS order_id, sku_id % 5 AS sku_id) FROM v_movement) GROUP BY ALL) WHERE reserved_quantity IS NOT NULL""",
+         FROM (SELECT * REPLACE ({sql_recurring('order_id', 3000, 5)} AS order_id, sku_id % 5 AS sku_id) FROM v_movement) GROUP BY ALL) WHERE reserved_quantity IS NOT NULL""",
     "v_movement",
 )
 def reservation_states(v):
-    folded = v.movements.withColumn("order_id", F.col("order_id") % 3000).withColumn("sku_id", F.col("sku_id") % 5)
+    folded = v.movements.withColumn("order_id", recurring(F.col("order_id"), 3000, 5)).withColumn("sku_id", F.col("sku_id") % 5)
     return lg.reservation_state(folded)
 
 
@@ -234,14 +234,14 @@ def lifecycle_events(v):
     place = F.floor(n / 800) % 4
     step = F.when(n % 11 == 3, 4).when(n % 13 == 5, 5).otherwise(place).cast("int")
     return v.table("events").select(
-        (n % 800).alias("order_id"), F.element_at(F.array(*[F.lit(s) for s in STEPS]), step + 1).alias("step"), n.alias("seq")
+        recurring(n, 800, 12).alias("order_id"), F.element_at(F.array(*[F.lit(s) for s in STEPS]), step + 1).alias("step"), n.alias("seq")
     )
 
 
 @query(
     "order_status_replay",
-    """WITH RECURSIVE ev AS (SELECT event_id % 800 AS order_id, CASE WHEN event_id % 11 = 3 THEN 4 WHEN event_id % 13 = 5 THEN 5
-           ELSE (event_id // 800) % 4 END AS step, row_number() OVER (PARTITION BY event_id % 800 ORDER BY event_id) AS i FROM events),
+    f"""WITH RECURSIVE ev AS (SELECT {sql_recurring('event_id', 800, 12)} AS order_id, CASE WHEN event_id % 11 = 3 THEN 4 WHEN event_id % 13 = 5 THEN 5
+           ELSE (event_id // 800) % 4 END AS step, row_number() OVER (PARTITION BY {sql_recurring('event_id', 800, 12)} ORDER BY event_id) AS i FROM events),
        run AS (SELECT DISTINCT order_id, 0::BIGINT AS i, 0 AS status, 0::BIGINT AS illegal_moves FROM ev
          UNION ALL
          SELECT r.order_id, e.i, CASE WHEN e.step = 0 AND r.status = 0 THEN 1 WHEN e.step = 1 AND r.status = 1 THEN 2 WHEN e.step = 2 AND r.status = 2 THEN 3
@@ -310,12 +310,12 @@ def payment_methods(v):
 
 @query(
     "idempotent_requests",
-    f"""SELECT request_id, seq, duplicates FROM (SELECT event_id % 4000 AS request_id, event_id AS seq,
-         count(*) OVER (PARTITION BY event_id % 4000) - 1 AS duplicates, row_number() OVER (PARTITION BY event_id % 4000 ORDER BY ts, event_id) AS i FROM events) WHERE i = 1""",
+    f"""SELECT request_id, seq, duplicates FROM (SELECT {sql_recurring('event_id', 4000, 3)} AS request_id, event_id AS seq,
+         count(*) OVER (PARTITION BY {sql_recurring('event_id', 4000, 3)}) - 1 AS duplicates, row_number() OVER (PARTITION BY {sql_recurring('event_id', 4000, 3)} ORDER BY ts, event_id) AS i FROM events) WHERE i = 1""",
 )
 def idempotent_requests(v):
     commands = v.table("events").select(
-        (F.col("event_id") % 4000).alias("request_id"), F.col("ts").alias("received_at"), F.col("event_id").alias("seq")
+        recurring(F.col("event_id"), 4000, 3).alias("request_id"), F.col("ts").alias("received_at"), F.col("event_id").alias("seq")
     )
     return o.idempotent_requests(commands).select("request_id", "seq", "duplicates")
 
@@ -355,22 +355,22 @@ def outbox_state_counts(v):
 
 @query(
     "outbox_states",
-    """SELECT event_id % 2500 AS event_id, arg_max((['NotPublished', 'InProgress', 'Published', 'PublishedFailed'])[CAST(event_id % 4 AS INTEGER) + 1], (ts, event_id)) AS state,
+    f"""SELECT {sql_recurring('event_id', 2500, 4)} AS event_id, arg_max((['NotPublished', 'InProgress', 'Published', 'PublishedFailed'])[CAST(event_id % 4 AS INTEGER) + 1], (ts, event_id)) AS state,
        count(*) FILTER (event_id % 4 = 1) AS times_sent FROM events GROUP BY 1""",
 )
 def outbox_states(v):
     changes = outbox_log(v).select(
-        (F.col("event_id") % 2500).alias("event_id"), "state", F.col("creation_time").alias("changed_at"), F.col("event_id").alias("seq")
+        recurring(F.col("event_id"), 2500, 4).alias("event_id"), "state", F.col("creation_time").alias("changed_at"), F.col("event_id").alias("seq")
     )
     return ob.outbox_state(changes)
 
 
 @query(
     "inbox_first_deliveries",
-    "SELECT event_id % 5000 AS event_id, min(event_id) AS seq FROM events GROUP BY 1",
+    f"SELECT {sql_recurring('event_id', 5000, 2)} AS event_id, min(event_id) AS seq FROM events GROUP BY 1",
 )
 def inbox_first_deliveries(v):
-    deliveries = v.table("events").select((F.col("event_id") % 5000).alias("event_id"), F.col("event_id").alias("seq"))
+    deliveries = v.table("events").select(recurring(F.col("event_id"), 5000, 2).alias("event_id"), F.col("event_id").alias("seq"))
     return ob.inbox_dedup(deliveries, ["seq"])
 
 
@@ -475,11 +475,11 @@ def audit_chain_breaks(v):
 
 @query(
     "audit_insert_if_absent",
-    """SELECT 'd-' || event_id % 6000 AS decision_id, CASE WHEN event_id % 6000 % 2 = 0 THEN -1 ELSE min(event_id) END AS payload FROM events GROUP BY event_id % 6000""",
+    f"""SELECT 'd-' || {sql_recurring('event_id', 6000, 2)} AS decision_id, CASE WHEN {sql_recurring('event_id', 6000, 2)} % 2 = 0 THEN -1 ELSE min(event_id) END AS payload FROM events GROUP BY {sql_recurring('event_id', 6000, 2)}""",
 )
 def audit_insert_if_absent(v):
     incoming = v.table("events").select(
-        F.concat(F.lit("d-"), F.col("event_id") % 6000).alias("decision_id"), F.col("event_id").alias("payload")
+        F.concat(F.lit("d-"), recurring(F.col("event_id"), 6000, 2)).alias("decision_id"), F.col("event_id").alias("payload")
     )
     stored = incoming.select("decision_id").distinct().filter(
         F.substring_index("decision_id", "-", -1).cast("long") % 2 == 0
@@ -489,14 +489,14 @@ def audit_insert_if_absent(v):
 
 @query(
     "audit_proposal_upsert",
-    f"""SELECT 'p-' || event_id % 4000 AS proposal_id, min(event_id) AS quantity, 'n' || max(event_id) AS reasoning,
-       CASE WHEN max(event_id) % 2 = 0 THEN 'APPROVED' ELSE 'FAILED' END AS status, max(event_id) AS updated_at FROM events GROUP BY event_id % 4000""",
+    f"""SELECT 'p-' || {sql_recurring('event_id', 4000, 3)} AS proposal_id, min(event_id) AS quantity, 'n' || max(event_id) AS reasoning,
+       CASE WHEN max(event_id) % 2 = 0 THEN 'APPROVED' ELSE 'FAILED' END AS status, max(event_id) AS updated_at FROM events GROUP BY {sql_recurring('event_id', 4000, 3)}""",
 )
 def audit_proposal_upsert(v):
     n = F.col("event_id")
     rows = v.table("events").select(
-        F.concat(F.lit("p-"), n % 4000).alias("proposal_id"), n.alias("quantity"), F.concat(F.lit("n"), n).alias("reasoning"),
+        F.concat(F.lit("p-"), recurring(n, 4000, 3)).alias("proposal_id"), n.alias("quantity"), F.concat(F.lit("n"), n).alias("reasoning"),
         F.when(n % 2 == 0, "APPROVED").otherwise("FAILED").alias("status"), n.alias("updated_at"),
     )
-    stored = rows.filter(F.col("updated_at") < 3000)
-    return q.upsert_proposals(stored, rows.filter(F.col("updated_at") >= 3000))
+    early = F.col("updated_at") % 12_000 < 3000  # the first rows of three quarters of each stretch's proposals
+    return q.upsert_proposals(rows.filter(early), rows.filter(~early))

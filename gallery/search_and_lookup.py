@@ -13,7 +13,7 @@ from shelfwise.session import scratch_path
 from shelfwise.sources import lake
 
 from .registry import query
-from .views import AS_OF
+from .views import AS_OF, recurring, sql_recurring
 
 T = f"TIMESTAMP '{AS_OF}'"
 STAMP = "%Y-%m-%d %H:%M:%S.%f"
@@ -108,13 +108,13 @@ def basket(v):
     """Basket lines per buyer out of order items; some products are not in the catalog."""
     n = F.col("l_partkey")
     return v.table("lineitem").select(
-        (F.col("l_orderkey") % 500 + 1).cast("int").alias("buyer_id"),
+        (recurring(F.col("l_orderkey"), 500, 12) + 1).cast("int").alias("buyer_id"),
         F.when(n % 97 == 0, n + 10_000_000).otherwise(n + 1).cast("int").alias("product_id"),
         F.floor("l_quantity").cast("int").alias("quantity"),
     )
 
 
-BASKET_SQL = """basket AS (SELECT CAST(l_orderkey % 500 + 1 AS INTEGER) AS buyer_id,
+BASKET_SQL = f"""basket AS (SELECT CAST({sql_recurring('l_orderkey', 500, 12)} + 1 AS INTEGER) AS buyer_id,
    CAST(CASE WHEN l_partkey % 97 = 0 THEN l_partkey + 10000000 ELSE l_partkey + 1 END AS INTEGER) AS product_id,
    CAST(floor(l_quantity) AS INTEGER) AS quantity FROM lineitem)"""
 
@@ -152,20 +152,20 @@ def basket_totals(v):
 
 @query(
     "subscription_deliveries",
-    """SELECT e.event_id, e.event_type, 'sub-' || c_custkey AS subscription_id, c_custkey AS user_id,
-         'https://hooks.example/' || c_custkey AS dest_url
-       FROM (SELECT event_id, CASE WHEN event_id % 400 = 0 THEN 'OrderPaid' WHEN event_id % 400 = 1 THEN 'OrderShipped' ELSE 'ProductPriceChanged' END AS event_type FROM events) e
-       JOIN customer ON CASE c_custkey % 3 WHEN 0 THEN 'OrderPaid' WHEN 1 THEN 'OrderShipped' ELSE 'ProductPriceChanged' END = e.event_type
+    """SELECT e.event_id, e.event_type, 'sub-' || n_nationkey AS subscription_id, n_nationkey AS user_id,
+         'https://hooks.example/' || n_nationkey AS dest_url
+       FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'OrderPaid' WHEN 1 THEN 'OrderShipped' ELSE 'ProductPriceChanged' END AS event_type FROM events) e
+       JOIN nation ON CASE n_nationkey % 3 WHEN 0 THEN 'OrderPaid' WHEN 1 THEN 'OrderShipped' ELSE 'ProductPriceChanged' END = e.event_type
        WHERE e.event_type <> 'ProductPriceChanged'""",
 )
 def subscription_deliveries(v):
-    def kind(n, every):
-        return F.when(n % every == 0, "OrderPaid").when(n % every == 1, "OrderShipped").otherwise("ProductPriceChanged")
+    def kind(n):
+        return F.when(n % 3 == 0, "OrderPaid").when(n % 3 == 1, "OrderShipped").otherwise("ProductPriceChanged")
 
-    events = v.table("events").select("event_id", kind(F.col("event_id"), 400).alias("event_type"))
-    user = F.col("c_custkey")
-    subscriptions = v.table("customer").select(
-        kind(user, 3).alias("type"), F.concat(F.lit("sub-"), user).alias("subscription_id"),
+    events = v.table("events").select("event_id", kind(F.col("event_id")).alias("event_type"))
+    user = F.col("n_nationkey")
+    subscriptions = v.table("nation").select(
+        kind(user).alias("type"), F.concat(F.lit("sub-"), user).alias("subscription_id"),
         user.alias("user_id"), F.concat(F.lit("https://hooks.example/"), user).alias("dest_url"),
     )
     return l.subscription_deliveries(events, subscriptions)
@@ -221,7 +221,7 @@ def stock_availability(v):
 
 @query(
     "shadow_agreement",
-    f"""WITH checks AS (SELECT event_id, event_id % 3000 AS order_id, ts AS evaluated_at, event_id % 3 <> 0 AS inventory_confirmed FROM events),
+    f"""WITH checks AS (SELECT event_id, {sql_recurring('event_id', 3000, 3)} AS order_id, ts AS evaluated_at, event_id % 3 <> 0 AS inventory_confirmed FROM events),
        newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY evaluated_at DESC, event_id DESC) AS i FROM checks) WHERE i = 1),
        seen AS (SELECT o_orderkey AS order_id, o_orderstatus <> 'F' AS catalog_confirmed FROM orders)
        SELECT event_id, n.order_id, strftime(evaluated_at, '{STAMP}') AS evaluated_at, inventory_confirmed, catalog_confirmed,
@@ -230,7 +230,7 @@ def stock_availability(v):
 def shadow_agreement(v):
     n = F.col("event_id")
     checks = v.table("events").select(
-        n.alias("event_id"), (n % 3000).alias("order_id"), F.col("ts").alias("evaluated_at"),
+        n.alias("event_id"), recurring(n, 3000, 3).alias("order_id"), F.col("ts").alias("evaluated_at"),
         (n % 3 != 0).alias("inventory_confirmed"),
     )
     observed = v.table("orders").select(
@@ -242,7 +242,7 @@ def shadow_agreement(v):
 
 @query(
     "shadow_agreement_counts",
-    """WITH checks AS (SELECT event_id % 3000 AS order_id, arg_max(event_id % 3 <> 0, (ts, event_id)) AS inventory_confirmed FROM events GROUP BY 1),
+    f"""WITH checks AS (SELECT {sql_recurring('event_id', 3000, 3)} AS order_id, arg_max(event_id % 3 <> 0, (ts, event_id)) AS inventory_confirmed FROM events GROUP BY 1),
        seen AS (SELECT o_orderkey AS order_id, o_orderstatus <> 'F' AS catalog_confirmed FROM orders)
        SELECT inventory_confirmed = catalog_confirmed AS agreement, count(*) AS rows FROM checks c LEFT JOIN seen s ON s.order_id = c.order_id GROUP BY ALL""",
 )

@@ -23,6 +23,18 @@ def sql_loc(key: str) -> str:
     return f"(['NCR','BLR','BOM','HYD'])[CAST(({key}) % 4 AS INTEGER) + 1]"
 
 
+def recurring(n: Column, keys: int, copies: int) -> Column:
+    """A key that comes back: each stretch of keys * copies numbers has `keys` keys of its own, `copies` times each.
+
+    The number of keys grows with the data, the rows of one key do not.
+    """
+    return n - n % (keys * copies) + n % keys
+
+
+def sql_recurring(n: str, keys: int, copies: int) -> str:
+    return f"({n} - {n} % {keys * copies} + {n} % {keys})"
+
+
 def lineitem_type() -> Column:
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     return (
@@ -198,14 +210,15 @@ class Views:
             F.lit(',"updated_at":'), q(stamp), F.lit("}"),
         )
         is_balance = kind.between(12, 15)
-        image = F.when(is_balance, balance).otherwise(movement)
+        image = F.col("_image")
         deleting = kind.isin(3, 15)
         table = F.when(is_balance, "inventory_balances").when(kind == 5, "orders").otherwise("inventory_movements")
         op = (
             F.when(kind.isin(2, 12), "u").when(kind.isin(3, 15), "d").when(kind == 6, "x")
             .when(kind == 13, "r").otherwise("c")
         )
-        envelope = F.concat(
+        envelope = F.col("_envelope")
+        enveloped = F.concat(
             F.lit('{"before":'), F.when(deleting, image).otherwise("null"),
             F.lit(',"after":'), F.when(deleting | (kind == 7), "null").otherwise(image),
             F.lit(',"source":{"table":"'), table, F.lit('","lsn":'), n.cast("string"),
@@ -222,7 +235,9 @@ class Views:
             .otherwise(envelope)
         )
         key = F.concat(F.lit('{"sku_id":'), sku.cast("string"), F.lit(',"location_code":'), q(place), F.lit("}"))
-        return self.table("events").select(
+        # Texts that are used more than once are columns of their own; spelled out they outgrow a compiled method.
+        events = self.table("events").withColumn("_image", F.when(is_balance, balance).otherwise(movement))
+        return events.withColumn("_envelope", enveloped).select(
             F.when(is_balance, BALANCE_TOPIC).otherwise(MOVEMENT_TOPIC).alias("topic"),
             (n % 3).cast("int").alias("partition"),
             n.alias("offset"),
