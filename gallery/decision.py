@@ -8,6 +8,7 @@ from shelfwise.model import KEY, GovernancePolicy
 from shelfwise.operators import forecast as f
 from shelfwise.operators import guard, replenish
 from shelfwise.operators.demand import demand_model
+from shelfwise.operators.keyed import keyed_join
 from shelfwise.operators.recent_rate import recent_rates_at
 from shelfwise.plans.evaluation import dashboard, evaluate_all
 
@@ -322,7 +323,7 @@ def execution_preflight(v):
         F.col("on_hand").alias("current_on_hand"), F.col("max_stock").alias("current_max_stock"),
         F.col("version").alias("current_version"),
     )
-    return replenish.execution_preflight(gated.join(current, KEY)).select(
+    return replenish.execution_preflight(keyed_join(gated, current, KEY)).select(
         "attempt_status", "proposal_id", "attempt_message", "attempt_id"
     )
 

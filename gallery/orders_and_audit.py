@@ -9,7 +9,7 @@ from shelfwise.operators import ledger as lg
 from shelfwise.operators import orders as o
 from shelfwise.operators import outbox as ob
 from shelfwise.operators import quality as q
-from shelfwise.operators.keyed import running
+from shelfwise.operators.keyed import keyed_join, running
 
 from .registry import query
 from .views import AS_OF, loc, recurring, sql_loc, sql_recurring
@@ -79,8 +79,7 @@ def restock_accepted(v):
     stock = v.balances.select(*KEY, (F.col("on_hand") + F.col("sku_id") % 60).alias("on_hand"), "max_stock")
     accepted = lg.restock_accepted(F.col("quantity"), F.col("on_hand"), F.col("max_stock"))
     return (
-        v.movements.filter(F.col("movement_type") == "Restock")
-        .join(stock, KEY)
+        keyed_join(v.movements.filter(F.col("movement_type") == "Restock"), stock, KEY)
         .select("movement_id", "quantity", accepted.alias("accepted"), (accepted == 0).alias("no_capacity"))
     )
 

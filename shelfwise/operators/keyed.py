@@ -4,6 +4,7 @@
   combined before the shuffle; no group is ever gathered.
 * `running` computes ordered running values per key in two levels: inside bounded chunks of
   the key's order, and over one row per chunk. A hot key is spread over its chunks.
+* `keyed_join` shuffles a side with a row for every key, whatever its estimated size.
 * `lookup_join` leaves hot join keys to adaptive execution, which splits those it measures.
 """
 
@@ -120,6 +121,15 @@ def lookup_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "
     return many.join(few, list(on), how)
 
 
+def keyed_join(many: DataFrame, keyed: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join with a side that has a row for every key, and so grows with the data: both sides are shuffled and sorted.
+
+    Such a side is never broadcast. What Spark estimates for it may be far below its size (rows that a generator adds
+    don't count), and a table of all keys would lie whole in the driver and in every executor.
+    """
+    return many.join(keyed.hint("merge"), list(on), how)
+
+
 def value_positions(counts: DataFrame, keys: Sequence[str], value: str, n: str, chunk: Column) -> DataFrame:
     """Adds `upto` (rows at or below each distinct value) to a table of (keys, value, n)."""
     return running(counts, keys, [value], chunk, sums={"upto": F.col(n)})

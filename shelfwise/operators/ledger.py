@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY
-from .keyed import running
+from .keyed import keyed_join, running
 
 
 def on_hand_delta() -> Column:
@@ -47,7 +47,7 @@ def ledger_balance(
         F.col("version").alias("_open_version"), "max_stock",
     )
     # One opening row per key; a hot key's movements are spread by AQE's skew join.
-    joined = moved.join(opening, KEY)
+    joined = keyed_join(moved, opening, KEY)
     return (
         joined.withColumn("ledger_on_hand", F.col("_open_on_hand") + F.col("_on_hand"))
         .withColumn("ledger_reserved", F.col("_open_reserved") + F.col("_reserved"))
@@ -95,31 +95,41 @@ def redelivery_outcome(lines: DataFrame, delivery: str | None = None) -> DataFra
     `lines` has request_id, requested_at, order_id, location_code, sku_id and quantity. A request delivered
     again, with its id, was already processed; another request is, if its lines equal those that were
     reserved, and else conflicts. Deliveries of a request differ in requested_at, or in the column `delivery`
-    where given. Line sets are compared line by line in a join, so neither a busy order nor a long request
-    is gathered.
+    where given; lines without order or location belong to no request. Lines meet by order, location and sku, where
+    the first delivery of a sku shows whether the order's first one holds it, so neither a busy order nor a long
+    request is gathered.
     """
     place = ["order_id", "location_code"]
-    numbered = lines.withColumn("_delivery", F.col(delivery) if delivery else F.lit(0))
-    one = [*place, "request_id", "requested_at", "_delivery"]
-    merged = merge_request_lines(numbered, one)
-    arrival = F.struct("requested_at", "_delivery", "request_id")
-    firsts = (
-        merged.groupBy(*one).agg(F.count("*").alias("n"))
-        .groupBy(*place).agg(F.min(arrival).alias("first"), F.min_by("n", arrival).alias("first_n"))
+    known = lines.filter(F.col("order_id").isNotNull() & F.col("location_code").isNotNull())
+    numbered = known.withColumn("_delivery", F.col(delivery) if delivery else F.lit(0)).repartition(*place, "sku_id")
+    came = ["requested_at", "_delivery", "request_id"]
+    one, arrival = [*place, *came], F.struct(*came)
+    # One shuffle and one sort for the merged lines and for the window over them; sorting spills, an aggregate of
+    # nearly unique lines holds them all.
+    of_line = Window.partitionBy(*place, "sku_id", *came).orderBy(F.lit(0))
+    merged = numbered.select(
+        *one, "sku_id", F.sum("quantity").over(of_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("quantity"),
+        F.row_number().over(of_line).alias("_i"),
+    ).filter("_i = 1")
+    of_sku = Window.partitionBy(*place, "sku_id").orderBy(*came).rowsBetween(Window.unboundedPreceding, 0)
+    met = merged.select(
+        *one, F.col("sku_id").isNotNull().alias("_named"), "quantity",
+        F.first("quantity").over(of_sku).alias("_first_quantity"), F.first(arrival).over(of_sku).alias("_by"),
+    )
+    # A delivery's lines come from many tasks: combining them before the shuffle would sort them for nothing.
+    same = met.repartition(*one).groupBy(*one).agg(
+        F.count(F.when(F.col("_named") & (F.col("quantity") == F.col("_first_quantity")), 1)).alias("same"),
+        F.count("*").alias("n"), F.min("_by").alias("_from"), F.max("_by").alias("_to"),
+    )
+    # Taken with all columns, so that both sides of the join read one shuffle; an order's arrivals are distinct.
+    whole = F.struct(*came, "n", "same", "_from", "_to")
+    firsts = same.groupBy(*place).agg(F.min(whole).alias("_first")).select(
+        *place, F.struct(*[F.col(f"_first.{c}").alias(c) for c in came]).alias("first"), F.col("_first.n").alias("first_n")
     )
-    first_lines = (
-        merged.join(firsts.select(*place, "first.*"), one, "left_semi")
-        .select(*place, "sku_id", F.col("quantity").alias("_first_quantity"))
-    )
-    same = (
-        merged.join(first_lines, [*place, "sku_id"], "left")
-        .groupBy(*one)
-        .agg(
-            F.count(F.when(F.col("quantity") == F.col("_first_quantity"), 1)).alias("same"),
-            F.count("*").alias("n"),
-        )
-    )
-    equal = (F.col("same") == F.col("n")) & (F.col("n") == F.col("first_n"))
+    # Every sku of the delivery came first with the order's first one; one without time or id has no lines to compare.
+    told = F.col("first.requested_at").isNotNull() & F.col("first.request_id").isNotNull() & F.col("first._delivery").isNotNull()
+    of_first = (F.col("_from") == F.col("first")) & (F.col("_to") == F.col("first"))
+    equal = told & of_first & (F.col("same") == F.col("n")) & (F.col("n") == F.col("first_n"))
     return same.join(firsts, place).select(
         "request_id", *place,
         F.when(arrival == F.col("first"), "Succeeded")

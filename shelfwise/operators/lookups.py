@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEY
 from .demand import at
-from .keyed import latest, running, lookup_join
+from .keyed import keyed_join, latest, lookup_join, running
 
 # The wildcard location and the subscription types that deliver.
 ANY_LOCATION = "ALL"
@@ -70,7 +70,7 @@ def evaluated_movements(movements: DataFrame) -> DataFrame:
 def with_current_balance(movements: DataFrame, balances: DataFrame) -> DataFrame:
     """Current balance attached to each evaluated movement; a hot key's movements are split by adaptive execution."""
     stock = balances.select(*KEY, "on_hand", "reserved", "available", "version")
-    return lookup_join(evaluated_movements(movements), stock, KEY)
+    return keyed_join(evaluated_movements(movements), stock, KEY)
 
 
 def balance_as_of_movement(
@@ -129,7 +129,7 @@ def subscriptions_of_user(subscriptions: DataFrame, user_id, subscription_id=Non
 def stock_check_lines(lines: DataFrame, balances: DataFrame) -> DataFrame:
     """Each order line against the current available stock; lines are not merged."""
     stock = balances.select(*KEY, F.col("available").alias("_available"))
-    checked = lookup_join(lines, stock, KEY, how="left")
+    checked = keyed_join(lines, stock, KEY, how="left")
     enough = F.coalesce(F.col("_available") >= F.col("units"), F.lit(False))
     return checked.withColumn("has_stock", enough).drop("_available")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clamp, normalize_location, trunc_int, uuid_v5
 from ..model import KEY, GovernancePolicy, ReplenishmentPolicy
 from .demand import at
-from .keyed import earliest
+from .keyed import earliest, keyed_join
 
 # Reason codes and messages.
 REASON_SPIKE = "DEMAND_SPIKE"
@@ -194,7 +194,9 @@ def select_quantity(alternatives: str = "alternatives", capacity: str = "capacit
 
 def simulation_alternatives(simulated: DataFrame) -> DataFrame:
     """One row per candidate quantity."""
-    return simulated.select(*KEY, "simulation_id", "decision_id", F.inline("alternatives"))
+    # An inner generator would filter on the size of its array below all projections, with the whole decision spelled out.
+    listed = simulated.select(*KEY, "simulation_id", "decision_id", F.explode_outer("alternatives").alias("_a"))
+    return listed.filter(F.col("_a").isNotNull()).select(*KEY, "simulation_id", "decision_id", "_a.*")
 
 
 def proposals(simulated: DataFrame) -> DataFrame:
@@ -257,7 +259,7 @@ def execution_preflight(gated: DataFrame, balances: DataFrame | None = None) ->
             F.col("max_stock").alias("current_max_stock"),
             F.col("version").alias("current_version"),
         )
-        gated = gated.join(current, KEY, "left")
+        gated = keyed_join(gated, current, KEY, "left")
     room = F.col("current_max_stock") - F.col("current_on_hand")
     same_key = F.coalesce(
         F.col("current_location_code") == normalize_location("location_code"), F.lit(False)
