@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,17 @@ def at(as_of: datetime | str | Column) -> Column:
     return F.lit(str(as_of)).cast("timestamp")
 
 
+def hour_at(as_of: datetime | str | Column, time_zone: str) -> int | None:
+    """Hour of the day at `as_of`, which is the same on every later day in UTC; None where it can't be told beforehand."""
+    if isinstance(as_of, Column) or time_zone != "UTC":
+        return None
+    try:
+        when = datetime.fromisoformat(str(as_of))
+    except ValueError:
+        return None
+    return (when if when.tzinfo is None else when.astimezone(timezone.utc)).hour
+
+
 def daily_demand(silver: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """Sale units and rows per sku, location and day."""
     sales = silver.filter(
@@ -237,9 +249,11 @@ def hour_profile(hourly: DataFrame, alpha: float = 0.2) -> DataFrame:
 
 
 def demand_model(movements: DataFrame, as_of, retention_days: int | None = RETENTION_DAYS,
-                 alpha: float = 0.2) -> DataFrame:
+                 alpha: float = 0.2, wanted_hours: Sequence[int] | None = None) -> DataFrame:
     """One row per key: `weekday_stats` (7 stats, Monday first) and `hour_stats` (24 stats).
 
+    wanted_hours: hours of the day whose stats are asked for; the others are null. Without it, all.
+
     Sales are combined to one row per key and day before the first shuffle; the second gathers
     one entry per closed day, so a key's array is as long as the calendar, not as its sales.
     """
@@ -250,13 +264,14 @@ def demand_model(movements: DataFrame, as_of, retention_days: int | None = RETEN
     if retention_days is not None:
         sales = sales.filter(F.col("occurred_at") >= _retention_start(end, retention_days))
     hour, units = F.hour("occurred_at"), F.col("quantity")
+    wanted = sorted(range(24) if wanted_hours is None else set(wanted_hours))
     days = (
         sales.groupBy(*KEY, F.to_date("occurred_at").alias("ord"))
         .agg(
             F.sum(units).alias("day_units"),
-            *[F.sum(F.when(hour == h, units)).alias(f"h{h}") for h in range(24)],
+            *[F.sum(F.when(hour == h, units)).alias(f"h{h}") for h in wanted],
         )
-        .select(*KEY, "ord", "day_units", F.array(*[f"h{h}" for h in range(24)]).alias("hours"))
+        .select(*KEY, "ord", "day_units", F.array(*[f"h{h}" for h in wanted]).alias("hours"))
     )
     per_key = days.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("ord", "day_units", "hours"))).alias("days")
@@ -274,8 +289,12 @@ def demand_model(movements: DataFrame, as_of, retention_days: int | None = RETEN
             lambda d: (F.weekday(d["ord"]) == w) & (d["day_units"] > 0), lambda d: d["day_units"]
         ),
     )
-    hours = F.transform(
-        F.sequence(F.lit(0), F.lit(23)),
-        lambda h: fold(lambda d: F.get(d["hours"], h) > 0, lambda d: F.get(d["hours"], h)),
-    )
+    def hour_stat(i: Column | int) -> Column:
+        return fold(lambda d: F.get(d["hours"], i) > 0, lambda d: F.get(d["hours"], i))
+
+    if wanted_hours is None:
+        hours = F.transform(F.sequence(F.lit(0), F.lit(23)), hour_stat)
+    else:
+        place = {h: F.lit(i) for i, h in enumerate(wanted)}
+        hours = F.array(*[hour_stat(place[h]) if h in place else F.lit(None) for h in range(24)])
     return per_key.select(*KEY, weekdays.alias("weekday_stats"), hours.alias("hour_stats"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import let, weekday_index, weekday_name
 from ..functions.folds import stddev_of
 from ..model import KEY
-from .demand import RETENTION_DAYS, at, demand_model, live_rate, window_units, with_velocities
+from .demand import RETENTION_DAYS, at, demand_model, hour_at, live_rate, window_units, with_velocities
 
 # Forecast constants.
 NO_HISTORY_BASELINE = 12.0
@@ -95,7 +95,8 @@ def forecast_points(instant: Column, days: int, weekday_stats: Column, hour_stat
             ).alias("forecast"),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(days - 1)), point)
+    # Spelled out, not in a lambda: with a constant instant each day's date, weekday and hour are constants.
+    return F.array(*[point(F.lit(d)) for d in range(days)])
 
 
 def forecast_horizon(points: Column) -> Column:
@@ -129,7 +130,9 @@ def sku_features(
     """
     instant = at(as_of)
     windows = window_units(movements, as_of)
-    model = demand_model(movements, as_of, retention_days)
+    # Every point keeps the hour of the instant: where that is known, no other hour's history is folded.
+    hour = hour_at(as_of, balances.sparkSession.conf.get("spark.sql.session.timeZone"))
+    model = demand_model(movements, as_of, retention_days, wanted_hours=None if hour is None else [hour])
     # Keyed like the aggregates it meets: the joins share this one shuffle of the balances, and the
     # forecasts after them run on all tasks even when the other sides are broadcast.
     keyed = balances.repartition(*KEY)
