@@ -16,15 +16,16 @@ from .orders_and_audit import lifecycle_events
 from .registry import SQL, query
 
 BATCHES = 4
-ROWS_A_TASK = 250_000
+ROWS_A_TASK, LEAST_ROWS_A_TASK = 250_000, 10_000
 
 
 @contextmanager
 def _partitions_for(spark: SparkSession, rows: int):
-    """State and shuffle partitions by the rows of a batch, while a stream runs."""
+    """State and shuffle partitions by the rows of a batch, while a stream runs: as many as there are cores, if rows suffice."""
     name = "spark.sql.shuffle.partitions"
     kept = spark.conf.get(name)
-    spark.conf.set(name, str(max(4, rows // ROWS_A_TASK)))
+    cores = min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS_A_TASK)
+    spark.conf.set(name, str(max(4, cores, rows // ROWS_A_TASK)))
     try:
         yield
     finally:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -27,6 +27,8 @@ from .jobs import start
 # Processors travel with their query, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Positions of waiting order events that are stored together, a byte each.
+_STRETCH = 4096
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _LEVELS = ["on_hand", "reserved", "available", "safety_stock", "reorder_point", "max_stock"]
 _HELD = [*_LEVELS, "version", "updated_us", "model", "incoming"]
@@ -188,47 +190,66 @@ def rolling_states(movements: DataFrame, columns: dict[str, tuple[str, int]], re
 
 
 class _Lifecycle(StatefulProcessor):
-    """The order's status after its events so far without a gap, and a map of the events that wait for an earlier one."""
+    """The order's status after its events so far without a gap, and the events that wait for an earlier one.
+
+    Waiting events are one byte a position, in stretches of positions: that of the next event lies beside the status, so
+    an order of ordinary length costs one read and one write a batch, and the others in a map.
+    """
 
     def __init__(self, first: int):
         self.first = first
-        self.moves = {name: {ORDER_STATUSES.index(a): ORDER_STATUSES.index(b) for a, b in moves.items()} for name, moves in STEPS.items()}
-        self.failing = set(FAILING_STEPS)
+        self.moves = [{ORDER_STATUSES.index(a): ORDER_STATUSES.index(b) for a, b in moves.items()} for moves in STEPS.values()] + [{}]
+        self.failing = [name in FAILING_STEPS for name in STEPS] + [False]
+        self.codes = {name: i for i, name in enumerate(STEPS, 1)}  # 0: no event; after the last: a step that moves nothing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("status", "next bigint, status int, errors bigint")
-        self.waiting = handle.getMapState("waiting", "position bigint", "step string")
-        self.held = handle.getValueState("held", "n bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.at.get() or (self.first, 0, 0)
-        expected, status, errors = state
-        n = (self.held.get() or (0,))[0]
-
-        def apply(step: str) -> None:
-            nonlocal expected, status, errors
-            moves = self.moves.get(step, {})
-            errors += step in self.failing and status not in moves
-            status = moves.get(status, status)
-            expected += 1
-
-        for part in rows:
-            for position, step in part.sort_values("position")[["position", "step"]].itertuples(index=False):
-                position = int(position)
-                if position == expected:
-                    apply(step)
-                    while n and self.waiting.containsKey((expected,)):
-                        place = (expected,)
-                        apply(self.waiting.getValue(place)[0])
-                        self.waiting.removeKey(place)
-                        n -= 1
-                elif position > expected and not (n and self.waiting.containsKey((position,))):
-                    self.waiting.updateValue((position,), (step,))
+        self.at = handle.getValueState("status", "next bigint, status int, errors bigint, held bigint, near binary")
+        self.waiting = handle.getMapState("waiting", "stretch bigint", "steps binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        expected, status, errors, n, near = self.at.get() or (self.first, 0, 0, 0, b"")
+        loaded, stored, changed = {expected // _STRETCH: bytearray(near)}, set(), set()
+
+        def stretch(place: int) -> bytearray:
+            if place not in loaded:
+                found = bool(had) and self.waiting.containsKey((place,))
+                loaded[place] = bytearray(self.waiting.getValue((place,))[0]) if found else bytearray()
+                if found:
+                    stored.add(place)
+            return loaded[place]
+
+        had = n
+        for row in rows:
+            position = int(row["position"])
+            if position < expected:
+                continue
+            code = self.codes.get(row["step"], len(self.codes) + 1)
+            if position > expected:
+                steps, at = stretch(position // _STRETCH), position % _STRETCH
+                if at >= len(steps):
+                    steps.extend(bytes(at + 1 - len(steps)))
+                if not steps[at]:
+                    steps[at] = code
+                    changed.add(position // _STRETCH)
                     n += 1
-        self.at.update((expected, status, errors))
-        self.held.update((n,))
-        row = [key[0], ORDER_STATUSES[status], errors, expected - self.first, n]
-        yield pd.DataFrame([row], columns=["order_id", "status", "illegal_moves", "applied", "waiting"])
+                continue
+            while code:
+                moves = self.moves[code - 1]
+                errors += self.failing[code - 1] and status not in moves
+                status = moves.get(status, status)
+                expected += 1
+                steps, at = stretch(expected // _STRETCH) if n else b"", expected % _STRETCH
+                code = steps[at] if at < len(steps) else 0
+                n -= code > 0
+        home = expected // _STRETCH
+        near = bytes(stretch(home)) if n else b""
+        for place, steps in loaded.items():
+            if place > home and place in changed:
+                self.waiting.updateValue((place,), (bytes(steps),))
+            elif place <= home and place in stored:
+                self.waiting.removeKey((place,))
+        self.at.update((expected, status, errors, n, near))
+        yield Row(order_id=key[0], status=ORDER_STATUSES[status], illegal_moves=int(errors), applied=expected - self.first, waiting=int(n))
 
     def close(self) -> None:
         pass
@@ -243,4 +264,4 @@ def lifecycle_states(events: DataFrame, position: str = "seq", first: int = 0) -
     kind = events.schema["order_id"].dataType.simpleString()
     schema = f"order_id {kind}, status string, illegal_moves bigint, applied bigint, waiting bigint"
     given = events.select("order_id", F.col(position).cast("long").alias("position"), "step")
-    return given.groupBy("order_id").transformWithStateInPandas(_Lifecycle(first), schema, "Update", "None")
+    return given.groupBy("order_id").transformWithState(_Lifecycle(first), schema, "Update", "None")
