@@ -275,7 +275,7 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix in its order (slot, then place), with the columns of docs."""
-    own = [c for c in docs.columns if c != "mix"]
+    """The rows of the mix in its order (slot, then place), with the columns of docs; a column `mix` there gets the place."""
+    own = docs.columns
     mixed = mix(docs, **options).filter("mix.in_mix")
     return mixed.orderBy("mix.slot", "mix.place").select(*[F.col(f"`{c}`") for c in own])

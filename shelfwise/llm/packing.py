@@ -31,30 +31,34 @@ _PIECES = pa.schema(
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cache_words: int = 300_000) -> DataFrame:
+def cut_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cache_words: int = 300_000, carried: str | None = None
+) -> DataFrame:
     """Token pieces of whole texts, each text closed by end_id: doc_id, piece, start, length, ids_crc32.
 
     Only a document over `capacity` is cut; its pieces are full but for the first. Null text is empty.
-    cache_words: words whose ids a worker keeps, about 200 bytes each.
+    cache_words: words whose ids a worker keeps, about 200 bytes each. carried: a long column that pieces take along.
     """
     ship(docs.sparkSession)
+    extra = [carried] if carried else []
+    schema = pa.schema([*_PIECES, *[(c, pa.int64()) for c in extra]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = encoder(tokenizer, cache_words), np.uint32(end_id).tobytes()
         for rows in batches:
             found = []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text")):
+            for doc_id, text, *more in zip(rows.column("doc_id").to_pylist(), rows.column("text"), *[rows.column(c).to_pylist() for c in extra]):
                 ids = known.ids(text.as_py()) + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 bounds = [0, *range(first, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    found.append((doc_id, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                    found.append((doc_id, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), *more))
             if found:
-                yield batch(_PIECES, list(zip(*found)))
+                yield batch(schema, list(zip(*found)))
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(run, _PIECES_DDL)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("long").alias(c) for c in extra])
+    return chosen.mapInArrow(run, ", ".join([_PIECES_DDL, *[f"{c} long" for c in extra]]))
 
 
 class Packing:
@@ -185,10 +189,10 @@ _STATE = "shard long, island int, place int, lengths binary, packing binary, bin
 def _pack_shards(
     pieces: DataFrame, capacity: int, shards: int, islands: int, epochs: int, size: int, generations: int, seed: int
 ) -> DataFrame:
-    """pieces (item, length; items unique) -> item, length, shard, bin."""
-    dealt = materialized(
-        pieces.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(shards)).cast("long")), "packing-dealt"
-    )
+    """pieces (item, length; items unique; shard where they are dealt already) -> item, length, shard, bin."""
+    if "shard" not in pieces.columns:
+        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(shards)).cast("long"))
+    dealt = materialized(pieces, "packing-dealt")
 
     def problem(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item")
@@ -227,21 +231,38 @@ def _pack_shards(
     return together.applyInPandas(placed, "item long, length long, shard long, bin long")
 
 
+def _along(pieces: DataFrame, shards: int, shard_items: int, seed: int) -> DataFrame:
+    """pieces (item, length, place) -> with the shard of their stretch of places; an overfull stretch is split by hash."""
+    places = pieces.agg(F.max("place")).first()[0] + 1
+    spread = F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1 << 20)) / F.lit(1 << 20)
+    stretch = F.least(F.floor((F.col("place") + spread) * F.lit(shards) / F.lit(places)), F.lit(shards - 1)).cast("long")
+    along = pieces.withColumn("shard", stretch)
+    parts = along.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * shard_items)).alias("parts"))
+    part = F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.col("parts"))
+    return along.join(parts, "shard").select("item", "length", (F.col("shard") + part * F.lit(shards)).cast("long").alias("shard"))
+
+
 def pack(
     pieces: DataFrame, capacity: int, shard_items: int = 2048, islands: int = 2, epochs: int = 2, size: int = 6,
-    generations: int = 12, reopen_below: float = 0.97, seed: int = 7,
+    generations: int = 12, reopen_below: float = 0.97, seed: int = 7, along: str | None = None,
 ) -> DataFrame:
     """Places rows with a `length` of 1 to capacity into sequences; adds sequence_id and offset (from 0, gapless).
 
     All other columns come back as they were (except ones named like the two that are added, which are
     replaced); every row is placed, repeated rows each on their own. Which sequence, and the order in it, is
     unspecified. No rows give no rows. sequence_id is unique and not dense.
+
+    along: a column with the place of a row, from 0 (null: 0). A sequence then holds rows of one stretch of places, about
+    shard_items rows long; only what would leave a sequence badly filled is packed across stretches.
     """
     spark = pieces.sparkSession
     ship(spark)
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     numbered = materialized(
-        pieces.select(F.struct(*kept).alias("row"), F.col("length").cast("long").alias("length")).withColumn(
+        pieces.select(
+            F.struct(*kept).alias("row"), F.col("length").cast("long").alias("length"),
+            *([F.coalesce(F.col(along).cast("long"), F.lit(0)).alias("place")] if along else []),
+        ).withColumn(
             "item", F.monotonically_increasing_id()
         ),
         "packing-pieces",
@@ -252,10 +273,12 @@ def pack(
         )
     ]
     replaced = None  # the sequences whose pieces a round packs again
-    open_pieces, level = numbered.filter(F.col("length") < capacity).select("item", "length"), 0
+    open_pieces, level = numbered.filter(F.col("length") < capacity).select("item", "length", *(["place"] if along else [])), 0
     count = open_pieces.count()
     while count:
         shards = -(-count // shard_items)
+        if along and not level:
+            open_pieces = _along(open_pieces, shards, shard_items, seed)
         placed = materialized(
             _pack_shards(open_pieces, capacity, shards, islands, epochs, size, generations, seed + 100 * level),
             "packing-level",
