@@ -25,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import batch, held, ship, slices
+from shelfwise.llm.common import batch, held, release_unused, ship, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 _WORD = re.compile(r"[^\W\d_]+")
 _BLOCK = 64
+# Characters whose words are labelled at a time, and texts that a worker holds as strings at a time.
+_SLICE = 1 << 18
+_TEXTS = 256
 _hash = xxhash.xxh3_64_intdigest
 
 
@@ -250,7 +253,7 @@ def emissions(model: Model) -> _Emissions:
 
 def label_texts(model: Model, known: _Emissions, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
     """Words and their language probabilities for each whole text."""
-    for a, b in slices(texts, 1 << 20):
+    for a, b in slices(texts, _SLICE):
         words = [words_of(t) for t in texts[a:b]]
         lengths = np.array([len(w) for w in words], np.int64)
         p = np.zeros((0, len(model.languages)))
@@ -261,6 +264,12 @@ def label_texts(model: Model, known: _Emissions, texts: list[str | None]) -> Ite
             yield w, p[end - len(w) : end]
 
 
+def label_column(model: Model, known: _Emissions, texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray]]:
+    """label_texts of a column of texts, of which a few at a time become strings."""
+    for a in range(0, len(texts), _TEXTS):
+        yield from label_texts(model, known, texts.slice(a, _TEXTS).to_pylist())
+
+
 def training_sample(
     docs: DataFrame, documents: int = 400, window: int = 300, seed: int = 17, characters: int = 6000, max_languages: int = 1000
 ) -> tuple[list[str], list[str]]:
@@ -305,19 +314,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # of fixed size
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col("text").alias("_text"), F.struct(*kept).alias("row"))
+    # The text goes to the worker once, in its row: a batch is megabytes of it. The column may be spelled otherwise (Text).
+    rows = docs.select(F.struct(*kept).alias("row"))
+    names = rows.schema["row"].dataType.names
+    field = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         known = emissions(crf)
         for part in batches:
             langs, scores = [], []
-            for words, p in label_texts(crf, known, part.column("_text").to_pylist()):
+            for words, p in label_column(crf, known, part.column("row").field(field)):
                 mean = p.mean(0) if len(words) and crf.languages else np.zeros(0)
                 best = int(mean.argmax()) if len(mean) else -1
                 langs.append(crf.languages[best] if best >= 0 else UNKNOWN)
                 scores.append(min(1.0, float(mean[best])) if best >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+            del part
+        release_unused()
 
     schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
