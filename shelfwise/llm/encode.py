@@ -4,6 +4,7 @@ Both vocabularies split a text before each space that precedes a non-space chara
 around it: byte_bpe_50k's pattern binds that space to what follows, word_bpe_49k drops white space.
 So a text's ids are the ids of those chunks in a row, and a chunk seen before needs no new encoding.
 A chunk of letters is one word to either pattern and goes to the library's model directly.
+word_bpe_49k's chunks end at line feeds too, and runs of letters and of ASCII marks in them are pieces of their own.
 A text with a special token's string, whose neighbours are split differently, is encoded as a whole.
 """
 
@@ -17,6 +18,8 @@ from shelfwise.llm.common import held
 
 _CHUNKS = re.compile(r" (?=\S)")
 _MARKS = ".,;:!?"
+# Runs of letters, or of ASCII marks but the apostrophe, which may bind the letter behind it ('s).
+_RUNS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+")
 
 
 def byte_letters() -> dict[int, int]:
@@ -26,8 +29,11 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + n for n, b in enumerate(others)}
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(65)]
+
+
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Cache(dict):
@@ -53,6 +59,45 @@ class _Cache(dict):
         return found
 
 
+class _LowerCache(dict):
+    """Chunk without white space around it -> little-endian ids, for a vocabulary that drops white space.
+
+    Of several runs in a chunk each is looked up; such chunks have a quarter of the entries, single runs the rest.
+    """
+
+    def __init__(self, encoder: ChunkEncoder, entries: int):
+        self.encoder, self.entries, self.joined = encoder, entries, entries // 4
+        self[""] = b""
+
+    def __missing__(self, chunk: str):
+        if chunk.isalpha():
+            found = self.encoder.word(chunk)
+        else:
+            runs = _RUNS.findall(chunk)
+            # What changes when it is folded or composed may become another run.
+            if len(runs) > 1 and sum(map(len, runs)) == len(chunk) and folded(chunk) == chunk:
+                found = b"".join([self[run] for run in runs])
+                if self.joined <= 0:
+                    return found
+                self.joined -= 1
+            else:
+                found = self.encoder.whole(" " + chunk)
+        if len(self) < self.entries and len(chunk) <= 64:
+            self[chunk] = found
+        return found
+
+
+def folded(text: str) -> str | None:
+    """The text in lower case, where Python's way is the library's: composed, then character by character."""
+    if text.isascii():
+        return text.lower()
+    if "Σ" in text or not unicodedata.is_normalized("NFC", text):
+        return None
+    lower = text.lower()
+    # What composes only now, the library leaves as it is.
+    return lower if unicodedata.is_normalized("NFC", lower) else None
+
+
 class ChunkEncoder:
     """`ids(text)`: the text's ids as little-endian unsigned 32-bit bytes; null counts as empty."""
 
@@ -66,14 +111,14 @@ class ChunkEncoder:
         self.lower = '"Lowercase"' in self.tokenizer.to_str()[:4096]
         self.letters = byte_letters()
         self.space = "" if self.lower else chr(self.letters[32])
-        self.cache = _Cache(self, entries)
+        self.cache = (_LowerCache if self.lower else _Cache)(self, entries)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, letters: str) -> bytes:
         """Ids of a space and letters."""
-        if self.lower and (letters != letters.lower() or not unicodedata.is_normalized("NFC", letters)):
+        if self.lower and folded(letters) != letters:
             return self.whole(" " + letters)
         spelled = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.letters)
         return packed([t.id for t in self.model.tokenize(self.space + spelled)])
@@ -83,10 +128,10 @@ class ChunkEncoder:
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        # Case is folded character by character there, after composition; where Python's way differs, it is left.
-        if self.lower and "Σ" not in text and unicodedata.is_normalized("NFC", text):
-            text = text.lower()
         known = self.cache.__getitem__
+        if self.lower:
+            lower = folded(text)
+            return b"".join(map(known, (text if lower is None else lower).replace("\n", " ").split(" ")))
         head, *rest = text.split(" ")
         first = self.whole(head) if head else b""
         try:
