@@ -258,6 +258,17 @@ def _route(pivots: np.ndarray, radius: list[float], square: int):
     return run
 
 
+def _least_hashes(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame:
+    """The `wanted` of n rows with the least hashes of their numbers.
+
+    A task sends its least ones to the driver; of those only about twice as many as are wanted pass, whatever the tasks.
+    """
+    place = F.xxhash64("row", F.lit(seed))
+    passing = 2 * wanted + 64  # fewer than wanted would be eight standard deviations away
+    least = rows if passing >= n else rows.filter(place < F.lit((passing << 64) // n - (1 << 63)))
+    return least.orderBy(place, "row").limit(wanted)
+
+
 def _search(rows: DataFrame, every: int, k: int, n_pivots: int, shard_rows: int, query_block: int, seed: int) -> DataFrame:
     d = len(rows.first()["v"])
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
@@ -265,7 +276,7 @@ def _search(rows: DataFrame, every: int, k: int, n_pivots: int, shard_rows: int,
     square = int(square)
     # A bounded number of pivots, drawn by hash: the only vectors that reach the driver.
     wanted = max(n_pivots, min(_MOST_PIVOTS, n // shard_rows))
-    drawn = rows.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(wanted).collect()
+    drawn = _least_hashes(rows, n, wanted, seed).collect()
     pivots = lifted(np.array([r["v"] for r in drawn], np.int64).reshape(len(drawn), d), square)
     assigned = materialized(
         rows.mapInArrow(_assign(pivots, square, d), "row long, vec_id long, v binary, cell int, off double"), "mtree-assigned"
@@ -287,7 +298,9 @@ def _search(rows: DataFrame, every: int, k: int, n_pivots: int, shard_rows: int,
     visits = materialized(routed.join(rings, "cell").filter(meets).select("shard", "row", "bound"), "mtree-visits")
     parts = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int").alias("part")
-    asked = visits.join(parts, "shard").select("shard", part, "row", "bound").join(queries.drop("bound"), "row")
+    # Visits and vectors grow with the table, and far beyond their compressed files: neither goes through the driver.
+    asked = visits.join(parts, "shard", "left").select("shard", part, "row", "bound")
+    asked = asked.join(queries.drop("bound").hint("merge"), "row")
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     payload = [c for c in shards.columns if c not in ("cell", "low", "high", "asks")]
     copies = shards.select(*payload).join(parts, "shard").select(*payload, each)
