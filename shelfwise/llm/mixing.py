@@ -274,8 +274,29 @@ def mix(
     return placed.select("row.*", F.struct(F.col("chosen").alias("in_mix"), *found).alias("mix"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix in its order (slot, then place), with the columns of docs; a column `mix` there gets the place."""
+def _mixes(docs: DataFrame, **options) -> DataFrame:
+    """Mix after mix, each of what the one before held back, until nothing is left that has a weight.
+
+    Every mix uses up a source, and no more of them than caps fit into a mix are held back: without weights there are
+    at most 1 / max_share mixes, of four or more sources. The numbers of a later mix follow the slots before it.
+    """
+    done, first = None, 0
+    while True:
+        placed = materialized(mix(docs, **options), "mixes")
+        held, last = placed.agg(F.count_if(~F.col("mix.in_mix")), F.max("mix.slot")).first()
+        moved = [(F.col(f"mix.{k}") + F.lit(first)).cast("long").alias(k) for k in ("slot", "block", "release", "deadline")]
+        found = placed.filter("mix.in_mix").withColumn("mix", F.struct(F.col("mix.in_mix").alias("in_mix"), *moved, F.col("mix.place").alias("place")))
+        done = found if done is None else done.unionByName(found)
+        if not held or last is None:
+            return done
+        docs, first = placed.filter(~F.col("mix.in_mix")).drop("mix"), first + last + 1
+
+
+def mixed_documents(docs: DataFrame, later: bool = False, **options) -> DataFrame:
+    """The rows of the mix in its order (slot, then place), with the columns of docs; a column `mix` there gets the place.
+
+    later: what the mix holds back follows in later mixes, so every row has a place (with weights: of the sources in them).
+    """
     own = docs.columns
-    mixed = mix(docs, **options).filter("mix.in_mix")
+    mixed = _mixes(docs, **options) if later else mix(docs, **options).filter("mix.in_mix")
     return mixed.orderBy("mix.slot", "mix.place").select(*[F.col(f"`{c}`") for c in own])
